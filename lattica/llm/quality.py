@@ -31,6 +31,8 @@ from .blocks import U, blocks, word_hashes, words
 from .workspace import Workspace
 
 SAMPLE, MIN_FIT, BUCKETS, TOXIC_HITS = 6000, 50, 1 << 12, 2
+#: Prior rate of bad votes on good documents, and its weight against the counts.
+FALSE_ALARM, FIRM = 0.002, 20.0
 
 #: Common insults.
 TOXIC = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
@@ -133,27 +135,32 @@ def votes_of(pattern: np.ndarray, n: int = len(LABELLERS)) -> np.ndarray:
 
 
 def estimate(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], float, np.ndarray]:
-    """EM over pattern counts -> posterior of "bad" by pattern, its prior, and P(vote | class) by labeller."""
+    """EM over pattern counts -> posterior of "bad" by pattern, its prior, and P(vote | class, a vote) by labeller."""
     keys = np.array(sorted(patterns), np.int64)
     if not keys.size:
         return {}, 0.5, np.zeros((len(LABELLERS), 2, 3))
     weight = np.array([patterns[k] for k in keys.tolist()], float)
     votes = votes_of(keys)
-    # begin with any bad vote against the good ones
-    bad = np.clip(0.5 + 0.4 * np.sign((votes > 0).sum(0) * 2 - (votes < 0).sum(0) * 0.25 - 0.5), 0.05, 0.95)
-    prior, table = 0.5, None
+    # begin with one bad vote against any number of good ones: the kinds of bad text seldom overlap
+    bad = np.where((votes > 0).any(0), 0.9, 0.1)
+    rows = np.arange(votes.shape[0])[:, None]
+    table = np.zeros((votes.shape[0], 2, 3))
     for _ in range(rounds):
         prior = float(np.clip((weight * bad).sum() / weight.sum(), 1e-3, 0.5))
-        table = np.zeros((votes.shape[0], 2, 3))
         for c, p in enumerate((1 - bad, bad)):
-            for v in (-1, 0, 1):
+            for v in (-1, 1):
                 table[:, c, v + 1] = ((votes == v) * (weight * p)).sum(1) + 0.5
-        # a labeller is taken to be better than chance: a bad vote is likelier on bad documents
+        # thresholds are set to seldom fire on good text: a prior on false alarms, without which
+        # the kinds of bad text that go together would crowd out those that stand alone
+        cast = table[:, 0].sum(1)
+        table[:, 0, 2] += FALSE_ALARM * FIRM * cast
+        table[:, 0, 0] += (1 - FALSE_ALARM) * FIRM * cast
+        # the accuracies are those of the votes cast; silence says nothing
         table /= table.sum(2, keepdims=True)
-        wrong = table[:, 1, 2] < table[:, 0, 2]
+        wrong = table[:, 1, 2] < table[:, 0, 2]  # a labeller is taken to be no worse than chance
         table[wrong] = table[wrong].mean(1, keepdims=True)
-        logit = np.log(prior / (1 - prior)) + np.log(table[np.arange(votes.shape[0])[:, None], 1, votes + 1] / table[np.arange(votes.shape[0])[:, None], 0, votes + 1]).sum(0)
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        ratio = np.where(votes == 0, 0.0, np.log(np.maximum(table[rows, 1, votes + 1], 1e-9) / np.maximum(table[rows, 0, votes + 1], 1e-9)))
+        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + ratio.sum(0), -30, 30)))
         done = np.abs(new - bad).max() < 1e-7
         bad = new
         if done:
