@@ -11,8 +11,9 @@ dealt is not each suffix but each minimizer with the bytes around it, its
 context, from which all suffixes that begin near it can be read.
 
 1. A count-min sketch of minimizers tells which may occur twice.
-2. Of equal contexts, all but the first are covered whole; this takes exact
-   copies out by a window function, before any suffix is sorted.
+2. Of equal contexts, all but the first are covered whole.  A task does this
+   for what it holds before the shuffle, so a passage that a third of all documents
+   hold is dealt out once for each flush.
 3. The different contexts of one minimizer are sorted into suffix order by
    prefix doubling, and each suffix's previous smaller position in that order
    gives its earlier match: within a run of suffixes whose common prefix is
@@ -30,7 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
@@ -38,7 +40,8 @@ from .blocks import BYTE_BASE, U, anchors, blocks, cover, rolling, runs
 from .workspace import Workspace
 
 LENGTH, GRAM, GROUP = 100, 50, 8192
-BATCH_CONTEXTS = 8192
+BATCH_CONTEXTS, FLUSH = 8192, 1 << 16
+NULL_ID = -(1 << 63)
 
 
 def longest_previous_factor(data: bytes) -> list[int]:
@@ -147,82 +150,141 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     merged = spark.sparkContext.broadcast(sketch.build(texts, values_of, bits))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts that may occur twice.  Of equal ones in a flush only the earliest goes on as such; the later ones'
+        covered stretches are rows without a context."""
+        held: dict[tuple[int, int, bytes], tuple[int, int]] = {}
+        copies: list[tuple[int, int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, places = list(held), [*held.values(), *((d, a) for d, a, _ in copies)]
+            n = len(copies)
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*(k[0] for k in keys), *[None] * n], pa.int64()),
+                    pa.array([*(k[1] for k in keys), *(b - a for _, a, b in copies)], pa.int32()),
+                    pa.array([*(k[2] for k in keys), *[None] * n], pa.binary()),
+                    pa.array([None if d == NULL_ID else d for d, _ in places], pa.int64()),
+                    pa.array([p for _, p in places], pa.int32()),
+                ],
+                ["h", "before", "context", "doc_id", "pos"],
+            )
+            held.clear(), copies.clear()
+            return out
+
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
+            ids = batch.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_pylist()
             for i, _, data, bounds in blocks(batch):
                 values, at, row, low, high = _contexts(data, bounds, length, gram)
                 if not values.size:
                     continue
                 keep = np.flatnonzero(sketch.repeated(values, merged.value, bits))
-                if not keep.size:
-                    continue
                 raw = data.tobytes()
-                low, high, row, at = low[keep], high[keep], row[keep], at[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(values[keep].view(np.int64)),
-                        pa.array((at - low).astype(np.int32)),
-                        pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary()),
-                        ids.take(pa.array(i + row)),
-                        pa.array((low - bounds[row]).astype(np.int32)),
-                    ],
-                    ["h", "before", "context", "doc_id", "pos"],
-                )
+                for h, q, r, x, y in zip(values[keep].view(np.int64).tolist(), at[keep].tolist(), row[keep].tolist(), low[keep].tolist(), high[keep].tolist()):
+                    key, place = (h, q - x, raw[x:y]), (ids[i + r], x - int(bounds[r]))
+                    have = held.setdefault(key, place)
+                    if have != place:
+                        if place < have:
+                            held[key], place = place, have
+                        copies.append((*place, place[1] + y - x))
+                if len(held) >= FLUSH:
+                    yield flush()
+        if held or copies:
+            yield flush()
 
-    place = [F.col("doc_id").asc_nulls_first(), "pos"]
     met = texts.mapInArrow(candidates, "h long, before int, context binary, doc_id long, pos int")
-    nth = met.withColumn("nth", F.rank().over(Window.partitionBy("h", "before", "context").orderBy(*place)))
-    met = work.store(nth, "contexts")
-    copies = met.where("nth > 1").select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.length("context")).alias("b"))
-    firsts = met.where("nth = 1").drop("nth")
-    sizes = firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    several = firsts.join(sizes, "h")
+    key = ["h", F.when(F.col("h").isNull(), F.xxhash64("doc_id", "pos"))]
+    dealt = met.repartition(*key).sortWithinPartitions("h", "before", "context", F.col("doc_id").asc_nulls_first(), "pos")
 
     def lpf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches come sorted by minimizer and place; a group is handled whole, with others up to a batch."""
-        waiting: list[pa.RecordBatch] = []
+        """Rows come sorted by minimizer; a minimizer's contexts are handled together, with others' up to a batch.
+
+        A minimizer with more than `group` rows is handed on, context by context, as it comes.
+        """
+        waiting: list[pa.Table] = []
+        hot = None
         for batch in batches:
-            waiting.append(batch)
-            if sum(b.num_rows for b in waiting) >= BATCH_CONTEXTS:
-                table = pa.Table.from_batches(waiting).combine_chunks()
-                h = np.asarray(table.column("h").combine_chunks())
-                cut = int(np.searchsorted(h, h[-1], "left"))  # the last group may go on
-                if cut:
-                    yield from solve(table.slice(0, cut))
-                waiting = table.slice(cut).to_batches()
+            table = pa.Table.from_batches([batch])
+            plain = table.filter(pa.compute.is_null(table.column("h")))
+            if plain.num_rows:
+                pos = np.asarray(plain.column("pos").combine_chunks())
+                yield result(plain.column("doc_id").combine_chunks(), pos, pos + np.asarray(plain.column("before").combine_chunks()))
+                table = table.filter(pa.compute.is_valid(table.column("h")))
+            if hot is not None:
+                own = pa.compute.equal(table.column("h"), hot)
+                yield from defer(table.filter(own))
+                table = table.filter(pa.compute.invert(own))
+            if not table.num_rows:
+                continue
+            waiting.append(table)
+            if sum(t.num_rows for t in waiting) < BATCH_CONTEXTS:
+                continue
+            table = pa.concat_tables(waiting).combine_chunks()
+            h = np.asarray(table.column("h").combine_chunks())
+            cut = int(np.searchsorted(h, h[-1], "left"))  # the last group may go on
+            if cut:
+                yield from solve(table.slice(0, cut))
+            waiting = [table.slice(cut)]
+            if h.size - cut > group:
+                hot = int(h[-1])
+                yield from defer(waiting.pop())
         if waiting:
-            yield from solve(pa.Table.from_batches(waiting))
+            table = pa.concat_tables(waiting).combine_chunks()
+            if table.num_rows:
+                yield from solve(table)
+
+    def result(ids, a, b, contexts=None) -> pa.RecordBatch:
+        n = len(a)
+        return pa.RecordBatch.from_arrays([ids, pa.array(a, pa.int32()), pa.array(b, pa.int32()), contexts if contexts is not None else pa.nulls(n, pa.binary())], ["doc_id", "a", "b", "context"])
+
+    def defer(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for t in table.to_batches():
+            if t.num_rows:
+                pos = np.asarray(t.column("pos"))
+                yield result(t.column("doc_id"), pos, pos, t.column("context"))
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        contexts = table.column("context").to_pylist()
         h = np.asarray(table.column("h").combine_chunks())
-        bound = np.r_[0, np.cumsum([len(c) for c in contexts])]
-        blob = np.frombuffer(b"".join(contexts), np.uint8)
-        at = np.asarray(table.column("pos").combine_chunks()).astype(np.int64)
+        before = np.asarray(table.column("before").combine_chunks())
+        contexts = table.column("context").to_pylist()
+        size = np.array([len(c) for c in contexts])
+        pos = np.asarray(table.column("pos").combine_chunks()).astype(np.int64)
         ids = table.column("doc_id").combine_chunks()
-        known, raw = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
-        doc = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (raw[1:] != raw[:-1]) | (known[1:] != known[:-1])])
-        later = _later_suffixes(blob, bound, h, doc, at, length)
-        own_start, own_end = runs(later)
-        if not own_start.size:
+        raw = np.asarray(ids.fill_null(NULL_ID))
+        # equal contexts come in order of place: all but those at the first place are covered whole
+        equal = np.r_[False, [contexts[k] == contexts[k - 1] for k in range(1, len(contexts))]] & np.r_[False, (h[1:] == h[:-1]) & (before[1:] == before[:-1])]
+        first = np.maximum.accumulate(np.where(equal, 0, np.arange(h.size)))
+        later = np.flatnonzero(equal & ((raw != raw[first]) | (pos != pos[first])) & (size >= length))
+        if later.size:
+            yield result(ids.take(pa.array(later)), pos[later], pos[later] + size[later])
+        own = np.flatnonzero(~equal)
+        cut = np.r_[True, h[own][1:] != h[own][:-1]]
+        own = own[np.bincount(np.cumsum(cut) - 1)[np.cumsum(cut) - 1] > 1]  # minimizers with several contexts
+        if not own.size:
             return
-        # runs may not go on from one context into the next: a context's last bytes begin no suffix
-        own = np.searchsorted(bound, own_start, "right") - 1
-        pos = at[own] + own_start - bound[own]
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), pa.array(pos.astype(np.int32)), pa.array((pos + (own_end - own_start) + length - 1).astype(np.int32))], ["doc_id", "a", "b"])
+        bound = np.r_[0, np.cumsum(size[own])]
+        blob = np.frombuffer(b"".join([contexts[k] for k in own.tolist()]), np.uint8)
+        doc = np.unique(raw[own], return_inverse=True)[1]
+        start, end = runs(_later_suffixes(blob, bound, h[own], doc, pos[own], length))
+        if start.size:
+            # no run goes on from one context into the next: a context's last bytes begin no suffix
+            k = np.searchsorted(bound, start, "right") - 1
+            a = pos[own][k] + start - bound[k]
+            yield result(ids.take(pa.array(own[k])), a, a + (end - start) + length - 1)
 
-    dealt = several.where(F.col("n") <= group).repartition("h").sortWithinPartitions("h", *place)
-    near = dealt.select("h", "context", "doc_id", "pos").mapInArrow(lpf, "doc_id long, a int, b int")
+    near = work.store(dealt.mapInArrow(lpf, "doc_id long, a int, b int, context binary"), "near")
+    del met, dealt
     one = (
-        several.where(F.col("n") > group)
+        near.where("context IS NOT NULL")
+        .select("doc_id", F.col("a").alias("pos"), "context")
+        .where(F.length("context") >= length)
         .select("doc_id", "pos", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("i"))
         .select("doc_id", (F.col("pos") + F.col("i")).alias("a"), F.md5(F.expr(f"substring(context, i + 1, {length})")).alias("w"))
     )
     least = one.groupBy("w").agg(F.min(F.struct("doc_id", "a")).alias("m"))
     hot = one.join(least, "w").where(~F.struct("doc_id", "a").eqNullSafe(F.col("m"))).select("doc_id", "a", (F.col("a") + length).alias("b"))
-    intervals = copies.unionByName(near).unionByName(hot)
+    intervals = near.where("context IS NULL").select("doc_id", "a", "b").unionByName(hot)
     found = work.store(intervals.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_at")), "found")
-    work.drop("contexts")
+    work.drop("near")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
