@@ -8,7 +8,7 @@ document further ahead) goes.
    words in it: equal windows have equal minimizers, and neighbouring windows
    share theirs.  Partition sketches of the minimizers are merged into a
    count-min sketch, so a window's estimate is never below its count.
-2. Windows estimated repeated are grouped exactly by two independent 64-bit
+2. Windows estimated repeated are grouped exactly by 96 bits of two independent
    hashes of their words.  A task first keeps only the earliest of the equal
    windows that it has, so a passage that a third of all documents hold
    reaches the shuffle once for each task's flush.
@@ -81,7 +81,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(h1[order].view(np.int64), mask=again),
-                pa.array(h2[order].view(np.int64), mask=again),
+                pa.array((h2[order] >> U(32)).astype(np.uint32).view(np.int32), mask=again),
                 pa.array(doc[order], pa.int64(), mask=null[order]),
                 pa.array(pos[order].astype(np.int32)),
             ],
@@ -112,12 +112,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max
         if kept:
             yield flush(kept)
 
-    met = texts.mapInArrow(candidates, "h1 long, h2 long, doc_id long, pos int")
+    met = texts.mapInArrow(candidates, "h1 long, h2 int, doc_id long, pos int")
     # rows without a hash were already second in their own flush
     later = met.withColumn(
         "nth", F.rank().over(Window.partitionBy("h1", "h2", F.when(F.col("h1").isNull(), F.xxhash64("doc_id", "pos"))).orderBy(F.col("doc_id").asc_nulls_first(), "pos"))
     ).where("nth > 1 or h1 is null")
     found = work.store(later.groupBy("doc_id").agg(F.collect_set("pos").alias("_at")), "found")
+    del met, later
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,9 @@ local session) is a folder of our own made and recorded in the session.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +38,10 @@ class Workspace:
     def store(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
-        self.spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files of finished stages
+        for _ in range(2):  # lets the cleaner drop shuffle files of finished stages
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.1)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
