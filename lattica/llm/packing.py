@@ -19,6 +19,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -27,66 +28,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK_BYTES, text_bytes
 from .workspace import Workspace
 
 CAPACITY, END, SALTS, CACHE = 2048, 0, 64, 1 << 19
-_tokenizers: dict[str, tuple] = {}  # a Python worker's, kept from task to task
 
+class _Words(dict):
+    """Word -> code, given at first sight; a code's ids are a stretch of one array."""
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+        self.ids = np.zeros(0, "<u4")
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.fresh.append(word)
+        return code
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the codes, one after another, and how many each has."""
+        length = self.length[codes]
+        ends = np.cumsum(length)
+        at = np.repeat(self.start[codes] - ends + length, length)
+        at += np.arange(at.size)
+        return self.ids[at], length
+
+
+class _Cache:
+    """A Python worker's tokenizer, and two generations of words."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        starts = np.zeros(max(tok.get_vocab().values()) + 1, bool)
-        starts[[k for word, k in tok.get_vocab().items() if word.startswith("\u0120")]] = True  # tokens that begin with a space
-        _tokenizers[path] = (tok, {}, {}, starts)
-    return _tokenizers[path]
+        self.tok = Tokenizer.from_file(path)
+        vocabulary = self.tok.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[k for word, k in vocabulary.items() if word.startswith("\u0120")]] = True  # tokens that begin with a space
+        self.words, self.older = _Words(), _Words()
+
+    def encode(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Each " word", all in one string, cut again where a token begins with a space."""
+        ids = self.encode([" " + " ".join(words)])[0]
+        at = np.flatnonzero(self.spaced[ids])
+        if at.size == len(words) and not at[0]:
+            return [ids], [np.diff(at, append=ids.size)]
+        alone = self.encode([" " + x for x in words])
+        return alone, [np.array([x.size for x in alone], np.int64)]
+
+    def learn(self) -> None:
+        """Ids of the words that were seen for the first time."""
+        words, known, later, single = self.words, [], [], []
+        for x in words.fresh:
+            (known if x in self.older else single if x[-1:] in ("", " ") or x[0].isspace() else later).append(x)
+        words.fresh = []
+        ids, length = self.older.gather(np.fromiter(map(self.older.__getitem__, known), np.int64, len(known)))
+        ids, length = [ids], [length]
+        alone = self.encode([x[:-1] if x.endswith(" ") else " " + x for x in single])
+        ids += alone
+        length.append(np.array([x.size for x in alone], np.int64))
+        for i in range(0, len(later), 512):
+            some, sizes = self._spaced(later[i : i + 512])
+            ids += some
+            length += sizes
+        order = [*known, *single, *later]
+        codes, length = np.fromiter(map(words.__getitem__, order), np.int64, len(order)), np.concatenate(length)
+        words.start, words.length = np.pad(words.start, (0, len(order))), np.pad(words.length, (0, len(order)))
+        words.start[codes] = words.ids.size + np.cumsum(length) - length
+        words.length[codes] = length
+        words.ids = np.concatenate([words.ids, *ids])
+
+
+_caches: dict[str, _Cache] = {}  # kept from task to task
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers.
 
     Byte-level pre-tokenisation never looks across a single space, so a text is encoded
-    chunk by chunk, " word" by " word", from a bounded cache; texts with double spaces
-    or special tokens are encoded whole.
+    chunk by chunk, " word" by " word", from a cache; texts with double spaces
+    or special tokens are encoded whole.  A full cache becomes the older of two, from which
+    words that come again are taken over; the oldest goes.  A text's first word has no space before it
+    and is known by one behind it.
     """
-    tok, head, tail, starts = _tokenizer(path)
-    if len(tail) + len(head) > CACHE:
-        head.clear(), tail.clear()
-    simple = ["  " not in t and "<|" not in t for t in texts]
-    parts = [t.split(" ") if s else None for t, s in zip(texts, simple)]
-    first = {p[0] for p in parts if p and p[0]} - head.keys()
-    later = set().union(*(p[1:] for p in parts if p)) - tail.keys()
-
-    def encode(strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(strings, add_special_tokens=False)]
-
-    def encode_words(words: list[str]) -> list[bytes]:
-        """Each " word", all in one string, cut again where a token begins with a space."""
-        ids = np.array(tok.encode("".join([" " + x for x in words]), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(starts[ids]) * 4
-        if at.size != len(words) or not at.size or at[0]:
-            return encode([" " + x for x in words])
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(data)])]
-
-    if first:
-        first = list(first)
-        head.update(zip(first, encode(first)))
-    if later:
-        blank = [x for x in later if not x[:1].strip()]
-        tail.update(zip(blank, encode([" " + x for x in blank])))
-        later = [x for x in later if x[:1].strip()]
-        for i in range(0, len(later), 512):
-            tail.update(zip(later[i : i + 512], encode_words(later[i : i + 512])))
-    whole = iter(encode([t for t, s in zip(texts, simple) if not s]))
-    get = tail.__getitem__
-    return [(head[p[0]] if p[0] else b"") + b"".join(map(get, p[1:])) if p else next(whole) for p in parts]
+    if path not in _caches:
+        _caches[path] = _Cache(path)
+    cache = _caches[path]
+    if len(cache.words) > CACHE:
+        cache.words, cache.older = _Words(), cache.words
+    code = cache.words.__getitem__
+    out: list[bytes | None] = [None] * len(texts)
+    rows, codes, whole = [], [], []
+    for i, text in enumerate(texts):
+        if "  " in text or "<|" in text:
+            whole.append(i)
+            continue
+        own = text.split(" ")
+        own[0] += " "
+        rows.append(i)
+        codes.append(np.fromiter(map(code, own), np.int64, len(own)))
+    if rows:
+        cache.learn()
+        ids, length = cache.words.gather(np.concatenate(codes))
+        first = np.cumsum([0, *(x.size for x in codes)])
+        at = np.r_[0, np.cumsum(length)][first].tolist()
+        for i, a, b in zip(rows, at, at[1:]):
+            out[i] = ids[a:b].tobytes()
+    for i, ids in zip(whole, cache.encode([texts[i] for i in whole])):
+        out[i] = ids.tobytes()
+    return out
+
 
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of rows of about a block's bytes; null is empty."""
+    _, at = text_bytes(texts)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_BYTES, "right")) - 1)
+        yield i, [t or "" for t in texts[i:j].to_pylist()]
+        i = j
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, piece, start, length, ids binary of little-endian 32-bit ids)."""
+
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, piece, start, length, ids_crc32[, ids binary of little-endian 32-bit ids])."""
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,22 +162,28 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         for batch in batches:
-            ids, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text")
-            for i in range(0, batch.num_rows, 256):
-                own = [t or "" for t in texts[i : i + 256].to_pylist()]
+            doc_ids = batch.column("doc_id").cast(pa.int64())
+            for i, texts in _stretches(batch.column("text")):
                 row, piece, start, blob = [], [], [], []
-                for r, ids_r in enumerate(token_bytes(own, tokenizer_path)):
-                    ids_r += end
-                    n = len(ids_r) // 4
+                for r, ids in enumerate(token_bytes(texts, tokenizer_path)):
+                    ids += end
+                    n = len(ids) // 4
                     at = [0] if n <= capacity else [0, *range(n % capacity or capacity, n, capacity)]
                     for k, (a, b) in enumerate(zip(at, [*at[1:], n])):
-                        row.append(i + r), piece.append(k), start.append(a), blob.append(ids_r[4 * a : 4 * b])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in blob], pa.int64()), pa.array(blob, pa.binary())],
-                    ["doc_id", "piece", "start", "length", "ids"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+                        row.append(i + r), piece.append(k), start.append(a), blob.append(ids[4 * a : 4 * b])
+                columns = {
+                    "doc_id": doc_ids.take(pa.array(row, pa.int64())),
+                    "piece": pa.array(piece, pa.int32()),
+                    "start": pa.array(start, pa.int64()),
+                    "length": pa.array([len(x) // 4 for x in blob], pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(x) for x in blob], pa.int64()),
+                }
+                if keep_ids:
+                    columns["ids"] = pa.array(blob, pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), largest first
@@ -280,6 +354,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     Each piece's ids are identified by their CRC-32; with keep_ids they are carried along themselves.
     """
     work = Workspace(docs.sparkSession)
-    pieces = tokenize_pieces(docs, tokenizer_path, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    pieces = work.store(pieces if keep_ids else pieces.drop("ids"), "pieces")
+    pieces = work.store(tokenize_pieces(docs, tokenizer_path, capacity, keep_ids), "pieces")
     return pack_pieces(pieces, capacity, work)
