@@ -153,7 +153,8 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
     variants = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.kind", "k.rest", "k.side")
     met = variants.groupBy("kind", "rest").agg(F.count("*").alias("n"), F.min("side").alias("_lo"), F.max("side").alias("_hi"))
     met = met.where("n > 1 and (_lo = 2 or _lo < _hi)").drop("_lo", "_hi")
-    held = variants.join(met, ["kind", "rest"])
+    # Spark's estimate leaves out the 66 variants of a fingerprint, so it would broadcast either side too early
+    held = variants.hint("merge").join(met, ["kind", "rest"])
     many = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), many).cast("int")
     held = held.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), many - 1)))
