@@ -335,6 +335,19 @@ def test_line_dedup(docs, table):
     assert total <= 0.01 * len(table)  # bands find a pair at the threshold with probability 0.997
 
 
+def removed_of_pairs(spark, pairs):
+    """How many of the pairs of near lines, each pair one document, the operator finds."""
+    rows = [(i, f"{a}\n{b}", "en", "s", 1, "x", 1, 1) for i, (a, b) in enumerate(pairs)]
+    return sum(r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+def test_line_dedup_of_pairs_about_64_characters(spark):
+    rng = np.random.default_rng(8)
+    lines = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz  "), 70)).replace(" ", "_") for _ in range(300)]
+    pairs = [(x[: 60 + i % 5], x[: 65 + i % 4]) for i, x in enumerate(lines)]  # a Jaccard similarity of 0.86 and more
+    assert removed_of_pairs(spark, pairs) >= 0.99 * len(pairs)
+
+
 def test_quality(spark, docs):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
