@@ -348,6 +348,21 @@ def test_line_dedup_of_pairs_about_64_characters(spark):
     assert removed_of_pairs(spark, pairs) >= 0.99 * len(pairs)
 
 
+def test_line_dedup_of_long_lines(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abdefghijklmnopqrtuvwxyz"), rng.integers(4, 9))) for _ in range(400)]
+    pairs = []
+    for i in range(300):  # none of these lines has a letter c or s; the first word, or two within, are others
+        own = rng.choice(words, 30 + i % 20).tolist()
+        other = list(own)
+        for k in [0] if i % 2 else [7, 19]:
+            other[k] = "new" + other[k]
+        pairs.append((" ".join(own), " ".join(other)))
+    grams = [[{x[i : i + 8] for i in range(len(x) - 7)} for x in p] for p in pairs]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in grams)
+    assert removed_of_pairs(spark, pairs) >= 0.99 * len(pairs)
+
+
 def test_quality(spark, docs):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
