@@ -410,6 +410,45 @@ def test_null_ids_and_repeated_rows(spark):
         assert df.count() == many
 
 
+def test_document_stage_against_brute_force(spark, docs, table):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(4)
+    edits = []
+    for d, t in table:
+        w = t.split(" ")
+        if 60 <= len(w) <= 2000 and len(edits) < 150:
+            for _ in range(1 + len(w) // 150):
+                w[int(rng.integers(len(w)))] = "edited"
+            edits.append((20_000 + d, " ".join(w), "en", "s", 1, "x", 1, 1))
+    every = sorted(table + [(e[0], e[1]) for e in edits])
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = {d: grams(t) for d, t in every}
+    held, parent = {}, {d: d for d in sets}
+    for d, own in sets.items():
+        for g in own:
+            held.setdefault(g, []).append(d)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(a, b) for a, b in {(a, b) for own in held.values() for a in own for b in own if a < b} if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    want = {d for d in sets if root(d) == d}
+    kept = {r.doc_id for r in p.document_stage(spark, docs.unionByName(spark.createDataFrame(edits, SCHEMA)), "").select("doc_id").collect()}
+    lost = len(sets) - len(want)
+    print("near copies", lost, "kept in error", len(kept - want), "removed in error", len(want - kept))
+    assert lost > 100 and not want - kept and len(kept - want) <= 0.01 * lost
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as p
 
