@@ -10,8 +10,11 @@ A linear scorer over hashed features (words and word shapes) is fitted by
 logistic regression to the posteriors of at most SAMPLE documents, those of least hash
 (a bound on the fit alone), and scores every whole text.
 
-Documents with TOXIC_HITS or more different words of TOXIC are marked toxic.  keep is true
-for documents that the scorer finds good and that are not toxic.
+Toxicity has a second linear scorer, over how often a document has each word and each word's beginning of
+TOXIC_STEMS bytes (hashed, ASCII marks at both ends stripped; inflected forms share a beginning), fitted to the toxic labels of at most TOXIC_SAMPLE labelled documents of any language,
+those of least hash; what fewer than TOXIC_DOCS of these have has no weight.  Documents that it
+finds toxic, or with TOXIC_HITS or more different words of TOXIC (all there is where no labels are given), are marked
+toxic.  keep is true for documents that the scorer finds good and that are not toxic.
 
 A null or wordless text has no votes and no features; it scores as bad.
 Repeated rows are scored each; other columns pass through keep_good() untouched.  Where there are too few documents to
@@ -27,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import U, blocks, word_hashes, words
+from .blocks import BYTE_BASE, U, blocks, mix, prefix, spans, word_hashes, words
 from .workspace import Workspace
 
 SAMPLE, MIN_FIT, BUCKETS, TOXIC_HITS = 6000, 50, 1 << 12, 2
+TOXIC_SAMPLE, TOXIC_BITS, TOXIC_DOCS, TOXIC_STEMS = 6000, 18, 8, (6, 7, 8)
 #: Prior rate of bad votes on good documents, and its weight against the counts.
 FALSE_ALARM, FIRM = 0.002, 20.0
 
@@ -45,6 +49,8 @@ CLASS = np.zeros(256, np.uint8)  # 1 symbol, 2 capital, 3 small letter, 4 exclam
 for _chars, _k in (("#$%&*<>=~^\\{}[]@", 1), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), ("abcdefghijklmnopqrstuvwxyz", 3), ("!", 4), ("|", 5), ("0123456789", 6), (".,;:?", 7)):
     CLASS[[ord(c) for c in _chars]] = _k
 CLASS[128:] = 8
+MARK = np.zeros(256, bool)
+MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 FOLD = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
@@ -81,7 +87,21 @@ def analyse(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     for _ in range(3):
         core_end -= (core_end > start) & np.isin(CLASS[data[np.maximum(core_end - 1, 0)]] if data.size else np.zeros(0), (1, 4, 5, 7))
     folded = FOLD[data]
-    core = word_hashes(folded, start, core_end) if start.size else np.zeros(0, U)
+    core = bare = np.zeros(0, U)
+    stems, stem_doc = np.zeros(0, U), np.zeros(0, np.int64)
+    if start.size:
+        sums = prefix(folded.astype(U) + U(1), BYTE_BASE)
+        core = spans(sums, start, core_end, BYTE_BASE)
+        # for toxic words, no marks at either end
+        place = np.arange(data.size)
+        before = np.maximum.accumulate(np.where(MARK[data], -1, place))
+        after = np.minimum.accumulate(np.where(MARK[data], data.size, place)[::-1])[::-1]
+        bare_end = np.maximum(before[end - 1] + 1, start)
+        bare_start = np.minimum(after[start], bare_end)
+        bare = spans(sums, bare_start, bare_end, BYTE_BASE)
+        long = [np.flatnonzero(bare_end - bare_start >= k) for k in TOXIC_STEMS]
+        stems = np.concatenate([bare, *[mix(spans(sums, bare_start[x], bare_start[x] + k, BYTE_BASE), k) for k, x in zip(TOXIC_STEMS, long)]])
+        stem_doc = np.concatenate([doc, *[doc[x] for x in long]])
     size = end - start
     same = np.r_[False, (core[1:] == core[:-1]) & (doc[1:] == doc[:-1])][: core.size]
     letters = kinds[2] + kinds[3]
@@ -112,17 +132,17 @@ def analyse(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     ).astype(np.int8)
     votes[:, bounds[1:] == bounds[:-1]] = 0
     votes[:, np.bincount(doc, minlength=n) == 0] = 0
-    toxic_at = np.flatnonzero(_among(core, _TOXIC))
+    toxic_at = np.flatnonzero(_among(bare, _TOXIC))
     toxic = np.zeros(n, np.int64)
     if toxic_at.size:
-        pairs = np.unique(np.stack([doc[toxic_at].astype(np.int64), np.searchsorted(_TOXIC, core[toxic_at])]), axis=1)
+        pairs = np.unique(np.stack([doc[toxic_at].astype(np.int64), np.searchsorted(_TOXIC, bare[toxic_at])]), axis=1)
         toxic = np.bincount(pairs[0], minlength=n)
     shape = (
         (np.minimum(kinds[1], 3)) * 256 + (np.minimum(kinds[4], 2)) * 64 + (np.minimum(kinds[5], 1)) * 32 + same * 16 + ((kinds[2] > 1) & (kinds[3] == 0)) * 8 + (kinds[6] > 0) * 4 + _among(core, _STOP) * 2 + (size > 14)
     )
     half = BUCKETS // 2
     features = np.stack([(core >> U(53)).astype(np.int64) % half, half + (shape * 2654435761 % (1 << 32) >> 7) % half])
-    return {"votes": votes, "toxic": toxic, "features": features, "doc": doc, "count": count}
+    return {"votes": votes, "toxic": toxic, "features": features, "stems": (stems >> U(64 - TOXIC_BITS)).astype(np.int64), "stem_doc": stem_doc.astype(np.int64), "doc": doc, "count": count}
 
 
 def pattern_of(votes: np.ndarray) -> np.ndarray:
@@ -189,8 +209,65 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.5
     return w
 
 
-def score_quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, posterior, score, toxic_words, keep); score is the probability of good."""
+def fit_toxicity(sets: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = 1e-3) -> np.ndarray | None:
+    """Weights by bucket (the last is the bias) of a logistic regression on (buckets, log counts) of each document, by Adam."""
+    if len(sets) < MIN_FIT or not 0 < toxic.sum() < toxic.size:
+        return None
+    size = 1 << TOXIC_BITS
+    held = np.zeros(size, np.int64)
+    for x, _ in sets:
+        held[x] += 1
+    common = np.flatnonzero(held >= TOXIC_DOCS)
+    at = np.full(size, -1, np.int32)
+    at[common] = np.arange(common.size)
+    parts = []  # a few hundred documents at a time, so that the driver's memory stays small
+    for i in range(0, len(sets), 256):
+        some = [(at[x][at[x] >= 0], v[at[x] >= 0]) for x, v in sets[i : i + 256]]
+        parts.append((i, len(some), np.repeat(np.arange(len(some), dtype=np.int16), [x.size for x, _ in some]), np.concatenate([x for x, _ in some]), np.concatenate([v for _, v in some])))
+    w, m, v = (np.zeros(common.size + 1) for _ in range(3))
+    weight = np.where(toxic > 0, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))  # both classes count alike
+    for t in range(1, steps + 1):
+        g = np.r_[l2 * w[:-1], 0.0]
+        for i, n, row, col, value in parts:
+            z = np.bincount(row, weights=w[col] * value, minlength=n) + w[-1]
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[i : i + n]) * weight[i : i + n] / toxic.size
+            g[:-1] += np.bincount(col, weights=e[row] * value, minlength=common.size)
+            g[-1] += e.sum()
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    out = np.zeros(size + 1, np.float32)
+    out[common], out[-1] = w[:-1], w[-1]
+    return out
+
+
+def _word_sets(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, bucket and log count of each document's different words and beginnings."""
+    both, times = np.unique(a["stem_doc"] << TOXIC_BITS | a["stems"], return_counts=True)
+    return both >> TOXIC_BITS, both & ((1 << TOXIC_BITS) - 1), np.log1p(times).astype(np.float32)
+
+
+def _toxicity(texts: DataFrame, labels: DataFrame) -> np.ndarray | None:
+    """The toxicity scorer's weights from labels(doc_id, toxic)."""
+    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_d"), F.col("toxic").cast("int"))
+    known = known.orderBy(F.xxhash64("_d", F.lit(11)), "toxic").limit(TOXIC_SAMPLE)
+    drawn = texts.join(F.broadcast(known), texts["doc_id"] == F.col("_d")).select("text", "toxic")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, bounds in blocks(batch):
+                row, word, value = _word_sets(analyse(data, bounds))
+                cut = np.searchsorted(row, np.arange(j - i + 1))
+                x = [word[cut[r] : cut[r + 1]].astype(np.int32).tobytes() for r in range(j - i)]
+                v = [value[cut[r] : cut[r + 1]].astype(np.float16).tobytes() for r in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic")[i:j].cast(pa.int32()), pa.array(x, pa.binary()), pa.array(v, pa.binary())], ["toxic", "x", "v"])
+
+    got = sorted(map(tuple, drawn.mapInArrow(sets, "toxic int, x binary, v binary").collect()))
+    return fit_toxicity([(np.frombuffer(x, np.int32), np.frombuffer(v, np.float16)) for _, x, v in got], np.array([t for t, _, _ in got], float))
+
+
+def score_quality(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, posterior, score, toxic_words, toxic_score, keep); score is the probability of good,
+    toxic_score that of toxic by the scorer fitted to labels(doc_id, toxic), null without one."""
     spark = docs.sparkSession
     work = Workspace(spark)
     texts = docs.select("doc_id", "text")
@@ -224,11 +301,13 @@ def score_quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         if got and 0 < (y > 0.5).sum() < y.size:
             x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32)
             weights = fit_scorer(x, y).astype(np.float32)
+            del x
         del got
-    shared = spark.sparkContext.broadcast((posterior, weights))
+    toxicity = _toxicity(texts, labels) if labels is not None else None
+    shared = spark.sparkContext.broadcast((posterior, weights, toxicity))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posterior, w = shared.value
+        posterior, w, tox = shared.value
         for batch in batches:
             for i, j, data, bounds in blocks(batch):
                 a = analyse(data, bounds)
@@ -238,16 +317,20 @@ def score_quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     cut = np.searchsorted(a["doc"], np.arange(j - i + 1))
                     z = np.array([_features(np.arange(cut[r], cut[r + 1]), a["features"], int(a["count"][r])) @ w[:-1] + w[-1] if cut[r + 1] > cut[r] else 30.0 for r in range(j - i)])
                     good = 1 / (1 + np.exp(np.clip(z, -30, 30)))
-                keep = (good > 0.5) & (a["toxic"] < TOXIC_HITS)
+                toxic = np.zeros(j - i)
+                if tox is not None:
+                    row, word, value = _word_sets(a)
+                    toxic = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=tox[word] * value, minlength=j - i) + tox[-1], -30, 30)))
+                keep = (good > 0.5) & (a["toxic"] < TOXIC_HITS) & (toxic < 0.5)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[i:j].cast(pa.int64()), pa.array(p), pa.array(good, pa.float64()), pa.array(a["toxic"], pa.int32()), pa.array(keep)],
-                    ["doc_id", "posterior", "score", "toxic_words", "keep"],
+                    [batch.column("doc_id")[i:j].cast(pa.int64()), pa.array(p), pa.array(good, pa.float64()), pa.array(a["toxic"], pa.int32()), pa.array(toxic) if tox is not None else pa.nulls(j - i, pa.float64()), pa.array(keep)],
+                    ["doc_id", "posterior", "score", "toxic_words", "toxic_score", "keep"],
                 )
 
-    return texts.mapInArrow(score, "doc_id long, posterior double, score double, toxic_words int, keep boolean")
+    return texts.mapInArrow(score, "doc_id long, posterior double, score double, toxic_words int, toxic_score double, keep boolean")
 
 
-def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    bad = score_quality(docs, sample).where("not keep").select(F.col("doc_id").alias("_bad")).distinct()
+    bad = score_quality(docs, sample, labels).where("not keep").select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")

@@ -66,7 +66,7 @@ def op9_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.score_quality(_documents(spark, sf))
+    return quality.score_quality(_documents(spark, sf), labels=spark.read.parquet(f"{sf}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

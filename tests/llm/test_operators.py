@@ -374,6 +374,25 @@ def test_quality(spark, docs):
     assert not odd[10_000].keep and not odd[10_001].keep
 
 
+def test_toxicity_is_learned_from_labels_of_all_languages(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").cache()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id").cache()
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0  # a quarter of the labels is left out of the fit
+    rows = quality.score_quality(docs, labels=labels.where(~held)).join(labels.where(held), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    marked = lambda r: r.toxic_score >= 0.5 or r.toxic_words >= quality.TOXIC_HITS
+    clean = [r for r in rows if not r.toxic]
+    found = {x: ([marked(r) for r in rows if r.toxic and r.lang == x]) for x in ("en", "de", "fr", "es")}
+    print({x: (sum(v), len(v)) for x, v in found.items()}, "clean marked", sum(map(marked, clean)), "of", len(clean))
+    assert np.mean(found["en"]) > 0.85 and np.mean(found["de"] + found["fr"] + found["es"]) > 0.85 and np.mean([marked(r) for r in clean]) < 0.03
+
+
+def test_toxic_words_between_marks():
+    text = "(idiot) 'moron' nothing".encode()
+    got = quality.analyse(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert got["toxic"].tolist() == [2]
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(5)
     bad = rng.random(20000) < 0.2
