@@ -6,7 +6,8 @@ of a document that are as long as the item are given SimHash fingerprints.
 A multi-index over 8 blocks of 8 bits (each block's values within RADIUS/8
 bits lead to the items) returns every item within RADIUS bits; for
 these the weighted similarity of the two shingle multisets (sum of lesser counts over
-sum of greater counts) is computed exactly and must reach THRESHOLD.
+sum of greater counts) is computed exactly and must reach THRESHOLD.  A document shorter than the
+item is one window, compared as a whole.
 
 Only windows that can reach the threshold are fingerprinted: a similarity of
 t between two multisets of m shingles needs 2tm/(1+t) in common, which is
@@ -94,6 +95,8 @@ def _search(index: Index, data: np.ndarray, bounds: np.ndarray, threshold: float
     if not start.size:
         return []
     hashes = word_hashes(data, start, end)
+    cut = np.searchsorted(doc, np.arange(bounds.size))
+    sizes = np.diff(cut)
     best: dict[tuple[int, int], tuple] = {}
     for k in index.known:
         grams = rolling(hashes, k, WORD_BASE)
@@ -104,10 +107,24 @@ def _search(index: Index, data: np.ndarray, bounds: np.ndarray, threshold: float
             continue
         total = np.r_[0, np.cumsum(hit)]
         for key in index.by_length:
-            if key[0] != k or start.size < key[1]:
+            if key[0] != k:
                 continue
             length = key[1]
             m = length - k + 1
+            # documents shorter than the item, as a whole
+            short = np.flatnonzero((sizes >= k) & (sizes < length))
+            own = sizes[short] - k + 1
+            reach = total[cut[short] + own] - total[cut[short]] >= np.ceil(threshold * (m + own) / (1 + threshold) - 1e-9)
+            for r, n_own in zip(short[reach].tolist(), own[reach].tolist()):
+                row = grams[cut[r] : cut[r] + n_own]
+                mine = Counter(row.tolist())
+                for item, _, weights, bits in index.near(key, int(simhash(row[None, :])[0])):
+                    same = (mine & weights).total()
+                    similarity = same / (m + n_own - same)
+                    if similarity >= threshold:
+                        best[r, item] = (-similarity, 0, n_own + k - 1, bits)
+            if start.size < length:
+                continue
             need = int(np.ceil(2 * threshold * m / (1 + threshold) - 1e-9))
             n = start.size - length + 1
             at = np.flatnonzero((total[m : m + n] - total[:n] >= need) & (doc[:n] == doc[length - 1 :]))

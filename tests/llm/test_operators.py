@@ -161,6 +161,19 @@ def test_decontamination(spark, docs, table, sf):
     assert kept == {d for d, _ in table} - {d for d, i in want if i < 900}
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    own = [f"word{i}" for i in range(50)]
+    texts = [own, own[1:], own[:48], own[2:48], own[10:40], own[:3], ["other"] * 49, own[:24] + own[25:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, " ".join(own))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 7]
+    assert [got[i].n_words for i in (0, 1, 2, 3, 7)] == [50, 49, 48, 46, 49] and all(r.start_word == 0 for r in got.values())
+    assert got[2].similarity == 44 / 46 and got[7].similarity == 41 / 50
+    # alone in its block
+    assert decontaminate.decontaminate(docs.where("doc_id in (2, 6)"), bench).select("doc_id").collect() == [(6,)]
+
+
 def test_tokens_and_packing(docs, table):
     from tokenizers import Tokenizer
 
