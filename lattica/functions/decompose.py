@@ -24,6 +24,15 @@ def orthogonality_error(q: np.ndarray) -> float:
     return float(np.abs(q.T @ q - np.eye(q.shape[1])).max()) if q.size else 0.0
 
 
+def svd(a: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """U (m x k), the singular values in falling order, V (n x k); all min(m, n) of them unless k is given."""
+    least = min(a.shape)
+    if k is not None and k > least:
+        raise ValueError(f"{k} singular values of a matrix with {least}")
+    u, s, v = np.linalg.svd(a, full_matrices=False)
+    return u[:, :k], s[:k], v[:k].T
+
+
 def low_rank(a: np.ndarray, rank: int) -> np.ndarray:
     u, s, v = np.linalg.svd(a, full_matrices=False)
     return (u[:, :rank] * s[:rank]) @ v[:rank]
@@ -65,6 +74,10 @@ def skew(a: np.ndarray) -> np.ndarray:
     return (a - a.T) / 2
 
 
+def is_skew_symmetric(a: np.ndarray, tolerance: float = 1e-9) -> bool:
+    return a.ndim == 2 and a.shape[0] == a.shape[1] and bool((np.abs(a + a.T) <= tolerance).all())
+
+
 def lie_logarithm(r: np.ndarray) -> np.ndarray:
     """First-order: the skew part of R - I."""
     return skew(r - np.eye(len(r)))
@@ -120,6 +133,16 @@ def orthogonalize(tensors: DataFrame) -> DataFrame:
     return map_tensors(tensors, kernel, "q array<double>, error double")
 
 
+def singular_values(tensors: DataFrame, k: int | None = None) -> DataFrame:
+    """(name, u, s, v, error): the singular value decomposition of each matrix, and how far U S V^T is from it."""
+
+    def kernel(a):
+        u, s, v = svd(a, k)
+        return {"u": u, "s": s, "v": v, "error": float(np.linalg.norm((u * s) @ v.T - a))}
+
+    return map_tensors(tensors, kernel, "u array<double>, s array<double>, v array<double>, error double")
+
+
 def compress(tensors: DataFrame, rank: int, importance: DataFrame | None = None) -> DataFrame:
     """(name, rank, original, compressed, ratio, error): tensor-ring sizes at rank, or at ceil(rank x importance(name, w))."""
     t = tensors.withColumn("w", F.lit(1.0)) if importance is None else tensors.join(importance, "name", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))

@@ -58,6 +58,42 @@ def optimization_step(edges: DataFrame, loss: DataFrame, step: int, total: int,
     return update(structure_gradients(discretize(edges, t), loss, t, **terms), rate)
 
 
+def optimize(edges: DataFrame, loss_of, steps: int, rate: float = 0.01, **terms) -> tuple[DataFrame, dict]:
+    """Gradient steps on learnable edges -> the edges that are left, and a report.
+
+    loss_of(edges) -> (loss, gradients(src, dst, g)): the loss and its derivative by each edge's probability.  After the steps edges are discretised, and those that do not exist are pruned.
+    """
+    from ..iterate import cut
+
+    losses, total = [], edges.count()
+    for step in range(steps):
+        loss, g = loss_of(edges)
+        losses.append(float(loss))
+        edges = cut(optimization_step(edges, g, step, steps, rate, **terms).select(*edges.columns))
+    losses.append(float(loss_of(edges)[0]))
+    edges = cut(discretize(edges, annealed(steps, steps)))
+    kept = edges.where("exists")
+    n = kept.count()
+    return kept, {"initial_loss": losses[0], "final_loss": losses[-1], "losses": losses, "steps": steps, "total_edges": total, "pruned_edges": total - n}
+
+
+def linear_loss(edges: DataFrame, features: DataFrame, target: DataFrame) -> tuple[float, DataFrame, DataFrame]:
+    """Half the squared error of y_dst = sum of p w x_src against target(id, y), for features(id, x) -> (loss, gradients by p (src, dst, g), gradients by w (src, dst, gw))."""
+    e = edges.join(features.select(F.col("id").alias("src"), "x"), "src")
+    got = e.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("prob") * F.col("weight") * F.col("x")).alias("got"))
+    error = target.join(got, "id", "left").select("id", (F.coalesce("got", F.lit(0.0)) - F.col("y")).alias("error"))
+    loss = error.agg(F.coalesce(F.sum(F.col("error") * F.col("error")) / 2, F.lit(0.0))).first()[0]
+    back = e.join(error.withColumnRenamed("id", "dst"), "dst")
+    return loss, back.select("src", "dst", (F.col("error") * F.col("weight") * F.col("x")).alias("g")), back.select("src", "dst", (F.col("error") * F.col("prob") * F.col("x")).alias("gw"))
+
+
+def joint_step(edges: DataFrame, features: DataFrame, target: DataFrame, step: int, total: int, rate: float = 0.01, weight_rate: float = 0.01, threshold: float = 0.1, **terms) -> tuple[DataFrame, float]:
+    """One step on weights and structure together: both gradients of linear_loss(), then weak edges (not existing and below the threshold) are pruned."""
+    loss, g, gw = linear_loss(edges, features, target)
+    moved = edges.join(gw, ["src", "dst"], "left").withColumn("weight", F.col("weight") - weight_rate * F.coalesce("gw", F.lit(0.0))).select(*edges.columns)
+    return prune_weak(optimization_step(moved, g, step, total, rate, **terms).select(*edges.columns), threshold), loss
+
+
 def gumbel_softmax(options: DataFrame, temperature: float = 1.0, seed: int = 42, hard: bool = False) -> DataFrame:
     """options(grp, item, logit) -> (grp, item, y); hard gives the one-hot of the greatest."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "grp", "item"), 11) + 1) / F.lit(float((1 << 53) + 1))

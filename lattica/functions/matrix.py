@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import TooLarge
 from ..graph import Graph
 from ..iterate import cut
 
@@ -17,6 +18,27 @@ def adjacency(graph: Graph) -> DataFrame:
     return graph.arcs().groupBy(F.col("src").alias("i"), F.col("dst").alias("j")).agg(F.sum("weight").alias("v"))
 
 
+def dense_adjacency(graph: Graph, limit: int = 4096) -> DataFrame:
+    """(i, row): for each vertex, in order of id, its weights to all vertices in that order.  n entries a row, so for at most `limit` vertices."""
+    ids = sorted(r.id for r in graph.vertices.select("id").limit(limit + 1).collect())
+    if len(ids) > limit:
+        raise TooLarge("use adjacency()")
+    cells = adjacency(graph).groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))
+    rows = graph.vertices.select(F.col("id").alias("i")).join(cells, "i", "left")
+    return rows.select("i", F.transform(F.lit(ids).cast("array<long>"), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("row"))
+
+
+def batch_matmul(batches: DataFrame, weight: DataFrame) -> DataFrame:
+    """batches(b, i, j, v) times weight(i, j, v), the same for every batch -> (b, i, j, v): one join on the inner index."""
+    left, right = batches.select("b", "i", F.col("j").alias("k"), F.col("v").alias("x")), weight.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
+    return left.join(right, "k").groupBy("b", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
+def expand_last(m: DataFrame, width: int) -> DataFrame:
+    """A matrix of one column, repeated to `width` columns."""
+    return m.select(*[c for c in m.columns if c not in ("j", "v")], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("j"), "v")
+
+
 def combine(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     """add, sub, mul (Hadamard) or div of canonical matrices; mul and div keep the coordinates of both."""
     how = "full" if op in ("add", "sub") else "inner"

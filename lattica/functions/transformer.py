@@ -30,11 +30,11 @@ def block_sparse_mask(spark: SparkSession, n: int, block: int, blocks: int) -> D
 
 
 def star_mask(spark: SparkSession, n: int, center_ratio: float, window: int = 64) -> DataFrame:
-    """Centres (the first share of positions) attend to all and are attended by all; the others within the window."""
-    centers = max(1, int(n * center_ratio))
-    near = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("id") - window), F.least(F.lit(n - 1).cast("long"), F.col("id") + window))).alias("j"))
-    hub = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(centers - 1).cast("long"))).alias("j"))
-    return near.union(hub).union(hub.select("j", "i")).distinct()
+    """Centres (the first share of positions, rounded up) attend to all; the others to the centres and to i-window .. i+window-1."""
+    centers = math.ceil(n * center_ratio)
+    own = F.array_union(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("id") - window), F.least(F.lit(n).cast("long"), F.col("id") + window) - 1), F.sequence(F.lit(0).cast("long"), F.lit(centers - 1).cast("long"))) if centers else F.sequence(F.greatest(F.lit(0).cast("long"), F.col("id") - window), F.least(F.lit(n).cast("long"), F.col("id") + window) - 1)
+    every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    return spark.range(n).select(F.col("id").alias("i"), F.explode(F.when(F.col("id") < centers, every).otherwise(own)).alias("j"))
 
 
 def apply_mask(scores: DataFrame, mask: DataFrame) -> DataFrame:
@@ -62,6 +62,12 @@ def attention(q: DataFrame, k: DataFrame, v: DataFrame, mask: DataFrame | None =
     return out.groupBy("b", "h", F.col("i").alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "y"))), lambda z: z["y"]).alias("x"))
 
 
+def sliding_window_attention(q: DataFrame, k: DataFrame, v: DataFrame, window: int, groups: int = 1) -> DataFrame:
+    """Attention of position i to i-window .. i, both included."""
+    n = q.agg(F.max("pos")).first()[0]
+    return attention(q, k, v, sliding_window_mask(q.sparkSession, (n if n is not None else -1) + 1, window + 1), groups)
+
+
 def feed_forward(x: Column | str, up: list[list[float]], down: list[list[float]], gate: list[list[float]] | None = None, kind: str = "standard") -> Column:
     """standard: down(relu(up x)); swiglu: down(silu(gate x) * up x); geglu: down(gelu(gate x) * up x)."""
     from .gnn import linear
@@ -135,6 +141,13 @@ def sample(probs: DataFrame, seed: int = 42) -> DataFrame:
     return probs.where("p > 0").groupBy("seq").agg(F.max_by("token", F.log("p") - F.log(-F.log(u))).alias("token"))
 
 
+def repetition_penalty(logits: DataFrame, sequences: DataFrame, penalty: float) -> DataFrame:
+    """logits(seq, token, logit) of tokens that sequences(seq, tokens) hold: divided by the penalty if positive, else multiplied."""
+    held = sequences.select("seq", F.explode(F.array_distinct("tokens")).alias("token"), F.lit(True).alias("_held"))
+    z = F.col("logit")
+    return logits.join(held, ["seq", "token"], "left").select("seq", "token", F.when(F.col("_held"), F.when(z > 0, z / penalty).otherwise(z * penalty)).otherwise(z).alias("logit"))
+
+
 def beam_step(beams: DataFrame, logits: DataFrame, width: int) -> DataFrame:
     """beams(seq, beam, tokens, score) with logits(seq, beam, token, logit) -> the best `width` continuations of each sequence."""
     w = Window.partitionBy("seq", "beam")
@@ -145,14 +158,67 @@ def beam_step(beams: DataFrame, logits: DataFrame, width: int) -> DataFrame:
     return all_.withColumn("beam", nth - 1).where(F.col("beam") < width).select("seq", "beam", "tokens", "score")
 
 
-def generate(model, prompts: DataFrame, steps: int, choose=greedy) -> DataFrame:
-    """prompts(seq, tokens); model(prompts) -> logits(seq, token, logit) for the next token."""
-    from ..iterate import cut
+def generate(
+    model, prompts: DataFrame, max_length: int, choose: str = "greedy", temperature: float = 1.0, k: int = 0, p: float = 0.0, repetition: float = 1.0, eos: int | None = None, min_length: int = 0, seed: int = 42
+) -> DataFrame:
+    """prompts(seq, tokens) with up to max_length new tokens each; model(sequences) -> logits(seq, token, logit) of the next token.
 
-    out = prompts
-    for _ in range(steps):
-        out = cut(out.join(choose(model(out)), "seq").select("seq", F.concat("tokens", F.array("token")).alias("tokens")))
-    return out
+    choose is "greedy" or "sample".  A sequence ends before its EOS token, which is not kept and not chosen within min_length.  All sequences take
+    a step together; those that have ended wait.
+    """
+    from ..iterate import cut_with
+
+    rows = F.count_if("_open").alias("rows")
+    out, left = cut_with(prompts.select("seq", F.col("tokens").cast("array<long>").alias("tokens"), F.lit(True).alias("_open")), rows)
+    for step in range(max_length):
+        if not left["rows"]:
+            break
+        live = out.where("_open").drop("_open")
+        logits = model(live)
+        if repetition != 1.0:
+            logits = repetition_penalty(logits, live, repetition)
+        if eos is not None and step < min_length:
+            logits = logits.where(F.col("token") != eos)
+        if choose == "greedy":
+            chosen = greedy(logits)
+        else:
+            probs = probabilities(logits, temperature)
+            probs = top_k(probs, k) if k else probs
+            probs = top_p(probs, p) if p else probs
+            chosen = sample(probs, seed + step)
+        chosen = chosen.select("seq", F.col("token").cast("long").alias("_next"))
+        ends = F.lit(False) if eos is None else F.col("_next") == eos
+        goes_on = F.col("_next").isNotNull() & ~ends
+        new = out.join(chosen, "seq", "left").select("seq", F.when(goes_on, F.concat("tokens", F.array("_next"))).otherwise(F.col("tokens")).alias("tokens"), F.coalesce(goes_on, F.lit(False)).alias("_open"))
+        out, left = cut_with(new, rows)
+    return out.drop("_open")
+
+
+def beam_search(model, prompts: DataFrame, max_length: int, width: int, eos: int | None = None, length_penalty: float = 1.0) -> DataFrame:
+    """(seq, tokens, score): the best of `width` hypotheses by log probability over length ** length_penalty.
+
+    model(sequences with beam) -> logits(seq, beam, token, logit).  A hypothesis that ends in EOS is kept as it is, and the search of a
+    sequence ends when all its hypotheses have ended.
+    """
+    from ..iterate import cut, cut_with
+
+    beams = cut(prompts.select("seq", F.lit(0).alias("beam"), F.col("tokens").cast("array<long>").alias("tokens"), F.lit(0.0).alias("score"), F.lit(0).alias("new"), F.lit(False).alias("done")))
+    rank = Window.partitionBy("seq").orderBy(F.desc("value"), "tokens")
+    value = F.col("score") / F.pow(F.greatest(F.col("new"), F.lit(1)).cast("double"), F.lit(float(length_penalty)))
+    for _ in range(max_length):
+        live = beams.where("NOT done")
+        w = Window.partitionBy("seq", "beam")
+        z = model(live.select("seq", "beam", "tokens")).withColumn("_m", F.max("logit").over(w))
+        z = z.withColumn("lp", F.col("logit") - F.col("_m") - F.log(F.sum(F.exp(F.col("logit") - F.col("_m"))).over(w)))
+        ended = F.lit(False) if eos is None else F.col("token") == eos
+        more = live.join(z, ["seq", "beam"]).select("seq", F.concat("tokens", F.array(F.col("token").cast("long"))).alias("tokens"), (F.col("score") + F.col("lp")).alias("score"), (F.col("new") + 1).alias("new"), ended.alias("done"))
+        every = more.unionByName(beams.where("done").drop("beam")).withColumn("value", value).withColumn("beam", F.row_number().over(rank) - 1)
+        beams, left = cut_with(every.where(F.col("beam") < width).drop("value"), F.count_if(~F.col("done")).alias("rows"))
+        if not left["rows"]:
+            break
+    best = beams.withColumn("value", value).withColumn("_n", F.row_number().over(rank)).where("_n = 1")
+    tokens = F.col("tokens") if eos is None else F.when(F.element_at("tokens", -1) == eos, F.slice("tokens", 1, F.size("tokens") - 1)).otherwise(F.col("tokens"))
+    return best.select("seq", F.when(F.col("done"), tokens).otherwise(F.col("tokens")).alias("tokens"), "score")
 
 
 # batching and caches
@@ -213,6 +279,24 @@ def token_graph(spark: SparkSession, seq: int, layers: int):
     return Graph.from_edges(att.union(res).union(fwd), v)
 
 
+def execute_token_graph(graph, features: DataFrame) -> DataFrame:
+    """(id, x) of all vertices of a token graph, from features(id, x) of the tokens: level by level, each vertex takes the weighted
+    sum of what its attention and residual edges bring, and a feed-forward vertex the SiLU of its source."""
+    from ..iterate import cut
+    from .gnn import _rows
+
+    levels = graph.vertices.agg(F.max("level")).first()[0] or 0
+    state = cut(features.select("id", "x"))
+    out = state
+    for k in range(1, levels + 1):
+        at = graph.vertices.where(F.col("level") == k).select(F.col("id").alias("dst"))
+        came = graph.edges.join(at, "dst").join(state.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "weight", F.posexplode("x").alias("j", "v"))
+        new = _rows(came.groupBy("id", "j").agg(F.sum(F.col("weight") * F.col("v")).alias("v")))
+        state = cut(new if k % 2 else new.select("id", F.transform("x", arrays.silu).alias("x")))
+        out = out.unionByName(state)
+    return out
+
+
 def prune_attention(graph, threshold: float):
     from dataclasses import replace
 

@@ -122,8 +122,9 @@ class Graph:
         """Edges as they are walked: each way for an undirected graph (a loop once)."""
         if self.directed:
             return self.edges
-        back = self.edges.where("src <> dst").withColumns({"src": F.col("dst"), "dst": F.col("src")})
-        return self.edges.unionByName(back)
+        ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = self.edges.withColumn("_way", F.explode(F.when(F.col("src") == F.col("dst"), F.slice(ways, 1, 1)).otherwise(ways)))
+        return both.withColumns({"src": F.col("_way.src"), "dst": F.col("_way.dst")}).drop("_way")
 
     def undirected(self) -> Graph:
         return replace(self, directed=False)
@@ -133,9 +134,8 @@ class Graph:
 
     def degrees(self) -> DataFrame:
         """(id, in_degree, out_degree, degree) for every vertex, in one aggregation over both ends."""
-        e = self.arcs()
-        ends = e.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("dst", F.lit(0), F.lit(1)))
-        d = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+        ends = self.arcs().select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o")))).alias("e"))
+        d = ends.groupBy("e.id").agg(F.sum(1 - F.col("e.o")).alias("in_degree"), F.sum("e.o").alias("out_degree"))
         out = self.vertices.select("id").join(d, "id", "left").na.fill(0)
         return out.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 

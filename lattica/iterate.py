@@ -1,21 +1,21 @@
 """Driver loops over DataFrames: each round is one Catalyst plan, with its lineage cut by a checkpoint.
 
 Checkpoints go to the folder that the cluster names in ``spark.checkpoint.dir``, which all
-executors share; a folder of our own is used only where none is set.
+executors share.  Where a session names none, a warehouse folder serves, which is shared as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 import time
+from functools import reduce
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lattica-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/.checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,6 +24,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_with(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+    """As cut(), with aggregates (aliased) taken in the same pass, so that a loop needs no further job to know whether it is done."""
+    checkpoint_folder(df.sparkSession)
+    seen = Observation()
+    out = df.observe(seen, *measures).checkpoint(eager=True)
+    return out, seen.get
+
+
+class Levels:
+    """A table that grows by levels: each is kept as it was written, and they are written together now and then, so that the plan stays short."""
+
+    def __init__(self, first: DataFrame, width: int = 16):
+        self.parts, self.width = [first], width
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > self.width:
+            self.parts = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 class Cancelled(RuntimeError):
     """A loop was told to stop, or ran out of time."""
 
@@ -42,15 +65,3 @@ class Control:
             raise Cancelled(f"stopped before round {round_}")
         if self.progress:
             self.progress(round_)
-
-
-def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame | None], max_rounds: int, control: Control | None = None) -> DataFrame:
-    """Apply step until it returns None (nothing changed) or max_rounds is reached."""
-    for k in range(max_rounds):
-        if control:
-            control.check(k)
-        new = step(state, k)
-        if new is None:
-            break
-        state = new
-    return state

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..iterate import Control, cut
+from ..iterate import Control, cut, cut_with
 from .traversal import all_pairs_hops
 
 
@@ -22,15 +22,16 @@ def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 20, toleranc
     Shares are precomputed on the edges, which keep one partitioning by dst, so that a round is one join with the
     ranks and one aggregation.  dangling="redistribute" spreads the rank of vertices without out-edges over all.
     """
-    n = graph.node_count()
+    vertices, size = cut_with(graph.vertices.select("id"), F.count(F.lit(1)).alias("rows"))
+    n = size["rows"]
     if n == 0:
         return graph.vertices.select("id", F.lit(0.0).alias("rank"))
     arcs = graph.arcs().select("src", "dst")
     arcs = arcs.distinct() if distinct_edges else arcs
     out = arcs.groupBy("src").agg(F.count("*").alias("out"))
     links = cut(arcs.groupBy("src", "dst").agg(F.count("*").alias("k")).join(out, "src").select("src", "dst", (F.col("k") / F.col("out")).alias("share")))
-    sinks = cut(graph.vertices.select("id").join(out, F.col("id") == out["src"], "left_anti")) if dangling == "redistribute" else None
-    ranks = graph.vertices.select("id", F.lit(1.0 / n).alias("rank"))
+    sinks = cut(vertices.join(out, F.col("id") == out["src"], "left_anti")) if dangling == "redistribute" else None
+    ranks = vertices.select("id", F.lit(1.0 / n).alias("rank"))
     base = (1 - damping) / n
     for k in range(iterations):
         if control:
@@ -40,9 +41,13 @@ def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 20, toleranc
             extra = damping * (ranks.join(sinks, "id", "left_semi").agg(F.sum("rank")).first()[0] or 0.0) / n
         into = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
         new = ranks.join(into, ranks["id"] == into["dst"], "left").select("id", (F.lit(base + extra) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
-        new = cut(new) if tolerance is not None or k % 5 == 4 else new
+        moved = {"most": None}
+        if tolerance is not None:
+            new, moved = cut_with(new, F.max(F.abs(F.col("rank") - F.col("old"))).alias("most"))
+        elif k % 5 == 4:
+            new = cut(new)
         ranks = new.select("id", "rank")
-        if tolerance is not None and new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
+        if tolerance is not None and moved["most"] < tolerance:
             break
     return ranks
 
@@ -56,7 +61,7 @@ def closeness_centrality(graph: Graph, variant: str = "reach", sources: DataFram
     n = graph.node_count()
     hops = all_pairs_hops(graph, sources).where("depth > 0").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("r"), F.sum("depth").alias("d"))
     value = {"reach": F.col("r") / F.col("d"), "standard": F.lit(float(n - 1)) / F.col("d"), "improved": (F.col("r") / max(1, n - 1)) * (F.col("r") / F.col("d"))}[variant]
-    return (sources or graph.vertices).select("id").join(hops, "id", "left").select("id", F.coalesce(value, F.lit(0.0)).alias("closeness"))
+    return (graph.vertices if sources is None else sources).select("id").join(hops, "id", "left").select("id", F.coalesce(value, F.lit(0.0)).alias("closeness"))
 
 
 def betweenness_centrality(graph: Graph, normalized: bool = True, sources: DataFrame | None = None) -> DataFrame:

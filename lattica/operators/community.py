@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..iterate import Control, cut
+from ..iterate import Control, cut, cut_with
 
 
 def connected_components(graph: Graph, control: Control | None = None) -> DataFrame:
@@ -15,8 +15,8 @@ def connected_components(graph: Graph, control: Control | None = None) -> DataFr
     Each round takes the least label among a vertex and its neighbours, then jumps to that label's own label, so the
     rounds grow with the logarithm of the diameter.
     """
-    both = graph.edges.select("src", "dst").where("src <> dst")
-    both = cut(both.union(both.select("dst", "src")).distinct().repartition("src"))
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = cut(graph.edges.where("src <> dst").select(F.explode(ways).alias("e")).select("e.src", "e.dst").distinct().repartition("src"))
     labels = cut(graph.vertices.select("id", F.col("id").alias("c")))
     k = 0
     while True:
@@ -27,9 +27,10 @@ def connected_components(graph: Graph, control: Control | None = None) -> DataFr
         hooked = labels.join(near, labels["id"] == near["src"], "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("h"))
         # a root also takes the least label that any of its members met
         roots = hooked.groupBy("c").agg(F.min("h").alias("r")).withColumnRenamed("c", "k")
-        new = cut(hooked.join(roots, hooked["h"] == roots["k"], "left").select("id", F.least("h", F.coalesce("r", "h")).alias("c"), (F.least("h", F.coalesce("r", "h")) < F.col("c")).alias("up")))
+        new = hooked.join(roots, hooked["h"] == roots["k"], "left").select("id", F.least("h", F.coalesce("r", "h")).alias("c"), (F.least("h", F.coalesce("r", "h")) < F.col("c")).alias("up"))
+        new, moved = cut_with(new, F.count_if("up").alias("rows"))
         labels = new.select("id", "c")
-        if new.where("up").isEmpty():
+        if not moved["rows"]:
             return labels.select("id", F.col("c").alias("component"))
 
 
@@ -42,9 +43,11 @@ def largest_component(components: DataFrame):
 
 
 def renumber(components: DataFrame) -> DataFrame:
-    """Dense numbers 0, 1, ... in order of the components' names, joined from the table of names."""
-    names = components.select("component").distinct().withColumn("number", F.row_number().over(Window.orderBy("component")) - 1)
-    return components.join(names, "component").select("id", "number")
+    """Dense numbers 0, 1, ... in order of the components' names: counts of ranges of names, then ranks within them."""
+    names = cut(components.select("component").distinct().repartitionByRange("component").withColumn("r", F.spark_partition_id()))
+    sizes = names.groupBy("r").count().withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = names.withColumn("n", F.row_number().over(Window.partitionBy("r").orderBy("component")) - 1).join(sizes, "r")
+    return components.join(ranked.select("component", (F.col("base") + F.col("n")).alias("number")), "component").select("id", "number")
 
 
 def label_propagation(graph: Graph, max_iterations: int = 10) -> DataFrame:
@@ -54,9 +57,10 @@ def label_propagation(graph: Graph, max_iterations: int = 10) -> DataFrame:
     for _ in range(max_iterations):
         votes = arcs.join(labels, arcs["dst"] == labels["id"]).groupBy("src", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.min(F.struct(-F.col("n"), "label")).alias("b"))
-        new = cut(labels.join(best, labels["id"] == best["src"], "left").select("id", F.coalesce("b.label", "label").alias("label"), F.col("label").alias("old")))
+        new = labels.join(best, labels["id"] == best["src"], "left").select("id", F.coalesce("b.label", "label").alias("label"), F.col("label").alias("old"))
+        new, moved = cut_with(new, F.count_if(F.col("label") != F.col("old")).alias("rows"))
         labels = new.select("id", "label")
-        if new.where("label <> old").isEmpty():
+        if not moved["rows"]:
             break
     return labels
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import TooLarge
 from ..graph import Graph
-from ..iterate import cut
+from ..iterate import Levels, cut, cut_with
 from .traversal import DRIVER_EDGES, bfs
 
 EPSILON = 1e-9
@@ -105,8 +105,8 @@ def _dinic(residual, source, sink) -> float:
     return total
 
 
-def _push_relabel(edges: DataFrame, source: int, sink: int, max_rounds: int = 10_000) -> float:
-    """Synchronous rounds: every active vertex pushes along all admissible edges in order of dst, or is relabelled."""
+def _push_relabel(edges: DataFrame, source: int, sink: int) -> float:
+    """Synchronous rounds until no vertex is active: each pushes along all admissible edges in order of dst, or is relabelled."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("capacity")))
     res = cut(both.groupBy("src", "dst").agg(F.sum("capacity").alias("r")))
     nodes = res.select(F.col("src").alias("id")).distinct()
@@ -116,7 +116,7 @@ def _push_relabel(edges: DataFrame, source: int, sink: int, max_rounds: int = 10
     first = F.col("src") == source
     pushed = res.where(first & (F.col("r") > EPSILON)).select("src", "dst", F.col("r").alias("f"))
     height = cut(nodes.select("id", F.when(F.col("id") == source, n).otherwise(0).alias("h"), F.lit(0.0).alias("x")))
-    for _ in range(max_rounds):
+    while True:
         pushed = cut(pushed)
         moved = pushed.union(pushed.select("dst", "src", -F.col("f")))
         res = cut(res.join(moved.groupBy("src", "dst").agg(F.sum("f").alias("f")), ["src", "dst"], "left").select("src", "dst", (F.col("r") - F.coalesce("f", F.lit(0.0))).alias("r")))
@@ -136,7 +136,7 @@ def _push_relabel(edges: DataFrame, source: int, sink: int, max_rounds: int = 10
     return height.where(F.col("id") == sink).first()["x"]
 
 
-def bipartite_matching(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def bipartite_matching(edges: DataFrame) -> DataFrame:
     """edges(l, r) -> a maximum matching (l, r).
 
     Rounds of alternating breadth-first layers from all free left vertices, each reached vertex keeping one parent and
@@ -145,14 +145,14 @@ def bipartite_matching(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     e = cut(edges.select("l", "r").distinct())
     # a greedy start: mutual least choices
     match = e.limit(0)
-    for _ in range(max_rounds):
+    while True:
         left_free = e.join(match.select("l"), "l", "left_anti").join(match.select("r"), "r", "left_anti")
         pick = left_free.groupBy("l").agg(F.min("r").alias("r")).groupBy("r").agg(F.min("l").alias("l")).select("l", "r")
-        new = cut(pick)
-        if new.isEmpty():
+        new, found = cut_with(pick, F.count(F.lit(1)).alias("rows"))
+        if not found["rows"]:
             break
         match = cut(match.unionByName(new))
-    for _ in range(max_rounds):
+    while True:
         free = e.select("l").distinct().join(match.select("l"), "l", "left_anti")
         front = cut(free.select("l", F.col("l").alias("root"), F.array().cast("array<struct<l:bigint,r:bigint>>").alias("path")))
         seen = e.select("r").limit(0)
@@ -176,30 +176,113 @@ def bipartite_matching(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return match
 
 
-def maximal_matching(graph: Graph, max_rounds: int = 1000) -> DataFrame:
-    """(edge_id, src, dst) of a matching to which no edge can be added: rounds of mutually heaviest edges, then least edge_id."""
+def maximal_matching(graph: Graph) -> DataFrame:
+    """(edge_id, src, dst) of a matching to which no edge can be added: rounds of mutually heaviest edges, then least edge_id.
+
+    It is not always of the greatest size; maximum_matching() is.
+    """
     e = cut(graph.edges.where("src <> dst").select("edge_id", "src", "dst", "weight"))
-    out = e.limit(0)
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            break
+    out = Levels(cut(e.limit(0)))
+    while not e.isEmpty():
         best = F.min(F.struct((-F.col("weight")).alias("w"), F.col("edge_id").alias("e"))).alias("b")
         ends = e.select(F.col("src").alias("id"), "weight", "edge_id").union(e.select("dst", "weight", "edge_id")).groupBy("id").agg(best).select("id", F.col("b.e").alias("e"))
         won = cut(e.join(ends.select(F.col("id").alias("src"), F.col("e").alias("a")), "src").join(ends.select(F.col("id").alias("dst"), F.col("e").alias("b")), "dst").where("edge_id = a and edge_id = b").select("edge_id", "src", "dst", "weight"))
-        out = cut(out.unionByName(won))
+        out.add(won)
         used = cut(won.select(F.col("src").alias("id")).union(won.select("dst")))
         e = cut(e.join(used, e["src"] == used["id"], "left_anti").join(used, F.col("dst") == used["id"], "left_anti"))
-    return out.select("edge_id", "src", "dst")
+    return out.all().select("edge_id", "src", "dst")
+
 
+def maximum_matching(graph: Graph, limit: int = DRIVER_EDGES) -> DataFrame:
+    """(edge_id, src, dst) of a matching of the greatest size, by Edmonds' blossoms; parallel edges give their first.
 
-def minimum_spanning_forest(graph: Graph, max_rounds: int = 64) -> DataFrame:
+    It grows one alternating forest at a time in the driver, over at most `limit` edges; maximal_matching() has no bound.
+    """
+    rows = graph.edges.where("src <> dst").orderBy("edge_id").select("edge_id", "src", "dst").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise TooLarge("use maximal_matching")
+    first: dict[frozenset, int] = {}
+    near: dict[int, list[int]] = {}
+    for e, s, d in rows:
+        if frozenset((s, d)) not in first:
+            first[frozenset((s, d))] = e
+            near.setdefault(s, []).append(d)
+            near.setdefault(d, []).append(s)
+    mate = _blossoms(near)
+    chosen = [(first[frozenset((a, b))], a, b) for a, b in mate.items() if a < b]
+    ends = {e: (s, d) for e, s, d in rows}
+    return graph.edges.sparkSession.createDataFrame([(e, *ends[e]) for e, _, _ in sorted(chosen)], "edge_id long, src long, dst long")
+
+
+def _blossoms(near: dict[int, list[int]]) -> dict[int, int]:
+    """Partner of each matched vertex."""
+    mate: dict[int, int] = {}
+    for root in near:
+        if root in mate:
+            continue
+        base = {v: v for v in near}  # of the blossom that a vertex lies in
+        parent: dict[int, int] = {}
+        outer, queue = {root}, deque([root])
+
+        def common(a: int, b: int) -> int:
+            """The base at which the paths of a and b to the root meet."""
+            above = set()
+            while True:
+                a = base[a]
+                above.add(a)
+                if a not in mate:
+                    break
+                a = parent[mate[a]]
+            while base[b] not in above:
+                b = parent[mate[base[b]]]
+            return base[b]
+
+        def shrink(v: int, top: int, child: int, inside: set[int]) -> None:
+            while base[v] != top:
+                inside |= {base[v], base[mate[v]]}
+                parent[v] = child
+                child = mate[v]
+                v = parent[child]
+
+        end = None
+        while queue and end is None:
+            v = queue.popleft()
+            for w in near[v]:
+                if base[v] == base[w] or mate.get(v) == w:
+                    continue
+                if w == root or (w in mate and mate[w] in parent):
+                    top, inside = common(v, w), set()
+                    shrink(v, top, w, inside)
+                    shrink(w, top, v, inside)
+                    for x in near:
+                        if base[x] in inside:
+                            base[x] = top
+                            if x not in outer:
+                                outer.add(x)
+                                queue.append(x)
+                elif w not in parent:
+                    parent[w] = v
+                    if w not in mate:
+                        end = w
+                        break
+                    outer.add(mate[w])
+                    queue.append(mate[w])
+        while end is not None:
+            v = parent[end]
+            after = mate.get(v)
+            mate[end], mate[v] = v, end
+            end = after
+    return mate
+
+
+def minimum_spanning_forest(graph: Graph) -> DataFrame:
     """(edge_id, src, dst, weight) by Boruvka's rounds; ties by edge_id, so the forest is the one Kruskal's stable order takes."""
     from .community import connected_components
 
     part = cut(graph.vertices.select("id", F.col("id").alias("c")))
     e = cut(graph.edges.where("src <> dst").select("edge_id", "src", "dst", "weight"))
     chosen = e.limit(0)
-    for _ in range(max_rounds):
+    while True:
         a, b = part.select(F.col("id").alias("src"), F.col("c").alias("ca")), part.select(F.col("id").alias("dst"), F.col("c").alias("cb"))
         cross = cut(e.join(a, "src").join(b, "dst").where("ca <> cb"))
         if cross.isEmpty():

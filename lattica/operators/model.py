@@ -30,8 +30,7 @@ def topology_report(graph: Graph) -> dict:
 
 def gradient_flow(graph: Graph, start: Column, end: Column) -> bool:
     """Some vertex that meets `end` is reached from one that meets `start`."""
-    sources = [r.id for r in graph.vertices.where(start).select("id").limit(10_000).collect()]
-    reached = bfs(graph, sources).select("id") if sources else graph.vertices.select("id").limit(0)
+    reached = bfs(graph, graph.vertices.where(start)).select("id")
     return not graph.vertices.where(end).join(reached, "id", "left_semi").isEmpty()
 
 

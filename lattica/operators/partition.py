@@ -73,6 +73,27 @@ def execute_with_retry(job: Callable, attempts: int = 3, first_delay: float = 0.
             delay *= factor
 
 
+class HealthChecker:
+    """Heartbeats of nodes by name: one that has been silent for longer than `timeout` seconds, or was never heard, has failed."""
+
+    def __init__(self, nodes, timeout: float = 30.0, clock: Callable[[], float] = time.monotonic):
+        self.timeout, self.clock = timeout, clock
+        self.heard: dict = dict.fromkeys(nodes)
+
+    def heartbeat(self, node) -> None:
+        self.heard[node] = self.clock()
+
+    def is_failed(self, node) -> bool:
+        at = self.heard.get(node)
+        return at is None or self.clock() - at > self.timeout
+
+    def failed(self) -> list:
+        return [n for n in self.heard if self.is_failed(n)]
+
+    def healthy(self) -> list:
+        return [n for n in self.heard if not self.is_failed(n)]
+
+
 class CircuitBreaker:
     """Closed, then open after `threshold` failures, half open after `reset` seconds."""
 

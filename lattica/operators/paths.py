@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NegativeCycle, NegativeWeight, NodeNotFound
 from ..graph import Graph
-from ..iterate import Control, cut
+from ..iterate import Control, cut, cut_with
 
 
 def _arcs(graph: Graph) -> DataFrame:
@@ -17,8 +17,8 @@ def _arcs(graph: Graph) -> DataFrame:
 
 def _relax(graph: Graph, source: int, limit: int, prune: Column | None = None, goal: int | None = None, max_distance: float | None = None, control: Control | None = None) -> tuple[DataFrame, bool]:
     arcs = _arcs(graph)
-    dist = cut(graph.vertices.where(F.col("id") == source).select("id", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("parent")))
-    if dist.isEmpty():
+    dist, found = cut_with(graph.vertices.where(F.col("id") == source).select("id", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("parent")), F.count(F.lit(1)).alias("rows"))
+    if not found["rows"]:
         raise NodeNotFound(source)
     front = dist
     for k in range(limit):
@@ -32,11 +32,12 @@ def _relax(graph: Graph, source: int, limit: int, prune: Column | None = None, g
             if best is not None:
                 step = step.where((F.col("d") + (prune if prune is not None else F.lit(0.0))) <= best)
         step = step.groupBy("id").agg(F.min(F.struct("d", "p")).alias("b"))
-        joined = cut(dist.join(step, "id", "full").select("id", "distance", "parent", "b", (F.col("b").isNotNull() & (F.col("distance").isNull() | (F.col("b.d") < F.col("distance")))).alias("up")))
+        joined = dist.join(step, "id", "full").select("id", "distance", "parent", "b", (F.col("b").isNotNull() & (F.col("distance").isNull() | (F.col("b.d") < F.col("distance")))).alias("up"))
+        joined, moved = cut_with(joined, F.count_if("up").alias("rows"))
         new = joined.select("id", F.when(F.col("up"), F.col("b.d")).otherwise(F.col("distance")).alias("distance"), F.when(F.col("up"), F.col("b.p")).otherwise(F.col("parent")).alias("parent"), "up")
         front = new.where("up").drop("up")
         dist = new.drop("up")
-        if front.isEmpty():
+        if not moved["rows"]:
             return dist, True
     return dist, False
 
@@ -57,16 +58,17 @@ def delta_stepping(graph: Graph, source: int, delta: float) -> DataFrame:
     if has_negative_weights(graph):
         raise NegativeWeight("use bellman_ford")
     arcs = _arcs(graph)
-    dist = cut(graph.vertices.where(F.col("id") == source).select("id", F.lit(0.0).alias("distance"), F.lit(True).alias("open")))
+    least = F.min(F.when(F.col("open"), F.floor(F.col("distance") / delta))).alias("low")
+    dist, seen = cut_with(graph.vertices.where(F.col("id") == source).select("id", F.lit(0.0).alias("distance"), F.lit(True).alias("open")), least)
     while True:
-        low = dist.where("open").agg(F.min(F.floor(F.col("distance") / delta))).first()[0]
+        low = seen["low"]
         if low is None:
             return dist.drop("open")
         now = F.col("open") & (F.floor(F.col("distance") / delta) == low)
         step = dist.where(now).join(arcs, F.col("id") == F.col("src")).groupBy("dst").agg(F.min(F.col("distance") + F.col("w")).alias("d"))
         joined = dist.withColumn("open", F.col("open") & ~now).join(step, dist["id"] == step["dst"], "full")
         up = F.col("d").isNotNull() & (F.col("distance").isNull() | (F.col("d") < F.col("distance")))
-        dist = cut(joined.select(F.coalesce("id", "dst").alias("id"), F.when(up, F.col("d")).otherwise(F.col("distance")).alias("distance"), (up | F.coalesce("open", F.lit(False))).alias("open")))
+        dist, seen = cut_with(joined.select(F.coalesce("id", "dst").alias("id"), F.when(up, F.col("d")).otherwise(F.col("distance")).alias("distance"), (up | F.coalesce("open", F.lit(False))).alias("open")), least)
 
 
 def bellman_ford(graph: Graph, source: int) -> DataFrame:
@@ -89,18 +91,25 @@ def astar(graph: Graph, start: int, goal: int, heuristic: Column) -> tuple[list[
     return reconstruct_path(dist, start, goal), row["distance"]
 
 
-def reconstruct_path(found: DataFrame, source: int, target: int) -> list[int]:
-    """Follow parents from the target; empty if it was not reached.  One lookup a step, of a path of bounded length."""
-    path, node = [], target
-    parents = cut(found.select("id", "parent"))
+def path_rows(found: DataFrame, target: int) -> DataFrame:
+    """(id, back): the target's ancestors by parent, back steps behind it; by pointer doubling, so the rounds grow with the logarithm of the path."""
+    jump = cut(found.where("parent IS NOT NULL").select("id", F.col("parent").alias("to")))
+    path = cut(found.where(F.col("id") == target).select("id", F.lit(0).alias("back")))
+    step = 1
     while True:
-        row = parents.where(F.col("id") == node).first()
-        if row is None:
-            return []
-        path.append(node)
-        if node == source or row["parent"] is None:
-            return path[::-1] if node == source else []
-        node = row["parent"]
+        new, more = cut_with(path.join(jump, "id").select(F.col("to").alias("id"), (F.col("back") + step).alias("back")), F.count(F.lit(1)).alias("rows"))
+        path = path.unionByName(new)
+        if more["rows"] < step:
+            return path
+        further = jump.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        jump = cut(jump.join(further, "to").select("id", F.col("far").alias("to")))
+        step *= 2
+
+
+def reconstruct_path(found: DataFrame, source: int, target: int) -> list[int]:
+    """found(id, parent) -> the path from the source; empty if the target was not reached."""
+    path = [r.id for r in path_rows(found, target).orderBy(F.desc("back")).collect()]
+    return path if path and path[0] == source else []
 
 
 def floyd_warshall(graph: Graph) -> DataFrame:

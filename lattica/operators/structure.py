@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..errors import GraphHasCycle
 from ..graph import Graph
-from ..iterate import cut
 from .community import connected_components
 from .traversal import all_pairs_hops, bfs, topological_levels
 
@@ -23,24 +22,11 @@ def is_bipartite(graph: Graph) -> bool:
     g = graph.undirected()
     if not graph.edges.where("src = dst").isEmpty():
         return False
-    roots = [r.component for r in connected_components(g).select("component").distinct().collect()] if graph.node_count() < 100_000 else None
-    depth = bfs(g, roots) if roots is not None else _parity(g)
+    depth = bfs(g, connected_components(g).select(F.col("component").alias("id")))
     a, b = depth.select(F.col("id").alias("src"), F.col("depth").alias("x")), depth.select(F.col("id").alias("dst"), F.col("depth").alias("y"))
     return graph.edges.join(a, "src").join(b, "dst").where("x % 2 = y % 2").isEmpty()
 
 
-def _parity(graph: Graph) -> DataFrame:
-    """(id, depth) from each component's least vertex, with the roots kept in a table."""
-    arcs = cut(graph.arcs().select("src", "dst").distinct())
-    seen = cut(connected_components(graph).select(F.col("component").alias("id")).distinct().withColumn("depth", F.lit(0)))
-    front, k = seen, 0
-    while not front.isEmpty():
-        k += 1
-        front = cut(front.join(arcs, front["id"] == arcs["src"]).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(k)))
-        seen = cut(seen.unionByName(front))
-    return seen
-
-
 def is_dag(graph: Graph) -> bool:
     try:
         topological_levels(graph)
@@ -57,9 +43,9 @@ def is_tree(graph: Graph) -> bool:
     return graph.edge_count() == graph.node_count() - 1 and is_connected(graph)
 
 
-def diameter(graph: Graph) -> int:
-    """Greatest finite distance in edges; 0 for no vertex."""
-    return all_pairs_hops(graph).agg(F.max("depth")).first()[0] or 0
+def diameter(graph: Graph, sources: DataFrame | None = None) -> int:
+    """Greatest finite distance in edges, 0 for no vertex; from sources(id) only, where given, which is then a lower bound."""
+    return all_pairs_hops(graph, sources).agg(F.max("depth")).first()[0] or 0
 
 
 def density(graph: Graph) -> float:
@@ -67,11 +53,14 @@ def density(graph: Graph) -> float:
     return graph.edge_count() / (n * (n - 1)) if n > 1 else 0.0
 
 
-def girth(graph: Graph) -> int:
-    """Length of the shortest directed cycle (of the undirected view for an undirected graph), 0 if there is none; loops count 1."""
+def girth(graph: Graph, sources: DataFrame | None = None) -> int:
+    """Length of the shortest directed cycle (of the undirected view for an undirected graph), 0 if there is none; loops count 1.
+
+    With sources(id) given, of the shortest cycle that passes one of them.
+    """
     if not graph.edges.where("src = dst").isEmpty():
         return 1
-    hops = all_pairs_hops(graph)
+    hops = all_pairs_hops(graph, sources)
     if graph.directed:
         arcs = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("source")).distinct()
         return arcs.join(hops, ["source", "id"]).agg(F.min(F.col("depth") + 1)).first()[0] or 0

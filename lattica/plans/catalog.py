@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, decompose, differentiable, gnn, matrix, transformer
 from ..graph import Graph
 from ..operators import centrality, community, flow, model, partition, paths, structure, traversal
-from ..sources import generators, tables, text
+from ..sources import generators, text
 from ..sources.tables import edges_sql, graph, table, vertices_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,54 +70,54 @@ def graph_counts(spark, sf):
     return _one(spark, nodes=g.node_count(), edges=g.edge_count(), density=round(structure.density(g), 6))
 
 
-@query(with_("sparse", "SELECT src, dst, edge_id, weight FROM e WHERE src < dst"))
+@query(with_("partners", "SELECT src, dst, edge_id, weight FROM e WHERE src < dst"))
 def edge_lookup(spark, sf):
-    g = graph(spark, sf, "sparse")
+    g = graph(spark, sf, "partners")
     return g.edges_between(g.edges.select("src", "dst").where("src < dst")).select("src", "dst", "edge_id", "weight")
 
 
-@query(with_("sparse", "SELECT v.id, COALESCE((SELECT string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY edge_id) FROM e WHERE e.src = v.id), '') AS line FROM v"))
+@query(with_("partners", "SELECT v.id, COALESCE((SELECT string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY edge_id) FROM e WHERE e.src = v.id), '') AS line FROM v"))
 def adjacency_list(spark, sf):
-    return text.adjacency_list(graph(spark, sf, "sparse")).select("id", F.ltrim(F.regexp_replace("line", r"^\d+:", "")).alias("line"))
+    return text.adjacency_list(graph(spark, sf, "partners")).select("id", F.ltrim(F.regexp_replace("line", r"^\d+:", "")).alias("line"))
 
 
-@query(with_("sparse", "SELECT edge_id, CAST(src AS VARCHAR) || ' ' || CAST(dst AS VARCHAR) || ' ' || CAST(weight AS VARCHAR) AS line FROM e"))
+@query(with_("partners", "SELECT edge_id, CAST(src AS VARCHAR) || ' ' || CAST(dst AS VARCHAR) || ' ' || CAST(weight AS VARCHAR) AS line FROM e"))
 def edge_list(spark, sf):
-    return text.edge_list(graph(spark, sf, "sparse"))
+    return text.edge_list(graph(spark, sf, "partners"))
 
 
-@query(with_("sparse", "SELECT v.id FROM v WHERE v.id % 4 <> 1"))
+@query(with_("partners", "SELECT v.id FROM v WHERE v.id % 4 <> 1"))
 def remove_nodes(spark, sf):
-    g = graph(spark, sf, "sparse")
+    g = graph(spark, sf, "partners")
     return g.remove_nodes(g.vertices.where("id % 4 = 1")).vertices.select("id")
 
 
-@query(with_("sparse", "SELECT edge_id, src, dst, CASE WHEN edge_id % 3 = 0 THEN weight * 2 ELSE weight END AS weight FROM e WHERE src % 4 <> 1 AND dst % 4 <> 1"))
+@query(with_("partners", "SELECT edge_id, src, dst, CASE WHEN edge_id % 3 = 0 THEN weight * 2 ELSE weight END AS weight FROM e WHERE src % 4 <> 1 AND dst % 4 <> 1"))
 def edit_edges(spark, sf):
-    g = graph(spark, sf, "sparse")
+    g = graph(spark, sf, "partners")
     g = g.remove_nodes(g.vertices.where("id % 4 = 1"))
     return g.edges.withColumn("weight", F.when(F.col("edge_id") % 3 == 0, F.col("weight") * 2).otherwise(F.col("weight"))).select("edge_id", "src", "dst", "weight")
 
 
-@query(with_("sparse", "SELECT dst AS src, src AS dst, weight FROM e"))
+@query(with_("partners", "SELECT dst AS src, src AS dst, weight FROM e"))
 def reversed_edges(spark, sf):
-    return graph(spark, sf, "sparse").reversed().edges.select("src", "dst", "weight")
+    return graph(spark, sf, "partners").reversed().edges.select("src", "dst", "weight")
 
 
 # traversal
-@query(with_("sparse", "SELECT id, CAST(depth AS BIGINT) AS depth FROM d WHERE source = 0", HOPS))
+@query(with_("partners", "SELECT id, CAST(depth AS BIGINT) AS depth FROM d WHERE source = 0", HOPS))
 def bfs(spark, sf):
-    return traversal.bfs(graph(spark, sf, "sparse"), [0]).select("id", F.col("depth").cast("long").alias("depth"))
+    return traversal.bfs(graph(spark, sf, "partners"), [0]).select("id", F.col("depth").cast("long").alias("depth"))
 
 
-@query(with_("sparse", "SELECT id, CAST(MIN(depth) AS BIGINT) AS depth FROM d WHERE source IN (1, 2, 3) AND depth <= 2 GROUP BY id", HOPS))
+@query(with_("partners", "SELECT id, CAST(MIN(depth) AS BIGINT) AS depth FROM d WHERE source IN (1, 2, 3) AND depth <= 2 GROUP BY id", HOPS))
 def multi_source_bfs(spark, sf):
-    return traversal.bfs(graph(spark, sf, "sparse"), [1, 2, 3], max_depth=2).select("id", F.col("depth").cast("long").alias("depth"))
+    return traversal.bfs(graph(spark, sf, "partners"), [1, 2, 3], max_depth=2).select("id", F.col("depth").cast("long").alias("depth"))
 
 
-@query(with_("sparse", "SELECT d.id, MIN(p.id) AS parent FROM d JOIN e ON e.dst = d.id JOIN d p ON p.source = 0 AND p.id = e.src AND p.depth = d.depth - 1 WHERE d.source = 0 GROUP BY d.id", HOPS))
+@query(with_("partners", "SELECT d.id, MIN(p.id) AS parent FROM d JOIN e ON e.dst = d.id JOIN d p ON p.source = 0 AND p.id = e.src AND p.depth = d.depth - 1 WHERE d.source = 0 GROUP BY d.id", HOPS))
 def bfs_parents(spark, sf):
-    return traversal.bfs(graph(spark, sf, "sparse"), [0]).where("parent IS NOT NULL").select("id", "parent")
+    return traversal.bfs(graph(spark, sf, "partners"), [0]).where("parent IS NOT NULL").select("id", "parent")
 
 
 @query(with_("geo", "SELECT CAST(depth AS BIGINT) AS depth, COUNT(*) AS n FROM t GROUP BY depth", "t AS (SELECT DISTINCT src AS id, 0 AS depth FROM e WHERE src < 5 UNION ALL SELECT e.dst, t.depth + 1 FROM t JOIN e ON t.id = e.src)"))
@@ -125,49 +125,105 @@ def bfs_geo(spark, sf):
     return traversal.bfs(graph(spark, sf, "geo"), [0, 1, 2, 3, 4]).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"))
 
 
-@query(with_("dag", "SELECT id, CAST(MAX(level) AS BIGINT) AS level FROM t GROUP BY id", "t AS (SELECT id, 0 AS level FROM v UNION SELECT e.dst, t.level + 1 FROM t JOIN e ON t.id = e.src)"))
+@query(with_("ranked", "SELECT id, CAST(MAX(level) AS BIGINT) AS level FROM t GROUP BY id", "t AS (SELECT id, 0 AS level FROM v UNION SELECT e.dst, t.level + 1 FROM t JOIN e ON t.id = e.src)"))
 def topological_levels(spark, sf):
-    return traversal.topological_levels(graph(spark, sf, "dag")).select("id", F.col("level").cast("long").alias("level"))
+    return traversal.topological_levels(graph(spark, sf, "ranked")).select("id", F.col("level").cast("long").alias("level"))
 
 
-@query(with_("dag", "SELECT path FROM t WHERE id = (SELECT MAX(dst) FROM e)", "t AS (SELECT MIN(src) AS id, CAST(MIN(src) AS VARCHAR) AS path, 0 AS n FROM e UNION ALL SELECT e.dst, t.path || '>' || CAST(e.dst AS VARCHAR), n + 1 FROM t JOIN e ON t.id = e.src WHERE n < 12)"))
+@query(with_("ranked", "SELECT path FROM t WHERE id = (SELECT MAX(dst) FROM e)", "t AS (SELECT MIN(src) AS id, CAST(MIN(src) AS VARCHAR) AS path, 0 AS n FROM e UNION ALL SELECT e.dst, t.path || '>' || CAST(e.dst AS VARCHAR), n + 1 FROM t JOIN e ON t.id = e.src WHERE n < 12)"))
 def all_paths(spark, sf):
-    g = graph(spark, sf, "dag")
+    g = graph(spark, sf, "ranked")
     a, b = g.edges.agg(F.min("src"), F.max("dst")).first()
     return traversal.all_paths(g, a, b, 12).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query(with_("sparse", "SELECT a.source AS id, MAX(a.id) AS scc FROM d a JOIN d b ON a.source = b.id AND a.id = b.source GROUP BY a.source", HOPS))
+@query(with_("partners", "SELECT a.source AS id, MAX(a.id) AS scc FROM d a JOIN d b ON a.source = b.id AND a.id = b.source GROUP BY a.source", HOPS))
 def strong_components(spark, sf):
-    return traversal.strong_components(graph(spark, sf, "sparse"))
+    return traversal.strong_components(graph(spark, sf, "partners"))
 
 
-@query()
+@query(with_("partners", "SELECT id, TRUE AS in_parent, CAST(depth = 0 AS BOOLEAN) AS start FROM d WHERE source = 0", HOPS))
 def dfs(spark, sf):
-    rows = traversal.dfs(graph(spark, sf, "sparse"), 0)
-    return spark.createDataFrame([(r["id"], r["parent"], r["discovery"], r["finish"]) for r in rows], "id long, parent long, discovery int, finish int")
+    """Reached vertices; whether each lies within its parent's time and is joined to it by an edge."""
+    g = graph(spark, sf, "partners")
+    rows = traversal.dfs(g, 0)
+    own = {r["id"]: r for r in rows}
+    edges = {(r.src, r.dst) for r in g.edges.collect()}
+    ok = lambda r: r["parent"] is None or ((r["parent"], r["id"]) in edges and own[r["parent"]]["discovery"] < r["discovery"] < r["finish"] < own[r["parent"]]["finish"])
+    return spark.createDataFrame([(r["id"], ok(r), r["parent"] is None) for r in rows], "id long, in_parent boolean, start boolean")
+
+
+@query(with_("ranked", "SELECT e.edge_id, TRUE AS forward FROM e"))
+def dfs_topological_sort(spark, sf):
+    g = graph(spark, sf, "ranked")
+    at = {v: i for i, v in enumerate(traversal.dfs_topological_sort(g))}
+    return spark.createDataFrame([(r.edge_id, at[r.src] < at[r.dst]) for r in g.edges.collect()], "edge_id long, forward boolean")
+
+
+@query("SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn AS scc FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND abs(d.turn - c.turn) = 1)")
+def strong_components_talk(spark, sf):
+    return traversal.strong_components(graph(spark, sf, "talk"))
+
+
+_WALK = BOTH + ", h AS (SELECT (SELECT MIN(src) FROM e) AS id, 0 AS depth UNION SELECT u.dst, h.depth + 1 FROM h JOIN u ON h.id = u.src WHERE h.depth < 6)"
+
+
+@query(with_("part_supp", "SELECT id, CAST(MIN(depth) AS BIGINT) AS depth FROM h GROUP BY id", _WALK))
+def bfs_part_supp(spark, sf):
+    g = graph(spark, sf, "part_supp", False)
+    return traversal.bfs(g, [g.edges.agg(F.min("src")).first()[0]]).select("id", F.col("depth").cast("long").alias("depth"))
+
+
+@query(with_("partners", "SELECT array_to_string(path, '>') AS path FROM t WHERE id = 24", "t AS (SELECT CAST(0 AS BIGINT) AS id, [CAST(0 AS BIGINT)] AS path UNION ALL SELECT e.dst, list_append(t.path, e.dst) FROM t JOIN e ON t.id = e.src WHERE t.id <> 24 AND len(t.path) <= 6 AND NOT list_contains(t.path, e.dst))"))
+def simple_paths(spark, sf):
+    return traversal.all_paths(graph(spark, sf, "partners"), 0, 24, 6).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 # paths
-def _relaxed(rounds: int = 25) -> str:
-    parts = ["r0 AS (SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS d)"]
-    parts += [f"r{k} AS MATERIALIZED (SELECT id, MIN(d) AS d FROM (SELECT id, d FROM r{k - 1} UNION ALL SELECT e.dst, r.d + e.weight FROM r{k - 1} r JOIN e ON r.id = e.src) x GROUP BY id)" for k in range(1, rounds + 1)]
+def _relaxed(rounds: int = 25, start: str = "CAST(0 AS BIGINT)", arcs: str = "e") -> str:
+    parts = [f"r0 AS (SELECT {start} AS id, CAST(0 AS DOUBLE) AS d)"]
+    parts += [f"r{k} AS MATERIALIZED (SELECT id, MIN(d) AS d FROM (SELECT id, d FROM r{k - 1} UNION ALL SELECT e.dst, r.d + e.weight FROM r{k - 1} r JOIN {arcs} e ON r.id = e.src) x GROUP BY id)" for k in range(1, rounds + 1)]
     return ", ".join(parts)
 
 
-@query(with_("sparse", "SELECT id, d AS distance FROM r25", _relaxed()))
+@query(with_("partners", "SELECT id, d AS distance FROM r25", _relaxed()))
 def dijkstra(spark, sf):
-    return paths.dijkstra(graph(spark, sf, "sparse"), 0).select("id", "distance")
+    return paths.dijkstra(graph(spark, sf, "partners"), 0).select("id", "distance")
 
 
-@query(with_("sparse", "SELECT id, d AS distance FROM r25", _relaxed()))
+@query(with_("partners", "SELECT id, d AS distance FROM r25", _relaxed()))
 def delta_stepping(spark, sf):
-    return paths.delta_stepping(graph(spark, sf, "sparse"), 0, 20.0).select("id", "distance")
+    return paths.delta_stepping(graph(spark, sf, "partners"), 0, 20.0).select("id", "distance")
 
 
-@query(with_("sparse", "SELECT v.id, r25.d AS distance FROM v LEFT JOIN r25 ON v.id = r25.id", _relaxed()))
+@query(with_("partners", "SELECT v.id, r25.d AS distance FROM v LEFT JOIN r25 ON v.id = r25.id", _relaxed()))
 def bellman_ford(spark, sf):
-    return paths.bellman_ford(graph(spark, sf, "sparse"), 0).select("id", "distance")
+    return paths.bellman_ford(graph(spark, sf, "partners"), 0).select("id", "distance")
+
+
+_NEAR = BOTH + ", " + _relaxed(12, "(SELECT MIN(src) FROM e)", "u")
+
+
+@query(with_("part_supp", "SELECT id, d AS distance FROM r12", _NEAR))
+def dijkstra_part_supp(spark, sf):
+    g = graph(spark, sf, "part_supp", False)
+    return paths.dijkstra(g, g.edges.agg(F.min("src")).first()[0]).select("id", "distance")
+
+
+@query(with_("part_supp", "SELECT id, d AS distance FROM r12", _NEAR))
+def delta_stepping_part_supp(spark, sf):
+    g = graph(spark, sf, "part_supp", False)
+    return paths.delta_stepping(g, g.edges.agg(F.min("src")).first()[0], 2.0).select("id", "distance")
+
+
+@query(with_("partners", "SELECT d AS distance, TRUE AS is_path FROM r25 WHERE id = (SELECT MAX(id) FROM r25)", _relaxed()))
+def shortest_path(spark, sf):
+    """The path's length, and whether its edges are there and add up to it."""
+    g = graph(spark, sf, "partners")
+    found = paths.dijkstra(g, 0)
+    goal, distance = found.orderBy(F.desc("id")).select("id", "distance").first()
+    path = paths.reconstruct_path(found, 0, goal)
+    return _one(spark, distance=distance, is_path=paths.validate_path(g, path, distance) and (path[0], path[-1]) == (0, goal))
 
 
 def _squared(rounds: int = 5) -> str:
@@ -176,21 +232,22 @@ def _squared(rounds: int = 5) -> str:
     return ", ".join(parts)
 
 
-@query(with_("sparse", "SELECT src, dst, d AS distance FROM m5", _squared()))
+@query(with_("partners", "SELECT src, dst, d AS distance FROM m5", _squared()))
 def floyd_warshall(spark, sf):
-    return paths.floyd_warshall(graph(spark, sf, "sparse"))
+    return paths.floyd_warshall(graph(spark, sf, "partners"))
 
 
-@query(with_("sparse", "SELECT (SELECT MAX(d) FROM r25) AS distance", _relaxed()))
+@query(with_("partners", "SELECT (SELECT MAX(d) FROM r25) AS distance", _relaxed()))
 def farthest_node(spark, sf):
-    return _one(spark, distance=paths.farthest(paths.dijkstra(graph(spark, sf, "sparse"), 0))["distance"])
+    return _one(spark, distance=paths.farthest(paths.dijkstra(graph(spark, sf, "partners"), 0))["distance"])
 
 
-@query(with_("sparse", "SELECT d AS distance FROM r25 WHERE id = (SELECT MAX(id) FROM r25)", _relaxed()))
+@query(with_("partners", "SELECT d AS distance FROM r25 WHERE id = (SELECT MAX(id) FROM r25)", _relaxed()))
 def astar(spark, sf):
-    g = graph(spark, sf, "sparse")
+    g = graph(spark, sf, "partners")
     goal = traversal.bfs(g, [0]).agg(F.max("id")).first()[0]
-    return _one(spark, distance=paths.astar(g, 0, goal, F.lit(0.0))[1])
+    least = g.edges.agg(F.min("weight")).first()[0]  # what is left to go is at least one edge
+    return _one(spark, distance=paths.astar(g, 0, goal, F.when(F.col("id") == goal, 0.0).otherwise(least))[1])
 
 
 # centrality
@@ -205,9 +262,9 @@ def _ranked(rounds: int, n: str = "(SELECT COUNT(*) FROM v)") -> str:
     return ", ".join(parts)
 
 
-@query(with_("sparse", "SELECT id, ROUND(rank, 6) AS rank FROM p10", _ranked(10)))
+@query(with_("partners", "SELECT id, ROUND(rank, 6) AS rank FROM p10", _ranked(10)))
 def pagerank(spark, sf):
-    return centrality.pagerank(graph(spark, sf, "sparse"), iterations=10).select("id", _r("rank", "rank"))
+    return centrality.pagerank(graph(spark, sf, "partners"), iterations=10).select("id", _r("rank", "rank"))
 
 
 @query(with_("part_supp", "SELECT id, ROUND(rank * 1000, 6) AS rank FROM p5", _ranked(5)))
@@ -215,24 +272,24 @@ def pagerank_part_supp(spark, sf):
     return centrality.pagerank(graph(spark, sf, "part_supp"), iterations=5).select("id", _r(F.col("rank") * 1000, "rank"))
 
 
-@query(with_("sparse", "SELECT id, ROUND(rank, 4) AS rank FROM p60", _ranked(60)))
+@query(with_("partners", "SELECT id, ROUND(rank, 4) AS rank FROM p60", _ranked(60)))
 def pagerank_tolerance(spark, sf):
-    return centrality.pagerank(graph(spark, sf, "sparse"), iterations=60, tolerance=1e-9).select("id", F.round("rank", 4).alias("rank"))
+    return centrality.pagerank(graph(spark, sf, "partners"), iterations=60, tolerance=1e-9).select("id", F.round("rank", 4).alias("rank"))
 
 
-@query(with_("sparse", "SELECT id, ROUND(rank, 6) AS rank FROM p10 ORDER BY p10.rank DESC, id LIMIT 5", _ranked(10)))
+@query(with_("partners", "SELECT id, ROUND(rank, 6) AS rank FROM p10 ORDER BY p10.rank DESC, id LIMIT 5", _ranked(10)))
 def pagerank_top_k(spark, sf):
-    return centrality.top_k(centrality.pagerank(graph(spark, sf, "sparse"), iterations=10), "rank", 5).select("id", _r("rank", "rank"))
+    return centrality.top_k(centrality.pagerank(graph(spark, sf, "partners"), iterations=10), "rank", 5).select("id", _r("rank", "rank"))
 
 
-@query(with_("sparse", "SELECT v.id, ROUND(COALESCE(c.n / c.s::DOUBLE, 0), 6) AS closeness FROM v LEFT JOIN (SELECT source, COUNT(*) AS n, SUM(depth) AS s FROM d WHERE depth > 0 GROUP BY source) c ON v.id = c.source", HOPS))
+@query(with_("partners", "SELECT v.id, ROUND(COALESCE(c.n / c.s::DOUBLE, 0), 6) AS closeness FROM v LEFT JOIN (SELECT source, COUNT(*) AS n, SUM(depth) AS s FROM d WHERE depth > 0 GROUP BY source) c ON v.id = c.source", HOPS))
 def closeness(spark, sf):
-    return centrality.closeness_centrality(graph(spark, sf, "sparse")).select("id", _r("closeness", "closeness"))
+    return centrality.closeness_centrality(graph(spark, sf, "partners")).select("id", _r("closeness", "closeness"))
 
 
-@query(with_("sparse", "SELECT v.id, ROUND(COALESCE(c.n / 24.0::DOUBLE * c.n / c.s, 0), 6) AS closeness FROM v LEFT JOIN (SELECT source, COUNT(*) AS n, SUM(depth) AS s FROM d WHERE depth > 0 GROUP BY source) c ON v.id = c.source", HOPS))
+@query(with_("partners", "SELECT v.id, ROUND(COALESCE(c.n / 24.0::DOUBLE * c.n / c.s, 0), 6) AS closeness FROM v LEFT JOIN (SELECT source, COUNT(*) AS n, SUM(depth) AS s FROM d WHERE depth > 0 GROUP BY source) c ON v.id = c.source", HOPS))
 def closeness_improved(spark, sf):
-    return centrality.closeness_centrality(graph(spark, sf, "sparse"), "improved").select("id", _r("closeness", "closeness"))
+    return centrality.closeness_centrality(graph(spark, sf, "partners"), "improved").select("id", _r("closeness", "closeness"))
 
 
 _SIGMA = (
@@ -244,22 +301,22 @@ _SIGMA = (
 
 @query(
     with_(
-        "sparse",
+        "partners",
         "SELECT v.id, ROUND(COALESCE(x.b, 0) / 552.0::DOUBLE, 6) AS betweenness FROM v LEFT JOIN (SELECT a.id, SUM(sa.n * sb.n / st.n) AS b FROM d a JOIN d b ON b.source = a.id JOIN d t ON t.source = a.source AND t.id = b.id AND t.depth = a.depth + b.depth JOIN s sa ON sa.source = a.source AND sa.id = a.id JOIN s sb ON sb.source = a.id AND sb.id = b.id JOIN s st ON st.source = a.source AND st.id = b.id WHERE a.id <> a.source AND b.id <> a.id AND b.id <> a.source GROUP BY a.id) x ON v.id = x.id",
         f"{HOPS}, {_SIGMA}",
     )
 )
 def betweenness(spark, sf):
-    return centrality.betweenness_centrality(graph(spark, sf, "sparse")).select("id", _r("betweenness", "betweenness"))
+    return centrality.betweenness_centrality(graph(spark, sf, "partners")).select("id", _r("betweenness", "betweenness"))
 
 
 # communities
 _WCC = BOTH + ", c AS (SELECT id, id AS k FROM v UNION SELECT u.dst, c.k FROM c JOIN u ON c.id = u.src)"
 
 
-@query(with_("dag", "SELECT id, MIN(k) AS component FROM c GROUP BY id", _WCC))
+@query(with_("ranked", "SELECT id, MIN(k) AS component FROM c GROUP BY id", _WCC))
 def components(spark, sf):
-    return community.connected_components(graph(spark, sf, "dag"))
+    return community.connected_components(graph(spark, sf, "ranked"))
 
 
 @query("SELECT conv_id, COUNT(*) AS n FROM conversations GROUP BY conv_id HAVING COUNT(*) > 1")
@@ -290,44 +347,73 @@ def modularity(spark, sf):
     return _one(spark, q=round(community.modularity(graph(spark, sf, "trade"), c), 6))
 
 
-@query()
+@query(with_("trade", "SELECT CAST((SELECT COUNT(*) FROM v) AS BIGINT) AS nodes, TRUE AS named_by_least, (SELECT SUM(i / t - (k / t) * (k / t)) FROM k, (SELECT SUM(k) AS t FROM k) s) <= 1 AS no_worse_than_regions", _REGION))
 def louvain(spark, sf):
-    return community.louvain(graph(spark, sf, "dag"))
+    """Vertices that have a community, whether each community has its least member's name, and whether the modularity is no less than that of the regions."""
+    g = graph(spark, sf, "trade")
+    c = community.louvain(g)
+    regions = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("community"))
+    wrong = c.groupBy("community").agg(F.min("id").alias("least")).where("least <> community").count()
+    return _one(spark, nodes=c.count(), named_by_least=wrong == 0, no_worse_than_regions=community.modularity(g, c) >= community.modularity(g, regions) - 1e-9)
 
 
 # flow, matching, trees, structure
-@query(with_("sparse", "SELECT e.edge_id, e.weight FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.edge_id = e.edge_id AND t.id = e.dst)", "t AS (SELECT edge_id, weight, src AS id FROM e UNION SELECT t.edge_id, t.weight, CASE WHEN f.src = t.id THEN f.dst ELSE f.src END FROM t JOIN e f ON (f.src = t.id OR f.dst = t.id) AND (f.weight < t.weight OR (f.weight = t.weight AND f.edge_id < t.edge_id)))"))
+@query(with_("partners", "SELECT e.edge_id, e.weight FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.edge_id = e.edge_id AND t.id = e.dst)", "t AS (SELECT edge_id, weight, src AS id FROM e UNION SELECT t.edge_id, t.weight, CASE WHEN f.src = t.id THEN f.dst ELSE f.src END FROM t JOIN e f ON (f.src = t.id OR f.dst = t.id) AND (f.weight < t.weight OR (f.weight = t.weight AND f.edge_id < t.edge_id)))"))
 def spanning_forest(spark, sf):
-    return flow.minimum_spanning_forest(graph(spark, sf, "sparse")).select("edge_id", "weight")
+    return flow.minimum_spanning_forest(graph(spark, sf, "partners")).select("edge_id", "weight")
+
+
+_SIDE = "({c} = 0 OR ({c} BETWEEN 1 AND 3 AND (cut >> CAST({c} - 1 AS INTEGER)) & 1 = 1))"
 
 
-@query()
+@query(with_("regions", f"SELECT MIN(c) AS push_relabel, MIN(c) AS dinic, MIN(c) AS edmonds_karp FROM (SELECT cut, SUM(weight) AS c FROM range(8) m(cut), e WHERE {_SIDE.format(c='src')} AND NOT {_SIDE.format(c='dst')} GROUP BY cut) x"))
 def max_flow(spark, sf):
-    g = graph(spark, sf, "sparse")
-    goal = traversal.bfs(g, [0]).agg(F.max("id")).first()[0]
-    return _one(spark, push_relabel=flow.max_flow(g, 0, goal), dinic=flow.max_flow(g, 0, goal, "dinic"), edmonds_karp=flow.max_flow(g, 0, goal, "edmonds_karp"))
+    """From region 0 to region 4, against the least of all cuts."""
+    g = graph(spark, sf, "regions")
+    return _one(spark, push_relabel=flow.max_flow(g, 0, 4), dinic=flow.max_flow(g, 0, 4, "dinic"), edmonds_karp=flow.max_flow(g, 0, 4, "edmonds_karp"))
 
 
-@query()
+@query(with_("part_supp", "SELECT LEAST(COUNT(DISTINCT src), COUNT(DISTINCT dst)) AS pairs, LEAST(COUNT(DISTINCT src), COUNT(DISTINCT dst)) AS lefts, LEAST(COUNT(DISTINCT src), COUNT(DISTINCT dst)) AS rights FROM e"))
 def bipartite_matching(spark, sf):
-    return flow.bipartite_matching(graph(spark, sf, "sparse").edges.select(F.col("src").alias("l"), F.col("dst").alias("r")))
+    """Edges of the matching, and their different ends: every supplier can be given a part of its own."""
+    e = graph(spark, sf, "part_supp").edges.select(F.col("src").alias("l"), F.col("dst").alias("r"))
+    m = flow.bipartite_matching(e).join(e.distinct(), ["l", "r"])
+    return m.agg(F.count("*").alias("pairs"), F.countDistinct("l").alias("lefts"), F.countDistinct("r").alias("rights"))
+
 
+_GREEDY = "k AS (SELECT edge_id, src, dst, ROW_NUMBER() OVER (ORDER BY weight DESC, edge_id) AS n FROM e), t AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS edge_id UNION ALL SELECT k.n, CASE WHEN list_contains(used, src) OR list_contains(used, dst) THEN used ELSE list_append(list_append(used, src), dst) END, CASE WHEN list_contains(used, src) OR list_contains(used, dst) THEN NULL ELSE k.edge_id END FROM t JOIN k ON k.n = t.n + 1)"
 
-@query()
+
+@query(with_("partners", "SELECT e.edge_id, e.src, e.dst FROM t JOIN e ON e.edge_id = t.edge_id", _GREEDY))
 def maximal_matching(spark, sf):
-    return flow.maximal_matching(graph(spark, sf, "sparse"))
+    return flow.maximal_matching(graph(spark, sf, "partners"))
+
 
+@query(with_("trade", "SELECT LEAST((SELECT COUNT(*) // 2 FROM v), COUNT(DISTINCT src)) AS pairs, 2 * LEAST((SELECT COUNT(*) // 2 FROM v), COUNT(DISTINCT src)) AS ends FROM e"))
+def maximum_matching(spark, sf):
+    """Nations that sell sell to every other, so all of them are paired, or all nations but one of an odd number."""
+    m = flow.maximum_matching(graph(spark, sf, "trade"))
+    return m.select(F.explode(F.array("src", "dst")).alias("id")).agg((F.count("*") / 2).cast("long").alias("pairs"), F.countDistinct("id").alias("ends"))
 
-@query(with_("sparse", "SELECT CAST((SELECT MAX(depth) FROM d) AS BIGINT) AS diameter, CAST((SELECT MIN(depth) + 1 FROM d JOIN e ON d.source = e.dst AND d.id = e.src) AS BIGINT) AS girth, (SELECT COUNT(*) FROM d WHERE source = 0) = 25 AS connected", HOPS))
+
+@query(with_("partners", "SELECT CAST((SELECT MAX(depth) FROM d) AS BIGINT) AS diameter, CAST((SELECT MIN(depth) + 1 FROM d JOIN e ON d.source = e.dst AND d.id = e.src) AS BIGINT) AS girth, (SELECT COUNT(*) FROM d WHERE source = 0) = 25 AS connected", HOPS))
 def structure_report(spark, sf):
-    g = graph(spark, sf, "sparse")
+    g = graph(spark, sf, "partners")
     return _one(spark, diameter=structure.diameter(g), girth=structure.girth(g), connected=structure.is_connected(g))
 
 
-@query("SELECT TRUE AS dag_is_dag, FALSE AS trade_is_dag, TRUE AS part_supp_bipartite, FALSE AS trade_bipartite, FALSE AS dag_is_tree")
+_CLOSED = "c AS (SELECT src AS a, dst AS b FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON c.b = e.src)"
+
+
+@query(with_("partners", "SELECT NOT EXISTS (SELECT 1 FROM c WHERE a = b) AS is_dag, EXISTS (SELECT 1 FROM c WHERE a = b) AS has_cycle, NOT EXISTS (SELECT 1 FROM w WHERE s = id AND odd = 1) AS is_bipartite, (SELECT COUNT(*) FROM e) = (SELECT COUNT(*) FROM v) - 1 AND (SELECT COUNT(*) FROM d WHERE source = 0) = (SELECT COUNT(*) FROM v) AS is_tree", f"{HOPS}, {_CLOSED}, {BOTH}, w AS (SELECT id AS s, id, 0 AS odd FROM v UNION SELECT w.s, u.dst, 1 - w.odd FROM w JOIN u ON w.id = u.src)"))
 def structure_flags(spark, sf):
-    dag, trade, ps = graph(spark, sf, "dag"), graph(spark, sf, "trade"), graph(spark, sf, "part_supp")
-    return _one(spark, dag_is_dag=structure.is_dag(dag), trade_is_dag=structure.is_dag(trade), part_supp_bipartite=structure.is_bipartite(ps), trade_bipartite=structure.is_bipartite(trade), dag_is_tree=structure.is_tree(dag))
+    g = graph(spark, sf, "partners")
+    return _one(spark, is_dag=structure.is_dag(g), has_cycle=structure.has_cycle(g), is_bipartite=structure.is_bipartite(g), is_tree=structure.is_tree(g))
+
+
+@query(with_("ranked", f"SELECT NOT EXISTS (SELECT 1 FROM c WHERE a = b) AS is_dag, (SELECT MAX(p.src) < MIN(p.dst) FROM ({edges_sql('part_supp')}) p) AS part_supp_is_bipartite", _CLOSED))
+def structure_flags_ranked(spark, sf):
+    return _one(spark, is_dag=structure.is_dag(graph(spark, sf, "ranked")), part_supp_is_bipartite=structure.is_bipartite(graph(spark, sf, "part_supp")))
 
 
 # generators
@@ -344,10 +430,23 @@ def generated_graphs(spark, sf):
     return out
 
 
-@query()
+@query("SELECT kind, TRUE AS simple, TRUE AS as_many FROM (VALUES ('erdos_renyi'), ('erdos_renyi_directed'), ('watts_strogatz'), ('barabasi_albert')) x(kind)")
 def random_graphs(spark, sf):
-    a = generators.erdos_renyi(spark, 200, 0.05).edges.select(F.lit("erdos_renyi").alias("kind"), "src", "dst")
-    return a.union(generators.watts_strogatz(spark, 200, 6, 0.2).edges.select(F.lit("watts_strogatz"), "src", "dst")).union(generators.barabasi_albert(spark, 200, 3, True).edges.select(F.lit("barabasi_albert"), "src", "dst"))
+    """Whether each has no loop and no repeated edge, and as many edges as it must have, or within five deviations of what is expected."""
+    n, p = 2000, 0.01
+    pairs = n * (n - 1) / 2
+    far = lambda m, count, q: abs(count - m * q) <= 5 * (m * q * (1 - q)) ** 0.5
+    kinds = {
+        "erdos_renyi": (generators.erdos_renyi(spark, n, p), lambda e: far(pairs, e, p)),
+        "erdos_renyi_directed": (generators.erdos_renyi(spark, n, p, True), lambda e: far(2 * pairs, e, p)),
+        "watts_strogatz": (generators.watts_strogatz(spark, n, 6, 0.2), lambda e: far(n * 3, e - n * 3, 0.2)),
+        "barabasi_albert": (generators.barabasi_albert(spark, n, 3, True), lambda e: 0.95 * 3 * (n - 3) <= e <= 3 + 3 * (n - 3)),
+    }
+    rows = []
+    for kind, (g, ok) in kinds.items():
+        e = g.edges.agg(F.count("*").alias("n"), F.countDistinct("src", "dst").alias("different"), F.count_if(F.col("src") == F.col("dst")).alias("loops")).first()
+        rows.append((kind, e.loops == 0 and (kind == "watts_strogatz" or e.n == e.different), bool(ok(e.n))))
+    return spark.createDataFrame(rows, "kind string, simple boolean, as_many boolean")
 
 
 # partitions
@@ -380,9 +479,9 @@ def cosupply(spark, sf):
     return matrix.matmul(matrix.transpose(a), a).select("i", "j", _r("v", "v"))
 
 
-@query(with_("sparse", "SELECT i, j, ROUND(SUM(v), 6) AS v FROM (SELECT src AS i, dst AS j, -weight AS v FROM u UNION ALL SELECT src, src, weight FROM u) x GROUP BY i, j", BOTH))
+@query(with_("partners", "SELECT i, j, ROUND(SUM(v), 6) AS v FROM (SELECT src AS i, dst AS j, -weight AS v FROM u UNION ALL SELECT src, src, weight FROM u) x GROUP BY i, j", BOTH))
 def laplacian(spark, sf):
-    return matrix.laplacian(graph(spark, sf, "sparse")).select("i", "j", _r("v", "v"))
+    return matrix.laplacian(graph(spark, sf, "partners")).select("i", "j", _r("v", "v"))
 
 
 @query(with_("trade", "SELECT src AS i, CAST(SUM(COUNT(*)) OVER (ORDER BY src) - COUNT(*) AS BIGINT) AS offset, COUNT(*) AS n FROM e GROUP BY src"))
@@ -390,9 +489,9 @@ def csr(spark, sf):
     return matrix.to_csr(matrix.adjacency(graph(spark, sf, "trade"))).select("i", "offset", F.size("cols").cast("long").alias("n"))
 
 
-@query(with_("sparse", "SELECT i, j, ROUND(v / SQRT(a.d) / SQRT(b.d), 6) AS v FROM l JOIN (SELECT i AS k, SUM(v) AS d FROM l GROUP BY i) a ON a.k = l.i JOIN (SELECT i AS k, SUM(v) AS d FROM l GROUP BY i) b ON b.k = l.j", "l AS (SELECT src AS i, dst AS j, weight AS v FROM e UNION ALL SELECT id, id, 1.0::DOUBLE FROM v)"))
+@query(with_("partners", "SELECT i, j, ROUND(v / SQRT(a.d) / SQRT(b.d), 6) AS v FROM l JOIN (SELECT i AS k, SUM(v) AS d FROM l GROUP BY i) a ON a.k = l.i JOIN (SELECT i AS k, SUM(v) AS d FROM l GROUP BY i) b ON b.k = l.j", "l AS (SELECT src AS i, dst AS j, weight AS v FROM e UNION ALL SELECT id, id, 1.0::DOUBLE FROM v)"))
 def normalized_adjacency(spark, sf):
-    g = graph(spark, sf, "sparse")
+    g = graph(spark, sf, "partners")
     return matrix.symmetric_normalized(matrix.self_loops(matrix.adjacency(g), g.vertices)).select("i", "j", _r("v", "v"))
 
 
@@ -464,29 +563,29 @@ def _xy(df: DataFrame) -> DataFrame:
     return df.select("id", _r(F.col("x")[0], "x0"), _r(F.col("x")[1], "x1"))
 
 
-@query(with_("sparse", "SELECT f.id, ROUND(COALESCE(s.a, f.x0), 6) AS x0, ROUND(COALESCE(s.b, f.x1), 6) AS x1 FROM f LEFT JOIN (SELECT e.dst, AVG(f.x0) AS a, AVG(f.x1) AS b FROM e JOIN f ON e.src = f.id GROUP BY e.dst) s ON s.dst = f.id", _FEAT))
+@query(with_("partners", "SELECT f.id, ROUND(COALESCE(s.a, f.x0), 6) AS x0, ROUND(COALESCE(s.b, f.x1), 6) AS x1 FROM f LEFT JOIN (SELECT e.dst, AVG(f.x0) AS a, AVG(f.x1) AS b FROM e JOIN f ON e.src = f.id GROUP BY e.dst) s ON s.dst = f.id", _FEAT))
 def message_passing(spark, sf):
-    return _xy(gnn.message_passing(graph(spark, sf, "sparse"), _features(spark, sf), "mean"))
+    return _xy(gnn.message_passing(graph(spark, sf, "partners"), _features(spark, sf), "mean"))
 
 
-@query(with_("sparse", "SELECT e.dst AS id, ROUND(MAX(f.x0), 6) AS x0, ROUND(MAX(f.x1), 6) AS x1 FROM e JOIN f ON e.src = f.id GROUP BY e.dst", _FEAT))
+@query(with_("partners", "SELECT e.dst AS id, ROUND(MAX(f.x0), 6) AS x0, ROUND(MAX(f.x1), 6) AS x1 FROM e JOIN f ON e.src = f.id GROUP BY e.dst", _FEAT))
 def aggregate_max(spark, sf):
-    return _xy(gnn.aggregate(graph(spark, sf, "sparse"), _features(spark, sf), "max"))
+    return _xy(gnn.aggregate(graph(spark, sf, "partners"), _features(spark, sf), "max"))
 
 
-@query(with_("sparse", "SELECT l.j AS id, ROUND(SUM(v / SQRT(a.d) / SQRT(b.d) * f.x0), 6) AS x0, ROUND(SUM(v / SQRT(a.d) / SQRT(b.d) * f.x1), 6) AS x1 FROM l JOIN (SELECT i AS k, SUM(v) AS d FROM l GROUP BY i) a ON a.k = l.i JOIN (SELECT i AS k, SUM(v) AS d FROM l GROUP BY i) b ON b.k = l.j JOIN f ON f.id = l.i GROUP BY l.j", "l AS (SELECT src AS i, dst AS j, weight AS v FROM e UNION ALL SELECT id, id, 1.0::DOUBLE FROM v), " + _FEAT))
+@query(with_("partners", "SELECT l.j AS id, ROUND(SUM(v / SQRT(a.d) / SQRT(b.d) * f.x0), 6) AS x0, ROUND(SUM(v / SQRT(a.d) / SQRT(b.d) * f.x1), 6) AS x1 FROM l JOIN (SELECT i AS k, SUM(v) AS d FROM l GROUP BY i) a ON a.k = l.i JOIN (SELECT i AS k, SUM(v) AS d FROM l GROUP BY i) b ON b.k = l.j JOIN f ON f.id = l.i GROUP BY l.j", "l AS (SELECT src AS i, dst AS j, weight AS v FROM e UNION ALL SELECT id, id, 1.0::DOUBLE FROM v), " + _FEAT))
 def gcn(spark, sf):
-    return _xy(gnn.gcn(graph(spark, sf, "sparse"), _features(spark, sf)))
+    return _xy(gnn.gcn(graph(spark, sf, "partners"), _features(spark, sf)))
 
 
-@query(with_("sparse", "SELECT dst AS id, ROUND(SUM(p * x0) / SUM(p), 6) AS x0, ROUND(SUM(p * x1) / SUM(p), 6) AS x1 FROM (SELECT e.dst, s.x0, s.x1, EXP(CASE WHEN z > 0 THEN z ELSE z * 0.2::DOUBLE END) AS p FROM (SELECT e.*, 0.3::DOUBLE * s.x0 + 0.1::DOUBLE * s.x1 + 0.2::DOUBLE * t.x0 - 0.4::DOUBLE * t.x1 AS z FROM e JOIN f s ON s.id = e.src JOIN f t ON t.id = e.dst) e JOIN f s ON s.id = e.src) q GROUP BY dst", _FEAT))
+@query(with_("partners", "SELECT dst AS id, ROUND(SUM(p * x0) / SUM(p), 6) AS x0, ROUND(SUM(p * x1) / SUM(p), 6) AS x1 FROM (SELECT e.dst, s.x0, s.x1, EXP(CASE WHEN z > 0 THEN z ELSE z * 0.2::DOUBLE END) AS p FROM (SELECT e.*, 0.3::DOUBLE * s.x0 + 0.1::DOUBLE * s.x1 + 0.2::DOUBLE * t.x0 - 0.4::DOUBLE * t.x1 AS z FROM e JOIN f s ON s.id = e.src JOIN f t ON t.id = e.dst) e JOIN f s ON s.id = e.src) q GROUP BY dst", _FEAT))
 def gat(spark, sf):
-    return _xy(gnn.gat(graph(spark, sf, "sparse"), _features(spark, sf), [0.3, 0.1], [0.2, -0.4]))
+    return _xy(gnn.gat(graph(spark, sf, "partners"), _features(spark, sf), [0.3, 0.1], [0.2, -0.4]))
 
 
-@query(with_("sparse", "SELECT f.id, ROUND(f.x0, 6) AS x0, ROUND(f.x1, 6) AS x1, ROUND(COALESCE(a, 0), 6) AS x2, ROUND(COALESCE(b, 0), 6) AS x3 FROM f LEFT JOIN (SELECT src, AVG(x0) AS a, AVG(x1) AS b FROM (SELECT e.src, e.dst, ROW_NUMBER() OVER (PARTITION BY src ORDER BY edge_id) AS n FROM e) k JOIN f ON f.id = k.dst WHERE n <= 2 GROUP BY src) s ON s.src = f.id", _FEAT))
+@query(with_("partners", "SELECT f.id, ROUND(f.x0, 6) AS x0, ROUND(f.x1, 6) AS x1, ROUND(COALESCE(a, 0), 6) AS x2, ROUND(COALESCE(b, 0), 6) AS x3 FROM f LEFT JOIN (SELECT src, AVG(x0) AS a, AVG(x1) AS b FROM (SELECT e.src, e.dst, ROW_NUMBER() OVER (PARTITION BY src ORDER BY edge_id) AS n FROM e) k JOIN f ON f.id = k.dst WHERE n <= 2 GROUP BY src) s ON s.src = f.id", _FEAT))
 def graph_sage(spark, sf):
-    return gnn.sage(graph(spark, sf, "sparse"), _features(spark, sf), 2).select("id", *[_r(F.col("x")[k], f"x{k}") for k in range(4)])
+    return gnn.sage(graph(spark, sf, "partners"), _features(spark, sf), 2).select("id", *[_r(F.col("x")[k], f"x{k}") for k in range(4)])
 
 
 # quantisation, decomposition, model tables
@@ -496,11 +595,12 @@ def quantize(spark, sf):
     return q.select("vec_id", F.round("z.scale", 8).alias("scale"), F.aggregate("z.q", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
 
 
-@query("SELECT COUNT(*) AS n, TRUE AS within_half_step FROM embeddings")
-def dequantize_error(spark, sf):
+@query("SELECT vec_id, ROUND(list_sum(list_transform(embedding, lambda x: CAST(GREATEST(-127, LEAST(127, ROUND(CAST(x AS DOUBLE) / s))) AS INTEGER) * s)), 4) + 0 AS total, TRUE AS within_half_step FROM (SELECT *, list_max(list_transform(embedding, lambda x: ABS(CAST(x AS DOUBLE)))) / 127.0::DOUBLE AS s FROM embeddings) t")
+def dequantize(spark, sf):
     q = _embeddings(spark, sf).withColumn("z", transformer.quantize_int8("x")).withColumn("y", transformer.quantize_int4("x"))
     worst = lambda d, s: F.array_max(F.transform(F.zip_with("x", d, lambda a, b: a - b), lambda e: F.abs(e))) <= s * 0.5 + 1e-9
-    return q.agg(F.count("*").alias("n"), F.min(worst(transformer.dequantize(F.col("z")), F.col("z.scale")) & worst(transformer.dequantize(F.col("y"), True), F.col("y.scale"))).alias("within_half_step"))
+    near = worst(transformer.dequantize(F.col("z")), F.col("z.scale")) & worst(transformer.dequantize(F.col("y"), True), F.col("y.scale"))
+    return q.select("vec_id", (F.round(arrays.total(transformer.dequantize(F.col("z"))), 4) + 0.0).alias("total"), near.alias("within_half_step"))
 
 
 @query("SELECT l_returnflag || l_linestatus AS layer, COUNT(*) AS n, ROUND(AVG(l_discount), 6) AS mean, ROUND(STDDEV_POP(l_discount), 6) AS std, MIN(l_discount) AS min, MAX(l_discount) AS max FROM lineitem GROUP BY 1")
@@ -516,10 +616,11 @@ def weight_difference(spark, sf):
     return decompose.weight_difference(t, other).select("name", _r("l2", "l2"))
 
 
-@query("SELECT COUNT(*) AS n, TRUE AS orthogonal FROM embeddings")
+@query("SELECT CAST(vec_id AS VARCHAR) AS name, ROUND(CAST(embedding[5] AS DOUBLE) / SQRT(list_sum(list_transform(range(16), lambda k: POW(CAST(embedding[4 * k + 1] AS DOUBLE), 2)))), 6) AS first, TRUE AS orthogonal FROM embeddings")
 def orthogonalize(spark, sf):
+    """The second entry of Q's first column, which is the matrix's own first column made a unit."""
     t = _embeddings(spark, sf).select(F.col("vec_id").cast("string").alias("name"), F.array(F.lit(16), F.lit(4)).alias("shape"), F.col("x").alias("data"))
-    return decompose.orthogonalize(t).agg(F.count("*").alias("n"), (F.max("error") < 1e-9).alias("orthogonal"))
+    return decompose.orthogonalize(t).select("name", _r(F.col("q")[4], "first"), (F.col("error") < 1e-9).alias("orthogonal"))
 
 
 @query("SELECT COUNT(*) AS n, CAST(SUM(64) AS BIGINT) AS original, CAST(SUM(2 * 16) AS BIGINT) AS compressed FROM embeddings")
@@ -539,17 +640,16 @@ def sliding_attention(spark, sf):
     from pyspark.sql import Window
 
     s = _embeddings(spark, sf).select(F.col("label").cast("long").alias("b"), F.lit(0).cast("long").alias("h"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("pos"), "x")
-    n = s.agg(F.max("pos")).first()[0] + 1
-    out = transformer.attention(s, s, s, transformer.sliding_window_mask(spark, n, 4))
+    out = transformer.sliding_window_attention(s, s, s, 3)
     return out.select("b", F.col("pos"), F.round(F.col("x")[0], 5).alias("first"), F.round(F.col("x")[63], 5).alias("last"))
 
 
 @query(
     "SELECT 'sliding' AS kind, a.i, b.i AS j FROM range(20) a(i) JOIN range(20) b(i) ON b.i BETWEEN a.i - 3 AND a.i UNION ALL SELECT 'two_sided', a.i, b.i FROM range(20) a(i) JOIN range(20) b(i) ON b.i >= a.i - 4 AND b.i < a.i + 4 "
-    "UNION ALL SELECT 'block', a.i, b.i FROM range(20) a(i) JOIN range(20) b(i) ON b.i // 4 BETWEEN a.i // 4 - 1 AND a.i // 4 UNION ALL SELECT 'star', a.i, b.i FROM range(20) a(i) JOIN range(20) b(i) ON a.i < 2 OR b.i < 2 OR abs(a.i - b.i) <= 2"
+    "UNION ALL SELECT 'block', a.i, b.i FROM range(20) a(i) JOIN range(20) b(i) ON b.i // 4 BETWEEN a.i // 4 - 1 AND a.i // 4 UNION ALL SELECT 'star', a.i, b.i FROM range(20) a(i) JOIN range(20) b(i) ON a.i < 3 OR b.i < 3 OR (b.i >= a.i - 2 AND b.i < a.i + 2)"
 )
 def attention_masks(spark, sf):
-    kinds = {"sliding": transformer.sliding_window_mask(spark, 20, 4), "two_sided": transformer.sliding_window_mask(spark, 20, 4, False), "block": transformer.block_sparse_mask(spark, 20, 4, 2), "star": transformer.star_mask(spark, 20, 0.1, 2)}
+    kinds = {"sliding": transformer.sliding_window_mask(spark, 20, 4), "two_sided": transformer.sliding_window_mask(spark, 20, 4, False), "block": transformer.block_sparse_mask(spark, 20, 4, 2), "star": transformer.star_mask(spark, 20, 0.12, 2)}
     out = None
     for k, m in kinds.items():
         m = m.select(F.lit(k).alias("kind"), "i", "j")
@@ -589,11 +689,19 @@ def pad_sequences(spark, sf):
     return p.select("seq", F.col("length").cast("long").alias("length"), F.size(F.filter("tokens", lambda x: x == -1)).cast("long").alias("padding"))
 
 
-@query("WITH t AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS value, (p_retailprice - 1000) / 1000 AS g FROM part) SELECT p_partkey, ROUND(value - 0.1::DOUBLE * (g + 0.01::DOUBLE * value), 6) AS sgd, ROUND(value - 0.1::DOUBLE * (g / (ABS(g) + 0.00000001::DOUBLE)), 5) AS adam, ROUND(value - 0.1::DOUBLE * (g / (ABS(g) + 0.00000001::DOUBLE)) - 0.001::DOUBLE * value, 5) AS adamw FROM t")
+_STATE = "t AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS value, (p_retailprice - 1000) / 1000 AS g, p_retailprice / 5000 AS m, p_size / 100.0::DOUBLE AS v FROM part), a AS (SELECT *, 0.9::DOUBLE * m + 0.1::DOUBLE * g AS m2, 0.999::DOUBLE * v + 0.001::DOUBLE * g * g AS v2 FROM t), b AS (SELECT *, 0.1::DOUBLE * (m2 / (1 - POW(0.9::DOUBLE, 3))) / (SQRT(v2 / (1 - POW(0.999::DOUBLE, 3))) + 0.00000001::DOUBLE) AS step FROM a)"
+
+
+@query(f"WITH {_STATE} SELECT p_partkey, ROUND(value - 0.1::DOUBLE * (0.9::DOUBLE * m + g + 0.01::DOUBLE * value), 5) AS sgd, ROUND(value - step, 5) AS adam, ROUND(value - step - 0.001::DOUBLE * value, 5) AS adamw, ROUND(m2, 6) AS m, ROUND(v2, 6) AS v FROM b")
 def optimizers(spark, sf):
-    t = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("value"), ((F.col("p_retailprice") - 1000) / 1000).alias("grad"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.lit(0.0).alias("velocity"))
-    a, b, c = transformer.sgd(t, 0.1, 0.9, 0.01), transformer.adam(t, 1, 0.1), transformer.adam(t, 1, 0.1, decay=0.01, decoupled=True)
-    return a.select("p_partkey", _r("value", "sgd")).join(b.select("p_partkey", F.round("value", 5).alias("adam")), "p_partkey").join(c.select("p_partkey", F.round("value", 5).alias("adamw")), "p_partkey")
+    """The third step, from moments that are not zero; one row of parameters gives all three."""
+    price, size = F.col("p_retailprice"), F.col("p_size").cast("double")
+    t = table(spark, sf, "part").select("p_partkey", size.alias("value"), ((price - 1000) / 1000).alias("grad"), (price / 5000).alias("m"), (size / 100).alias("v"), (price / 5000).alias("velocity"))
+    kept = t.withColumns({"value0": F.col("value"), "m0": F.col("m"), "v0": F.col("v")})
+    a = transformer.sgd(kept, 0.1, 0.9, 0.01).withColumn("sgd", F.col("value")).withColumn("value", F.col("value0"))
+    b = transformer.adam(a, 3, 0.1).withColumns({"adam": F.col("value"), "m1": F.col("m"), "v1": F.col("v")}).withColumns({"value": F.col("value0"), "m": F.col("m0"), "v": F.col("v0")})
+    c = transformer.adam(b, 3, 0.1, decay=0.01, decoupled=True)
+    return c.select("p_partkey", F.round("sgd", 5).alias("sgd"), F.round("adam", 5).alias("adam"), F.round("value", 5).alias("adamw"), _r("m1", "m"), _r("v1", "v"))
 
 
 # learnable edges
@@ -601,34 +709,38 @@ _LEARN = "l AS (SELECT src, dst, LN(p / (1 - p)) AS logit, p, weight FROM (SELEC
 
 
 def _learnable(spark, sf) -> DataFrame:
-    return differentiable.learnable(graph(spark, sf, "sparse").edges, 0.05 + 0.9 * ((F.col("src") * 7 + F.col("dst")) % 10) / 10)
+    return differentiable.learnable(graph(spark, sf, "partners").edges, 0.05 + 0.9 * ((F.col("src") * 7 + F.col("dst")) % 10) / 10)
 
 
-@query(with_("sparse", "SELECT src, dst, ROUND(g * p * (1 - p) + 0.1::DOUBLE * SIGN(logit) + 0.01::DOUBLE * (2 * (COUNT(*) OVER (PARTITION BY src) * p - SUM(p) OVER (PARTITION BY src)) + 2 * (COUNT(*) OVER (PARTITION BY dst) * p - SUM(p) OVER (PARTITION BY dst))), 6) AS grad FROM (SELECT *, weight / 100 AS g FROM l) y", _LEARN))
+@query(with_("partners", "SELECT src, dst, ROUND(g * p * (1 - p) + 0.1::DOUBLE * SIGN(logit) + 0.01::DOUBLE * (2 * (COUNT(*) OVER (PARTITION BY src) * p - SUM(p) OVER (PARTITION BY src)) + 2 * (COUNT(*) OVER (PARTITION BY dst) * p - SUM(p) OVER (PARTITION BY dst))), 6) AS grad FROM (SELECT *, weight / 100 AS g FROM l) y", _LEARN))
 def structure_gradients(spark, sf):
     e = _learnable(spark, sf)
     return differentiable.structure_gradients(e, e.select("src", "dst", (F.col("weight") / 100).alias("g")), sparsity=0.1, smoothness=0.01).select("src", "dst", _r("grad", "grad"))
 
 
-@query(with_("sparse", "SELECT src, dst, CASE WHEN g > 0.1 AND p < 0.5 THEN 'add' WHEN g < -0.1 AND p > 0.5 THEN 'remove' ELSE 'modify' END AS action, ROUND(GREATEST(0.01::DOUBLE, LEAST(0.99::DOUBLE, p + 0.1::DOUBLE * g)), 6) AS prob FROM (SELECT *, (src - dst) / 10.0::DOUBLE AS g FROM l) y", _LEARN))
+@query(with_("partners", "SELECT src, dst, CASE WHEN g > 0.1 AND p < 0.5 THEN 'add' WHEN g < -0.1 AND p > 0.5 THEN 'remove' ELSE 'modify' END AS action, ROUND(GREATEST(0.01::DOUBLE, LEAST(0.99::DOUBLE, p + 0.1::DOUBLE * g)), 6) AS prob FROM (SELECT *, (src - dst) / 10.0::DOUBLE AS g FROM l) y", _LEARN))
 def structure_edits(spark, sf):
     return differentiable.edit_policy(_learnable(spark, sf).withColumn("grad", (F.col("src") - F.col("dst")) / 10.0)).select("src", "dst", "action", _r("prob", "prob"))
 
 
-@query(with_("sparse", "SELECT src, dst FROM l WHERE p > 0.5 OR p >= 0.3", _LEARN))
+@query(with_("partners", "SELECT src, dst FROM l WHERE p > 0.5 OR p >= 0.3", _LEARN))
 def prune_weak_edges(spark, sf):
     return differentiable.prune_weak(_learnable(spark, sf), 0.3).select("src", "dst")
 
 
-@query()
+@query(with_("partners", "SELECT src AS grp, COUNT(*) AS items, CAST(1 AS DOUBLE) AS chosen, CAST(1 AS DOUBLE) AS shares FROM l GROUP BY src", _LEARN))
 def gumbel_sample(spark, sf):
-    return differentiable.gumbel_softmax(_learnable(spark, sf).select(F.col("src").alias("grp"), F.col("dst").alias("item"), "logit"), hard=True)
+    """For each group its items, how many are chosen when hard, and the sum of the soft shares."""
+    options = _learnable(spark, sf).select(F.col("src").alias("grp"), F.col("dst").alias("item"), "logit")
+    hard, soft = (differentiable.gumbel_softmax(options, 0.5, hard=h) for h in (True, False))
+    both = hard.join(soft.withColumnRenamed("y", "z"), ["grp", "item"])
+    return both.groupBy("grp").agg(F.count("*").alias("items"), F.sum("y").alias("chosen"), F.round(F.sum("z"), 6).alias("shares"))
 
 
 # operator graphs
-@query(with_("dag", "SELECT 'IsolatedNode' AS kind, id FROM v WHERE id NOT IN (SELECT src FROM e) UNION ALL SELECT 'DisconnectedComponent', k FROM (SELECT DISTINCT MIN(k) AS k FROM c GROUP BY id) x WHERE k <> 0", _WCC))
+@query(with_("ranked", "SELECT 'IsolatedNode' AS kind, id FROM v WHERE id NOT IN (SELECT src FROM e) UNION ALL SELECT 'DisconnectedComponent', k FROM (SELECT DISTINCT MIN(k) AS k FROM c GROUP BY id) x WHERE k <> 0", _WCC))
 def topology_defects(spark, sf):
-    return model.defects(graph(spark, sf, "dag")).select("kind", "id")
+    return model.defects(graph(spark, sf, "ranked")).select("kind", "id")
 
 
 @query("SELECT kind, COUNT(*) AS n FROM (SELECT CASE WHEN i // 6 = 0 THEN 'Token' WHEN (i // 6) % 2 = 1 THEN 'Hidden' ELSE 'FFN' END AS kind FROM range(42) r(i) UNION ALL SELECT 'SelfAttention' FROM range(3) l(i), range(6) a(p), range(6) b(q) WHERE q <= p UNION ALL SELECT 'Residual' FROM range(18) z(i) UNION ALL SELECT 'DataFlow' FROM range(18) y(i)) x GROUP BY kind")
@@ -655,4 +767,6 @@ def talk_depth(spark, sf):
     return traversal.topological_levels(g).groupBy(F.expr("id div 1000").alias("conv_id")).agg(F.max("level").cast("long").alias("depth"))
 
 
+from . import catalog_more  # noqa: E402, F401  (registers its queries)
+
 __all__ = ["queries", "oracle_sql", "Graph"]

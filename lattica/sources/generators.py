@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -23,17 +25,29 @@ def complete_graph(spark: SparkSession, n: int) -> Graph:
 
 
 def erdos_renyi(spark: SparkSession, n: int, p: float, directed: bool = False, seed: int = 42) -> Graph:
-    """Gaps between chosen pairs are not materialised: each vertex draws its own targets independently."""
-    low = "0L" if directed else "id + 1"
-    pairs = spark.range(n).select(F.col("id").alias("src"), F.explode(F.expr(f"IF({low} <= {n - 1}, sequence({low}, {n - 1}L), array())")).alias("dst"))
-    return _graph(spark, n, pairs.where((F.col("src") != F.col("dst")) & (_unit(F.lit(seed), "src", "dst") < p)), directed)
+    """Each vertex steps through its possible targets by geometric gaps, so only about as many rows are made as there are edges.
+
+    A vertex draws eight standard deviations more gaps than it is expected to need.
+    """
+    if p >= 1:
+        all_ = spark.range(n).select(F.col("id").alias("src"), F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias("dst"))
+        return _graph(spark, n, all_.where("src <> dst" if directed else "src < dst"), directed)
+    room = F.lit(n - 1) if directed else F.lit(n - 1) - F.col("id")
+    draws = F.ceil(room * p + 8 * F.sqrt(room * p) + 8).cast("long")
+    rows = spark.range(n if p > 0 else 0).select(F.col("id").alias("src"), room.alias("room"), F.explode(F.sequence(F.lit(1).cast("long"), draws)).alias("k"))
+    gap = F.floor(F.log(1 - _unit(F.lit(seed), "src", "k")) / math.log1p(-p)).cast("long") + 1 if p > 0 else F.lit(1)
+    at = F.sum(gap).over(Window.partitionBy("src").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = rows.withColumn("at", at).where("at <= room")
+    # the at-th of the other vertices, or of the later ones
+    dst = F.when(F.col("at") <= F.col("src"), F.col("at") - 1).otherwise(F.col("at")) if directed else F.col("src") + F.col("at")
+    return _graph(spark, n, chosen.select("src", dst.alias("dst")), directed)
 
 
 def barabasi_albert(spark: SparkSession, n: int, m: int, preferential: bool = False, seed: int = 42) -> Graph:
     """Each vertex from m on joins m earlier ones: the first m, or by preference through copying.
 
-    With preference, target j of vertex v is a uniformly drawn earlier end point, followed back by at most 64 copies
-    until it is a vertex.
+    With preference, target j of vertex v is a uniformly drawn earlier end point, followed back from copy to copy
+    until it is a vertex; each step goes to an earlier one.
     """
     rows = spark.range(m, n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
     seedling = complete_graph(spark, m).edges.select("src", "dst")
@@ -41,7 +55,7 @@ def barabasi_albert(spark: SparkSession, n: int, m: int, preferential: bool = Fa
         return _graph(spark, n, seedling.union(rows.select("src", F.col("j").cast("long"))))
     slot = F.col("slot")
     cur = rows.withColumn("slot", F.floor(_unit(F.lit(seed), "src", "j") * (2 * m * (F.col("src") - m) + m)).cast("long"))
-    for _ in range(64):
+    while True:
         past = F.floor((slot - m) / 2)
         chosen = F.floor(_unit(F.lit(seed), F.floor(past / m) + m, F.pmod(past, F.lit(m)).cast("int")) * F.greatest(F.lit(1), slot - m)).cast("long")
         cur = cut(cur.withColumn("slot", F.when((slot >= m) & ((slot - m) % 2 == 1), F.least(chosen, slot - 1)).otherwise(slot)))

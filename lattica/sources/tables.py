@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..graph import Graph
+from ..iterate import cut
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _TRADE = (
     "SELECT CAST(s_nationkey AS BIGINT) * 100 + CAST(c_nationkey AS BIGINT) AS edge_id, CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, CAST(COUNT(*) AS DOUBLE) AS weight "
-    "FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_quantity >= 49 AND s_nationkey <> c_nationkey"
+    "FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey"
 )
-_GROUP = " GROUP BY s_nationkey, c_nationkey"
+#: Each nation's three closest buyers: those with the greatest share of what they buy from it.
+_PARTNERS = f"SELECT edge_id, src, dst, weight FROM (SELECT t.*, ROW_NUMBER() OVER (PARTITION BY src ORDER BY weight / bought DESC, dst) AS nth FROM ({_TRADE}) t JOIN (SELECT dst AS buyer, SUM(weight) AS bought FROM ({_TRADE}) u GROUP BY dst) b ON buyer = dst) q WHERE nth <= 3"
 EDGES = {
-    "trade": _TRADE + _GROUP,
-    "sparse": _TRADE + " AND (s_nationkey * 7 + c_nationkey * 3) % 11 = 0" + _GROUP,
-    "dag": _TRADE + " AND s_nationkey < c_nationkey AND (s_nationkey * 7 + c_nationkey * 3) % 5 = 0" + _GROUP,
+    "trade": _TRADE,
+    "partners": _PARTNERS,
+    "ranked": f"SELECT MIN(edge_id) AS edge_id, LEAST(src, dst) AS src, GREATEST(src, dst) AS dst, SUM(weight) AS weight FROM ({_PARTNERS}) p GROUP BY LEAST(src, dst), GREATEST(src, dst)",
+    "regions": f"SELECT CAST(a.n_regionkey AS BIGINT) * 10 + CAST(b.n_regionkey AS BIGINT) AS edge_id, CAST(a.n_regionkey AS BIGINT) AS src, CAST(b.n_regionkey AS BIGINT) AS dst, SUM(weight) AS weight FROM ({_TRADE}) t JOIN {{nation}} a ON a.n_nationkey = src JOIN {{nation}} b ON b.n_nationkey = dst WHERE a.n_regionkey <> b.n_regionkey GROUP BY a.n_regionkey, b.n_regionkey",
     "part_supp": "SELECT l_suppkey * 10000000 + l_partkey AS edge_id, l_partkey AS src, 100000000 + l_suppkey AS dst, CAST(COUNT(*) AS DOUBLE) AS weight FROM {lineitem} GROUP BY l_suppkey, l_partkey",
     "clicks": (
         "SELECT CAST(ROW_NUMBER() OVER (PARTITION BY a ORDER BY b) AS BIGINT) + a * 100 AS edge_id, a AS src, b AS dst, weight FROM (SELECT a, b, CAST(COUNT(*) AS DOUBLE) AS weight FROM "
@@ -26,7 +29,7 @@ EDGES = {
     "geo": "SELECT c_custkey AS edge_id, 1000 + CAST(c_nationkey AS BIGINT) AS src, 100000 + c_custkey AS dst, CAST(1 AS DOUBLE) AS weight FROM {customer} UNION ALL SELECT -1 - CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT), 1000 + CAST(n_nationkey AS BIGINT), CAST(1 AS DOUBLE) FROM {nation}",
 }
 _ENDS = "SELECT src AS id FROM ({e}) x UNION SELECT dst FROM ({e}) y"
-VERTICES = {k: "SELECT CAST(n_nationkey AS BIGINT) AS id FROM {nation}" for k in ("trade", "sparse", "dag")}
+VERTICES = {k: "SELECT CAST(n_nationkey AS BIGINT) AS id FROM {nation}" for k in ("trade", "partners", "ranked")}
 
 
 def edges_sql(name: str) -> str:
@@ -47,6 +50,7 @@ def run(spark: SparkSession, sf: str, sql: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf: str, name: str, directed: bool = True) -> Graph:
-    edges = run(spark, sf, EDGES[name])
+    """The narrow table of edges is written once: algorithms read it again and again, and never the tables behind it."""
+    edges = cut(run(spark, sf, EDGES[name]))
     vertices = run(spark, sf, VERTICES[name]) if name in VERTICES else None
     return Graph.from_edges(edges, vertices, directed)

@@ -1,19 +1,25 @@
 """Tensor files in the safetensors layout: an 8-byte little-endian header length, a JSON header, then the data.
 
-The header is read with the file's first bytes; each tensor is then one input partition, so
-a model's tensors are decoded in parallel.  Paths are opened on the executors by Python and must be visible to all of them.
+Files are read by Spark's own `binaryFile` source, so any path, list or glob that Spark can open will do; each file is
+one row, decoded in the task that holds it (files of up to 2 GB, Spark's bound for a row: checkpoints come in such shards).
+For larger files on a mount that all executors see, the "safetensors" data source makes each tensor an input partition and reads its bytes alone.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..graph import Graph
+from .files import write_bytes
+
 SCHEMA = "name string, dtype string, shape array<int>, data array<double>"
 #: The format's names of element types.
 KINDS = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "?", "BF16": "<u2"}
@@ -59,13 +65,32 @@ class SafetensorsSource(DataSource):
         return _Reader(self.options["path"])
 
 
-def read_safetensors(spark: SparkSession, path: str) -> DataFrame:
+def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("content"):
+            raw = memoryview(blob.as_buffer())
+            (n,) = struct.unpack("<Q", raw[:8])
+            header = json.loads(bytes(raw[8 : 8 + n]))
+            for name, h in sorted(header.items()):
+                if name != "__metadata__":
+                    a, b = (8 + n + x for x in h["data_offsets"])
+                    data = decode(bytes(raw[a:b]), h["dtype"]).astype(float)
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([h["dtype"]]), pa.array([h["shape"]], pa.list_(pa.int32())), pa.array([data], pa.list_(pa.float64()))], ["name", "dtype", "shape", "data"])
+
+
+def read_safetensors(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(name, dtype, shape, data) of all tensors in the files."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_tensors, SCHEMA)
+
+
+def read_large_safetensors(spark: SparkSession, path: str) -> DataFrame:
+    """As read_safetensors(), of one file of any size on a mount that the driver and all executors see."""
     spark.dataSource.register(SafetensorsSource)
     return spark.read.format("safetensors").option("path", path).load()
 
 
 def write_safetensors(tensors: DataFrame, path: str) -> None:
-    """One file of F32 tensors (name, shape, data); the rows are streamed through the driver one at a time, twice."""
+    """One file of F32 tensors (name, shape, data); the rows are streamed through the driver one at a time."""
     rows = tensors.select("name", "shape", F.size("data").alias("n")).orderBy("name").collect()
     header, at = {}, 0
     for r in rows:
@@ -73,10 +98,44 @@ def write_safetensors(tensors: DataFrame, path: str) -> None:
         at += 4 * r.n
     text = json.dumps(header).encode()
     text += b" " * (-len(text) % 8)
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", len(text)) + text)
+
+    def parts() -> Iterator[bytes]:
+        yield struct.pack("<Q", len(text)) + text
         for r in tensors.orderBy("name").select("data").toLocalIterator():
-            f.write(np.array(r.data, "<f4").tobytes())
+            yield np.array(r.data, "<f4").tobytes()
+
+    write_bytes(tensors.sparkSession, path, parts())
+
+
+def operator_graph(tensors: DataFrame) -> Graph:
+    """A vertex (id, label, kind, layer, part, shape, data) for each tensor, in order of name, and edges along the model.
+
+    Within a layer its parts follow each other in order of name; the last of a layer leads to the first of the next, the tensors
+    before all layers (embeddings) to the first layer, the last layer to what comes after (final norm, head).  Weights stay at their vertices.
+    """
+    from pyspark.sql import Window
+
+    columns = layer_of()
+    rows = tensors.withColumns(columns).withColumn("kind", operator_kind())
+    late = F.col("name").rlike(r"^(model\.)?norm|lm_head")
+    rows = rows.withColumn("stage", F.when(F.col("layer").isNotNull(), F.col("layer") + 1).when(late, F.lit(1 << 30)).otherwise(0))
+    # one row a tensor: a table of names, of a few thousand rows, is ranked whole
+    order = Window.orderBy("stage", "name")
+    ranked = rows.select("name", "stage", F.row_number().over(order).alias("id")).withColumn("id", F.col("id") - 1)
+    rows = rows.join(ranked.select("name", "id"), "name")
+    v = rows.select(F.col("id").cast("long").alias("id"), F.lit(1).alias("gen"), F.col("name").alias("label"), "kind", "layer", "part", "shape", "data")
+    e = ranked.select(F.col("id").cast("long").alias("src"), F.lead("id").over(order).cast("long").alias("dst"), "stage", F.lead("stage").over(order).alias("next"))
+    e = e.where("dst IS NOT NULL").select(F.col("src").alias("edge_id"), "src", "dst", F.lit(1.0).alias("weight"), F.when(F.col("stage") == F.col("next"), "Sequence").otherwise("Layer").alias("kind"))
+    return Graph(v, e)
+
+
+def load_operator_graph(spark: SparkSession, path: str | list[str]) -> Graph:
+    return operator_graph(read_safetensors(spark, path))
+
+
+def save_operator_graph(graph: Graph, path: str) -> None:
+    """The vertices' weights (label, shape, data) as F32."""
+    write_safetensors(graph.vertices.select(F.col("label").alias("name"), "shape", "data"), path)
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:

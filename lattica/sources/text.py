@@ -86,6 +86,13 @@ def _force(nodes, edges, width, height, rounds=50, repel=1000.0, attract=0.01, d
     return {x: tuple(p[i]) for x, i in at.items()}
 
 
+def write_text(graph: Graph, path: str, text: str) -> None:
+    """A drawing or DOT text to any path that Spark can open."""
+    from .files import write_bytes
+
+    write_bytes(graph.edges.sparkSession, path, [text.encode()])
+
+
 def to_svg(graph: Graph, layout: str = "circular", width: float = 800, height: float = 600, radius: float = 10) -> str:
     nodes = [r.id for r in graph.vertices.select("id").orderBy("id").limit(DRAW_LIMIT + 1).collect()]
     edges = [(r.src, r.dst) for r in graph.edges.orderBy("edge_id").select("src", "dst").limit(DRAW_LIMIT + 1).collect()]
