@@ -1,11 +1,12 @@
 """Driver loops over DataFrames: each round is one Catalyst plan, with its lineage cut by a checkpoint.
 
 Checkpoints go to the folder that the cluster names in ``spark.checkpoint.dir``, which all
-executors share.  Where a session names none, a warehouse folder serves, which is shared as well.
+executors share; only a local session may go without, and gets a folder of its own.
 """
 
 from __future__ import annotations
 
+import tempfile
 import time
 from functools import reduce
 from collections.abc import Callable
@@ -15,7 +16,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 def checkpoint_folder(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/.checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="lattica-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
