@@ -1,19 +1,21 @@
 """Vectorised text handling shared by the Arrow-batch operators.
 
 Texts are taken as UTF-8 bytes straight from Arrow's buffers and handled in
-blocks of about a megabyte, so that a worker's memory follows the block and
+blocks of about half a megabyte, so that a worker's memory follows the block and
 the longest single text, not the partition.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, LONG_WORD, PLACE_BITS = 1 << 19, 64, 28
 U = np.uint64
 
 #: Odd multipliers and mixing constants of the hashes below.
@@ -26,6 +28,19 @@ ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_libc = ctypes.CDLL(None)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; when they have ended, what the worker no longer needs goes back to the system, as it may live on idle."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if hasattr(_libc, "malloc_trim"):
+            _libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ U(salt)
@@ -108,8 +123,25 @@ def words(data: np.ndarray, bounds: np.ndarray, gap: np.ndarray = ASCII_SPACE) -
     return start, end, np.searchsorted(bounds, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return spans(prefix(data.astype(U) + U(1), BYTE_BASE), start, end, BYTE_BASE)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = WORD_BASE) -> np.ndarray:
+    """Hashes of byte stretches: eight bytes at a time are mixed in, after the length; long ones begin from their XXH64.
+
+    Not a power sum, which strings made for it would collide under; stretches of eight bytes or fewer never collide
+    with others of their length.
+    """
+    size = end - start
+    out = mix(size.astype(U), salt)
+    lanes = np.ndarray(data.size + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    left, at, own = np.minimum(size, LONG_WORD), start.copy(), np.flatnonzero(size)
+    while own.size:
+        n = np.minimum(left[own], 8)
+        out[own] = mix(out[own] ^ (lanes[at[own]] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * n.astype(U)))), salt)
+        at[own] += 8
+        left[own] -= n
+        own = own[left[own] > 0]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = mix(out[k : k + 1] ^ U(xxhash.xxh64_intdigest(data[start[k] : end[k]].tobytes(), salt)), salt)[0]
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -121,16 +153,21 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: out.size - (width - have)], out[width - have :]) if have < width else out
 
 
-def anchors(grams: np.ndarray, width: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimizers: for each valid stretch of `width` grams the leftmost least one.
+def anchors(grams: np.ndarray, width: int, valid: np.ndarray, bits: int = PLACE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Minimizers: for each valid stretch of `width` grams the leftmost least one, by all but the low `bits` bits.
 
     Returns each valid stretch's anchor position and the distinct anchors.
     Equal stretches have their anchors at equal distances from their starts,
     so two occurrences of one stretch always show two anchors of one value.
+    Positions are counted anew every 2**(bits - 1) stretches, so a text of any length has room.
     """
-    key = (grams & ~U((1 << 28) - 1)) | np.arange(grams.size, dtype=U)
-    least = sliding_min(key, width)[: valid.size][valid] & U((1 << 28) - 1)
-    least = least.astype(np.int64)
+    low, step, parts = U((1 << bits) - 1), 1 << (bits - 1), [np.zeros(0, np.int64)]
+    for s in range(0, valid.size, step):
+        own = grams[s : s + step + width - 1]
+        key = (own & ~low) | np.arange(own.size, dtype=U)
+        here = valid[s : s + step]
+        parts.append((sliding_min(key, width)[: here.size][here] & low).astype(np.int64) + s)
+    least = np.concatenate(parts)
     return least, least[np.r_[True, least[1:] != least[:-1]]] if least.size else least
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import U, mix
+from .blocks import U, mix, released
 
 CELLS_PER_ITEM, MIN_BITS, MAX_BITS, SHARD_BITS, ROWS = 4, 16, 28, 20, 2
 FLUSH = 1 << 21
@@ -83,7 +83,7 @@ def build(texts: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.nd
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from partition_sketches((v for b in batches for v in values_of(b)), bits)
 
-    merged = texts.mapInArrow(sketch, SCHEMA).repartition("row", "shard").mapInArrow(_merge, SCHEMA)
+    merged = texts.mapInArrow(lambda b: released(sketch(b)), SCHEMA).repartition("row", "shard").mapInArrow(lambda b: released(_merge(b)), SCHEMA)
     out = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(ROWS)]
     size = min(1 << SHARD_BITS, 1 << bits) // 8
     for row, shard, packed in merged.collect():

@@ -2,8 +2,8 @@
 
 Lineage is cut by writing Parquet below the folder that the cluster names in
 ``spark.checkpoint.dir``; all executors share it, so a lost executor costs a
-recomputed task and never a lost table.  Only where the setting is absent (a
-local session) is a folder of our own made and recorded in the session.
+recomputed task and never a lost table.  Only in a local session without the setting is a folder of our own made and
+recorded in the session; a cluster must name one.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
