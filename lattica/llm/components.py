@@ -4,12 +4,14 @@ Large-star hangs every larger neighbour of a node on the node's least
 neighbour; small-star does the same among the smaller ones.  Each round is
 two group-by-minimum steps and joins, so a hub of any degree is combined on
 the map side and split by the adaptive skew join.  It ends when a round
-leaves the edges as they were; every node then points at its component's
+leaves the edges as they were, however many that takes; every node then points at its component's
 least node.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def _star(edges: DataFrame) -> DataFrame:
     return joined
 
 
-def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     """edges(u, v) of any one orderable type -> (node, root), for nodes that have an edge.
 
     Loops, repeated edges and nulls are ignored; an empty table gives no rows.
@@ -30,7 +32,7 @@ def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 60
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = work.store(e, "cc0")
     before = None
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         joined = _star(large)  # all edges point from larger to smaller here
