@@ -3,12 +3,14 @@
 Overlapping heuristic labellers each vote bad, good or nothing on every
 document.  Their votes make patterns, of which there are at most 3**labellers; the
 counts of the patterns over all documents are all that expectation-maximisation
-needs to estimate the prior and each labeller's accuracies.  The
+needs.  It knows good documents and, as kinds of bad text seldom occur together, a kind of bad for each
+labeller, and estimates from the counts alone how many documents each has and how often each labeller votes bad on
+it: its accuracy on each kind and its rate of false alarms.  The
 posterior of a document's pattern is its training label.
 
 A linear scorer over hashed features (words and word shapes) is fitted by
 logistic regression to the posteriors of at most SAMPLE documents, those of least hash
-(a bound on the fit alone), and scores every whole text.
+(a bound on the fit alone), and scores every whole text.  Both fits run in one task of an executor, as what they read is bounded.
 
 Toxicity has a second linear scorer, over how often a document has each word and each word's beginning of
 TOXIC_STEMS bytes (hashed, ASCII marks at both ends stripped; inflected forms share a beginning), fitted to the toxic labels of at most TOXIC_SAMPLE labelled documents of any language,
@@ -18,7 +20,7 @@ toxic.  keep is true for documents that the scorer finds good and that are not t
 
 A null or wordless text has no votes and no features; it scores as bad.
 Repeated rows are scored each; other columns pass through keep_good() untouched.  Where there are too few documents to
-fit (fewer than MIN_FIT), the posterior itself is the score.  An empty table gives no rows.
+fit (fewer than MIN_FIT), a document with a bad vote scores as bad.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,20 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BYTE_BASE, U, blocks, mix, prefix, spans, word_hashes, words
-from .workspace import Workspace
+from .blocks import BYTE_BASE, U, blocks, mix, prefix, released, spans, words
 
 SAMPLE, MIN_FIT, BUCKETS, TOXIC_HITS = 6000, 50, 1 << 12, 2
 TOXIC_SAMPLE, TOXIC_BITS, TOXIC_DOCS, TOXIC_STEMS = 6000, 18, 8, (6, 7, 8)
-#: Prior rate of bad votes on good documents, and its weight against the counts.
-FALSE_ALARM, FIRM = 0.002, 20.0
-
 #: Common insults.
 TOXIC = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
 #: Frequent function words of English, German, French and Spanish.
 STOPWORDS = sorted({"the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "with", "der", "die", "das", "und", "in", "zu", "nicht", "den", "von", "le", "la", "les", "de", "des", "et", "un", "une", "en", "que", "pour", "el", "los", "del", "y", "una", "se", "por", "con", "para"})
 
-LABELLERS = ["symbols", "capitals", "shouting", "bars", "stutter", "variety", "stopwords", "word_length"]
+#: Each kind of bad text is seen by two or more: what one labeller alone sees could as well be its false alarms.
+LABELLERS = ["symbols", "clusters", "capitals", "shouting", "bars", "wordless", "stutter", "variety", "stopwords", "word_length"]
 
 CLASS = np.zeros(256, np.uint8)  # 1 symbol, 2 capital, 3 small letter, 4 exclamation mark, 5 bar, 6 digit, 7 stop, 8 byte beyond ASCII
 for _chars, _k in (("#$%&*<>=~^\\{}[]@", 1), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), ("abcdefghijklmnopqrstuvwxyz", 3), ("!", 4), ("|", 5), ("0123456789", 6), (".,;:?", 7)):
@@ -57,7 +56,7 @@ FOLD = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 def _hash_of(strings: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(strings).encode(), np.uint8)
     end = np.cumsum([len(s.encode()) for s in strings])
-    return word_hashes(data, np.r_[0, end[:-1]], end)
+    return spans(prefix(data.astype(U) + U(1), BYTE_BASE), np.r_[0, end[:-1]], end, BYTE_BASE)
 
 
 _STOP, _TOXIC = np.sort(_hash_of(STOPWORDS)), np.sort(_hash_of(TOXIC))
@@ -121,9 +120,11 @@ def analyse(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     votes = np.stack(
         [
             vote(symbols, 0.05, 0.01),
+            vote(_sums(kinds[1] >= 2, doc, n) / count, 0.1, 0.02),
             vote(capitals, 0.4, 0.15),
             vote(_sums(kinds[4] > 0, doc, n) / count, 0.2, 0.02),
             vote(_sums(kinds[5] > 0, doc, n) / count, 0.15, 0.01),
+            vote(_sums(letters + kinds[8] == 0, doc, n) / count, 0.2, 0.05),
             vote(_sums(same, doc, n) / count, 0.25, 0.05),
             vote(-distinct / np.sqrt(count), -1.2, -2.5, few),
             vote(-_sums(_among(core, _STOP), doc, n) / count, 0.0, -0.05, few),
@@ -154,39 +155,38 @@ def votes_of(pattern: np.ndarray, n: int = len(LABELLERS)) -> np.ndarray:
     return (pattern[None, :] // (3 ** np.arange(n))[:, None]) % 3 - 1
 
 
-def estimate(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], float, np.ndarray]:
-    """EM over pattern counts -> posterior of "bad" by pattern, its prior, and P(vote | class, a vote) by labeller."""
+def estimate(patterns: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 300) -> tuple[dict[int, float], float, np.ndarray]:
+    """EM over pattern counts -> posterior of "bad" by pattern, its prior, and P(bad vote | a vote) by labeller on good and on bad text.
+
+    Classes are good text and one kind of bad for each labeller, begun from the documents that it calls bad; silence says
+    nothing.  No accuracy is given beforehand: counts of one in each cell keep rates off zero.
+    """
     keys = np.array(sorted(patterns), np.int64)
     if not keys.size:
-        return {}, 0.5, np.zeros((len(LABELLERS), 2, 3))
+        return {}, 0.5, np.zeros((labellers, 2))
     weight = np.array([patterns[k] for k in keys.tolist()], float)
-    votes = votes_of(keys)
-    # begin with one bad vote against any number of good ones: the kinds of bad text seldom overlap
-    bad = np.where((votes > 0).any(0), 0.9, 0.1)
-    rows = np.arange(votes.shape[0])[:, None]
-    table = np.zeros((votes.shape[0], 2, 3))
-    for _ in range(rounds):
-        prior = float(np.clip((weight * bad).sum() / weight.sum(), 1e-3, 0.5))
-        for c, p in enumerate((1 - bad, bad)):
-            for v in (-1, 1):
-                table[:, c, v + 1] = ((votes == v) * (weight * p)).sum(1) + 0.5
-        # thresholds are set to seldom fire on good text: a prior on false alarms, without which
-        # the kinds of bad text that go together would crowd out those that stand alone
-        cast = table[:, 0].sum(1)
-        table[:, 0, 2] += FALSE_ALARM * FIRM * cast
-        table[:, 0, 0] += (1 - FALSE_ALARM) * FIRM * cast
-        # the accuracies are those of the votes cast; silence says nothing
-        table /= table.sum(2, keepdims=True)
-        wrong = table[:, 1, 2] < table[:, 0, 2]  # a labeller is taken to be no worse than chance
-        table[wrong] = table[wrong].mean(1, keepdims=True)
-        ratio = np.where(votes == 0, 0.0, np.log(np.maximum(table[rows, 1, votes + 1], 1e-9) / np.maximum(table[rows, 0, votes + 1], 1e-9)))
-        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + ratio.sum(0), -30, 30)))
-        done = np.abs(new - bad).max() < 1e-7
-        bad = new
+    votes = votes_of(keys, labellers)
+    hit = (votes > 0).astype(float)
+    cast = [(votes < 0).astype(float), hit]
+    share = np.vstack([np.where(hit.any(0), 0.1, 0.99), np.where(hit.any(0), 0.9 * hit / np.maximum(1, hit.sum(0)), 0.01 / labellers)])
+    share /= share.sum(0)
+    prior, table = np.full(labellers + 1, 1 / (labellers + 1)), np.full((2, labellers + 1, labellers), 0.5)
+    for _ in range(rounds if weight.sum() >= MIN_FIT else 0):
+        prior = (share * weight).sum(1) + np.r_[1.0, np.full(labellers, 1 / labellers)]
+        prior /= prior.sum()
+        table = np.stack([(share * weight) @ x.T for x in cast]) + 1
+        table /= table.sum(0)
+        log = np.log(prior)[:, None] + np.log(table[0]) @ cast[0] + np.log(table[1]) @ cast[1]
+        new = np.exp(log - log.max(0))
+        new /= new.sum(0)
+        done = np.abs(new - share).max() < 1e-7
+        share = new
         if done:
             break
+    bad = 1 - share[0]
     bad[(votes == 0).all(0)] = 1.0  # no words at all
-    return dict(zip(keys.tolist(), bad.tolist())), prior, table
+    rates = np.stack([table[1, 0], prior[1:] @ table[1, 1:] / prior[1:].sum()], 1)
+    return dict(zip(keys.tolist(), bad.tolist())), float(1 - prior[0]), rates
 
 
 def _features(row: np.ndarray, features: np.ndarray, count: int) -> np.ndarray:
@@ -209,26 +209,25 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.5
     return w
 
 
-def fit_toxicity(sets: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = 1e-3) -> np.ndarray | None:
-    """Weights by bucket (the last is the bias) of a logistic regression on (buckets, log counts) of each document, by Adam."""
-    if len(sets) < MIN_FIT or not 0 < toxic.sum() < toxic.size:
+Part = tuple[int, np.ndarray, np.ndarray, np.ndarray]  # documents; document, bucket and log count of each of their words
+
+
+def fit_toxicity(parts: list[Part], toxic: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = 1e-3) -> np.ndarray | None:
+    """Weights by bucket (the last is the bias) of a logistic regression on parts of a few hundred documents each, by Adam."""
+    if toxic.size < MIN_FIT or not 0 < toxic.sum() < toxic.size:
         return None
     size = 1 << TOXIC_BITS
-    held = np.zeros(size, np.int64)
-    for x, _ in sets:
-        held[x] += 1
+    held = sum((np.bincount(x, minlength=size) for _, _, x, _ in parts), np.zeros(size, np.int64))
     common = np.flatnonzero(held >= TOXIC_DOCS)
     at = np.full(size, -1, np.int32)
     at[common] = np.arange(common.size)
-    parts = []  # a few hundred documents at a time, so that the driver's memory stays small
-    for i in range(0, len(sets), 256):
-        some = [(at[x][at[x] >= 0], v[at[x] >= 0]) for x, v in sets[i : i + 256]]
-        parts.append((i, len(some), np.repeat(np.arange(len(some), dtype=np.int16), [x.size for x, _ in some]), np.concatenate([x for x, _ in some]), np.concatenate([v for _, v in some])))
+    parts = [(n, row[at[x] >= 0], at[x][at[x] >= 0], v[at[x] >= 0]) for n, row, x, v in parts]
+    first = np.cumsum([0, *(n for n, _, _, _ in parts)]).tolist()
     w, m, v = (np.zeros(common.size + 1) for _ in range(3))
     weight = np.where(toxic > 0, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))  # both classes count alike
     for t in range(1, steps + 1):
         g = np.r_[l2 * w[:-1], 0.0]
-        for i, n, row, col, value in parts:
+        for i, (n, row, col, value) in zip(first, parts):
             z = np.bincount(row, weights=w[col] * value, minlength=n) + w[-1]
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[i : i + n]) * weight[i : i + n] / toxic.size
             g[:-1] += np.bincount(col, weights=e[row] * value, minlength=common.size)
@@ -248,9 +247,9 @@ def _word_sets(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _toxicity(texts: DataFrame, labels: DataFrame) -> np.ndarray | None:
     """The toxicity scorer's weights from labels(doc_id, toxic)."""
-    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_d"), F.col("toxic").cast("int"))
-    known = known.orderBy(F.xxhash64("_d", F.lit(11)), "toxic").limit(TOXIC_SAMPLE)
-    drawn = texts.join(F.broadcast(known), texts["doc_id"] == F.col("_d")).select("text", "toxic")
+    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("d"), F.col("toxic").cast("int"))
+    known = known.orderBy(F.xxhash64("d", F.lit(11)), "toxic").limit(TOXIC_SAMPLE)
+    drawn = texts.join(F.broadcast(known), texts["doc_id"] == F.col("d")).select("text", "toxic")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,76 +260,114 @@ def _toxicity(texts: DataFrame, labels: DataFrame) -> np.ndarray | None:
                 v = [value[cut[r] : cut[r + 1]].astype(np.float16).tobytes() for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic")[i:j].cast(pa.int32()), pa.array(x, pa.binary()), pa.array(v, pa.binary())], ["toxic", "x", "v"])
 
-    got = sorted(map(tuple, drawn.mapInArrow(sets, "toxic int, x binary, v binary").collect()))
-    return fit_toxicity([(np.frombuffer(x, np.int32), np.frombuffer(v, np.float16)) for _, x, v in got], np.array([t for t, _, _ in got], float))
-
-
-def score_quality(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, posterior, score, toxic_words, toxic_score, keep); score is the probability of good,
-    toxic_score that of toxic by the scorer fitted to labels(doc_id, toxic), null without one."""
-    spark = docs.sparkSession
-    work = Workspace(spark)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, parts = [], []
+        for batch in batches:  # flat arrays of a few hundred documents each
+            for i in range(0, batch.num_rows, 256):
+                own = batch.slice(i, 256)
+                words_, values = own.column(1).to_pylist(), own.column(2).to_pylist()
+                row = np.repeat(np.arange(own.num_rows, dtype=np.int16), [len(x) // 4 for x in words_])
+                parts.append((own.num_rows, row, np.frombuffer(b"".join(words_), np.int32), np.frombuffer(b"".join(values), np.float16)))
+                toxic += own.column(0).to_pylist()
+        w = fit_toxicity(parts, np.array(toxic, float))
+        if w is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
+
+    rows = drawn.mapInArrow(lambda b: released(sets(b)), "toxic int, x binary, v binary").repartition(1).sortWithinPartitions("toxic", "x", "v")
+    return _weights(rows.mapInArrow(lambda b: released(fit(b)), "w binary"))
+
+
+def _weights(fitted: DataFrame) -> np.ndarray | None:
+    got = fitted.collect()
+    return np.frombuffer(got[0].w, np.float32) if got else None
+
+
+class Judge:
+    """Posteriors by pattern and the weights of both scorers, to score blocks of texts with."""
+
+    def __init__(self, posterior: dict[int, float], weights: np.ndarray | None, toxicity: np.ndarray | None):
+        self.posterior, self.weights, self.toxicity = posterior, weights, toxicity
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Posterior, score, toxic words, toxic score and keep of each text."""
+        a, n = analyse(data, bounds), bounds.size - 1
+        p = np.array([self.posterior[k] for k in pattern_of(a["votes"]).tolist()], float)
+        good = 1 - p
+        if (w := self.weights) is not None:
+            cut = np.searchsorted(a["doc"], np.arange(n + 1))
+            z = np.array([_features(np.arange(cut[r], cut[r + 1]), a["features"], int(a["count"][r])) @ w[:-1] + w[-1] if cut[r + 1] > cut[r] else 30.0 for r in range(n)])
+            good = 1 / (1 + np.exp(np.clip(z, -30, 30)))
+        toxic = np.zeros(n)
+        if (w := self.toxicity) is not None:
+            row, word, value = _word_sets(a)
+            toxic = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[word] * value, minlength=n) + w[-1], -30, 30)))
+        return p, good, a["toxic"], toxic, (good > 0.5) & (a["toxic"] < TOXIC_HITS) & (toxic < 0.5)
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> Judge:
+    """A judge for docs(doc_id, text, ...): votes counted over all documents, scorers fitted to bounded samples."""
     texts = docs.select("doc_id", "text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, bounds in blocks(batch):
-                a = analyse(data, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j].cast(pa.int64()), pa.array(pattern_of(a["votes"]))], ["doc_id", "pattern"])
+            for _, _, data, bounds in blocks(batch):
+                keys, n = np.unique(pattern_of(analyse(data, bounds)["votes"]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pattern", "n"])
 
-    voted = work.store(texts.mapInArrow(label, "doc_id long, pattern long"), "votes")
-    counts = {r[0]: r[1] for r in voted.groupBy("pattern").count().collect()}  # at most 3 ** labellers
+    counted = texts.mapInArrow(lambda b: released(label(b)), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counts = {r[0]: r[1] for r in counted.collect()}  # at most 3 ** labellers
     posterior, _, _ = estimate(counts)
     n = sum(counts.values())
     share = min(1.0, 1.25 * sample / max(1, n))
     drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else texts
-    drawn = drawn.where("text is not null").orderBy(F.xxhash64("doc_id", F.lit(7)), F.length("text")).limit(sample)
+    drawn = drawn.where("text is not null").orderBy(F.xxhash64("doc_id", F.lit(7)), F.xxhash64("text")).limit(sample)
 
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of the sample come to one task."""
+        x, y = np.zeros((sample, BUCKETS), np.float32), []
         for batch in batches:
             for i, j, data, bounds in blocks(batch):
                 a = analyse(data, bounds)
                 cut = np.searchsorted(a["doc"], np.arange(j - i + 1))
-                x = [_features(np.arange(cut[r], cut[r + 1]), a["features"], int(a["count"][r])).astype(np.float16).tobytes() for r in range(j - i)]
-                yield pa.RecordBatch.from_arrays([pa.array(pattern_of(a["votes"])), pa.array(x, pa.binary())], ["pattern", "x"])
-
-    weights = None
-    if n >= MIN_FIT:
-        got = drawn.mapInArrow(sparse, "pattern long, x binary").collect()
-        y = np.array([posterior[r.pattern] for r in got])
-        if got and 0 < (y > 0.5).sum() < y.size:
-            x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32)
-            weights = fit_scorer(x, y).astype(np.float32)
-            del x
-        del got
-    toxicity = _toxicity(texts, labels) if labels is not None else None
-    shared = spark.sparkContext.broadcast((posterior, weights, toxicity))
+                for r in range(j - i):
+                    x[len(y) + r] = _features(np.arange(cut[r], cut[r + 1]), a["features"], int(a["count"][r]))
+                y += [posterior[k] for k in pattern_of(a["votes"]).tolist()]
+        y = np.array(y)
+        if y.size >= MIN_FIT and 0 < (y > 0.5).sum() < y.size:
+            yield pa.RecordBatch.from_arrays([pa.array([fit_scorer(x[: y.size], y).astype(np.float32).tobytes()], pa.binary())], ["w"])
+
+    weights = _weights(drawn.mapInArrow(lambda b: released(scorer(b)), "w binary")) if n >= MIN_FIT else None
+    return Judge(posterior, weights, _toxicity(texts, labels) if labels is not None else None)
+
+
+def score_quality(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, posterior, score, toxic_words, toxic_score, keep); score is the probability of good,
+    toxic_score that of toxic by the scorer fitted to labels(doc_id, toxic), null without one."""
+    judge = fit(docs, sample, labels)
+    known = judge.toxicity is not None
+    shared = docs.sparkSession.sparkContext.broadcast(judge)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posterior, w, tox = shared.value
         for batch in batches:
             for i, j, data, bounds in blocks(batch):
-                a = analyse(data, bounds)
-                p = np.array([posterior[k] for k in pattern_of(a["votes"]).tolist()])
-                good = 1 - p
-                if w is not None:
-                    cut = np.searchsorted(a["doc"], np.arange(j - i + 1))
-                    z = np.array([_features(np.arange(cut[r], cut[r + 1]), a["features"], int(a["count"][r])) @ w[:-1] + w[-1] if cut[r + 1] > cut[r] else 30.0 for r in range(j - i)])
-                    good = 1 / (1 + np.exp(np.clip(z, -30, 30)))
-                toxic = np.zeros(j - i)
-                if tox is not None:
-                    row, word, value = _word_sets(a)
-                    toxic = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=tox[word] * value, minlength=j - i) + tox[-1], -30, 30)))
-                keep = (good > 0.5) & (a["toxic"] < TOXIC_HITS) & (toxic < 0.5)
+                p, good, words_, toxic, keep = shared.value(data, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[i:j].cast(pa.int64()), pa.array(p), pa.array(good, pa.float64()), pa.array(a["toxic"], pa.int32()), pa.array(toxic) if tox is not None else pa.nulls(j - i, pa.float64()), pa.array(keep)],
+                    [batch.column("doc_id")[i:j].cast(pa.int64()), pa.array(p), pa.array(good, pa.float64()), pa.array(words_, pa.int32()), pa.array(toxic) if known else pa.nulls(j - i, pa.float64()), pa.array(keep)],
                     ["doc_id", "posterior", "score", "toxic_words", "toxic_score", "keep"],
                 )
 
-    return texts.mapInArrow(score, "doc_id long, posterior double, score double, toxic_words int, toxic_score double, keep boolean")
+    return docs.select("doc_id", "text").mapInArrow(lambda b: released(score(b)), "doc_id long, posterior double, score double, toxic_words int, toxic_score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    bad = score_quality(docs, sample, labels).where("not keep").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that are kept, with all their columns; each row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample, labels))
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for i, j, data, bounds in blocks(batch):
+                keep[i:j] = shared.value(data, bounds)[4]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(lambda b: released(good(b)), docs.schema)
