@@ -76,7 +76,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Windows of 20 words, as their words joined by one space; a window's later copies cover their words.
+_OP8 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS j FROM d),
+s AS (SELECT doc_id, ws, unnest(range(len(ws) - 19)) AS i FROM d WHERE len(ws) >= 20),
+r AS (SELECT doc_id, i, ROW_NUMBER() OVER (PARTITION BY array_to_string(ws[i + 1 : i + 20], ' ') ORDER BY doc_id, i) AS nth FROM s),
+g AS (SELECT w.doc_id, w.j, w.word, COALESCE(MAX(CASE WHEN r.nth > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.j ROWS 19 PRECEDING), 0) AS gone FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.j),
+k AS (SELECT doc_id, COUNT(*) AS n_words, CAST(SUM(gone) AS BIGINT) AS n_removed, COALESCE(string_agg(word, ' ' ORDER BY j) FILTER (gone = 0), '') AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(n_words, 0) AS n_words, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+#: Strings of 100 bytes, as 200 hexadecimal digits.
+_OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, unnest(range(len(h) // 2)) AS j, unnest(regexp_extract_all(h, '..')) AS x FROM d),
+s AS (SELECT doc_id, unnest(range(len(h) // 2 - 99)) AS j, unnest(list_transform(range(len(h) // 2 - 99), lambda i: md5(substr(h, 2 * i + 1, 200)))) AS w FROM d WHERE len(h) >= 200),
+r AS (SELECT doc_id, j, ROW_NUMBER() OVER (PARTITION BY w ORDER BY doc_id, j) AS nth FROM s),
+g AS (SELECT b.doc_id, b.j, b.x, COALESCE(MAX(CASE WHEN r.nth > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY b.doc_id ORDER BY b.j ROWS 99 PRECEDING), 0) AS gone FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.j = b.j),
+e AS (SELECT *, gone > LAG(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY j) AS opens FROM g),
+k AS (SELECT doc_id, COUNT(*) AS n_bytes, CAST(SUM(gone) AS BIGINT) AS n_removed, CAST(COUNT(*) FILTER (opens) AS BIGINT) AS n_spans, COALESCE(string_agg(x, '' ORDER BY j) FILTER (gone = 0), '') AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(n_bytes, 0) AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of the ten is given in SQL: they hash with XXH64, tokenise, fit models or, for the two exact removals and the URL
-    rules, would take SQL too long on whole tables; tests/llm compares them with brute force."""
-    return {}
+    """The two exact removals.  The others hash with XXH64, tokenise, fit models or sort along a curve, which SQL cannot say; tests/llm compares
+    them with brute force."""
+    return {"op2_suffix_dedup": _OP2, "op8_substring_dedup": _OP8}

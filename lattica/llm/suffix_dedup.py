@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .blocks import BYTE_BASE, U, anchors, blocks, cover, rolling, runs
+from .blocks import BYTE_BASE, U, anchors, blocks, cover, released, rolling, runs
+from .rows import identified
 from .workspace import Workspace
 
 LENGTH, GRAM, GROUP = 100, 50, 8192
@@ -44,33 +45,30 @@ BATCH_CONTEXTS, FLUSH = 8192, 1 << 16
 NULL_ID = -(1 << 63)
 
 
-def longest_previous_factor(data: bytes) -> list[int]:
-    """LPF of a whole small string: the longest match of each suffix with one that starts earlier.
+def longest_previous_factor(order: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The longest match of each suffix with one at a smaller place, for suffixes given in suffix order.
 
-    Suffix order, common prefixes of neighbours, then the previous and the
-    next smaller position of each suffix in that order.
+    common[k] is the common prefix of the suffixes order[k - 1] and order[k], and place tells where each suffix
+    begins.  The previous and the next suffix with a smaller place are found for all suffixes at once: as long as the one that a
+    suffix has come to is not smaller, it goes on to the one that this has come to, with the least
+    common prefix on the way.
     """
-    n = len(data)
-    order = sorted(range(n), key=lambda i: data[i:])
-    common = [0] * (n + 1)
-    for k in range(1, n):
-        a, b = data[order[k - 1] :], data[order[k] :]
-        m = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        common[k] = m
-    out = [0] * n
+    n = order.size
+    out = np.zeros(n, np.int64)
     for way in (1, -1):
-        stack: list[tuple[int, int]] = []  # position, common prefix with the one now looked at
-        for k in range(n) if way > 0 else range(n - 1, -1, -1):
-            shared = common[k] if way > 0 else common[k + 1]
-            stack = [(p, min(c, shared)) for p, c in stack]
-            best = 0
-            while stack and stack[-1][0] > order[k]:
-                stack.pop()
-            if stack:
-                best = stack[-1][1]
-            out[order[k]] = max(out[order[k]], best)
-            stack.append((order[k], n))
-    return out
+        here = place[order][::way]
+        at = np.arange(n) - 1
+        least = common.astype(np.int64) if way > 0 else np.r_[0, common[1:][::-1]].astype(np.int64)
+        if n:
+            least[0] = 0
+        todo = np.flatnonzero(least)
+        while (todo := todo[here[at[todo]] >= here[todo]]).size:
+            least[todo], at[todo] = np.minimum(least[todo], least[at[todo]]), at[at[todo]]
+            todo = todo[least[todo] > 0]
+        out = np.maximum(out, least[::way])
+    back = np.zeros(n, np.int64)
+    back[order] = out
+    return back
 
 
 def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -113,7 +111,7 @@ def _contexts(data, bounds, length, gram):
 
 
 def _later_suffixes(blob: np.ndarray, bound: np.ndarray, group: np.ndarray, doc: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
-    """Which positions of the joined contexts begin a suffix that has an earlier match in its group.
+    """Which positions of the joined contexts begin a suffix whose longest previous factor within its group reaches `length`.
 
     Context i begins at bound[i] of the blob and at pos[i] of its document; doc numbers
     the documents in their order.
@@ -121,15 +119,17 @@ def _later_suffixes(blob: np.ndarray, bound: np.ndarray, group: np.ndarray, doc:
     rank = prefix_ranks(blob, length)
     own = np.searchsorted(bound, np.arange(rank.size), "right") - 1
     at = np.flatnonzero(np.arange(rank.size) + length <= bound[own + 1])
-    own = own[at]
+    own, rank = own[at], rank[at]
     start = pos[own] + at - bound[own]
-    order = np.lexsort((start, doc[own], rank[at], group[own]))  # suffix order within each minimizer
-    g, r, d, s = group[own[order]], rank[at[order]], doc[own[order]], start[order]
-    head = np.r_[True, (g[1:] != g[:-1]) | (r[1:] != r[:-1])][: order.size]  # common prefix below length: a new run
-    first = np.maximum.accumulate(np.where(head, np.arange(order.size), 0))
-    later = (d != d[first]) | (s != s[first])  # a previous smaller position exists in the run
+    place = np.empty(at.size, np.int64)  # equal places, seen in two contexts, stay equal
+    by_place = np.lexsort((start, doc[own]))
+    d, s = doc[own][by_place], start[by_place]
+    place[by_place] = np.cumsum(np.r_[False, (d[1:] != d[:-1]) | (s[1:] != s[:-1])][: at.size])
+    order = np.lexsort((rank, group[own]))  # suffix order within each minimizer
+    g, r = group[own][order], rank[order]
+    common = np.where(np.r_[False, (g[1:] == g[:-1]) & (r[1:] == r[:-1])][: at.size], length, 0)  # what is shorter does not count
     out = np.zeros(blob.size, bool)
-    out[at[order[later]]] = True
+    out[at[longest_previous_factor(order, common, place) >= length]] = True
     return out
 
 
@@ -137,7 +137,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     """docs(doc_id, text, ...) -> (doc_id, n_bytes, n_removed, removed array<struct<from,to>>, kept binary)."""
     spark = docs.sparkSession
     work = Workspace(spark)
-    texts = docs.select("doc_id", "text")
+    texts = identified(docs)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = sketch.bits_for(size * 2 // (length - gram + 2), max_bits)
 
@@ -152,27 +152,28 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts that may occur twice.  Of equal ones in a flush only the earliest goes on as such; the later ones'
         covered stretches are rows without a context."""
-        held: dict[tuple[int, int, bytes], tuple[int, int]] = {}
-        copies: list[tuple[int, int, int]] = []
+        held: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
+        copies: list[tuple[int, int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
-            keys, places = list(held), [*held.values(), *((d, a) for d, a, _ in copies)]
+            keys, places = list(held), [*held.values(), *(c[:3] for c in copies)]
             n = len(copies)
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([*(k[0] for k in keys), *[None] * n], pa.int64()),
-                    pa.array([*(k[1] for k in keys), *(b - a for _, a, b in copies)], pa.int32()),
+                    pa.array([*(k[1] for k in keys), *(b - a for _, _, a, b in copies)], pa.int32()),
                     pa.array([*(k[2] for k in keys), *[None] * n], pa.binary()),
-                    pa.array([None if d == NULL_ID else d for d, _ in places], pa.int64()),
-                    pa.array([p for _, p in places], pa.int32()),
+                    pa.array([None if d == NULL_ID else d for d, _, _ in places], pa.int64()),
+                    pa.array([t for _, t, _ in places], pa.int64()),
+                    pa.array([p for _, _, p in places], pa.int32()),
                 ],
-                ["h", "before", "context", "doc_id", "pos"],
+                ["h", "before", "context", "doc_id", "t", "pos"],
             )
             held.clear(), copies.clear()
             return out
 
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_pylist()
+            ids = list(zip(batch.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_pylist(), batch.column("h").to_pylist()))
             for i, _, data, bounds in blocks(batch):
                 values, at, row, low, high = _contexts(data, bounds, length, gram)
                 if not values.size:
@@ -180,20 +181,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
                 keep = np.flatnonzero(sketch.repeated(values, merged.value, bits))
                 raw = data.tobytes()
                 for h, q, r, x, y in zip(values[keep].view(np.int64).tolist(), at[keep].tolist(), row[keep].tolist(), low[keep].tolist(), high[keep].tolist()):
-                    key, place = (h, q - x, raw[x:y]), (ids[i + r], x - int(bounds[r]))
+                    key, place = (h, q - x, raw[x:y]), (*ids[i + r], x - int(bounds[r]))
                     have = held.setdefault(key, place)
                     if have != place:
                         if place < have:
                             held[key], place = place, have
-                        copies.append((*place, place[1] + y - x))
+                        copies.append((*place, place[2] + y - x))
                 if len(held) >= FLUSH:
                     yield flush()
         if held or copies:
             yield flush()
 
-    met = texts.mapInArrow(candidates, "h long, before int, context binary, doc_id long, pos int")
-    key = ["h", F.when(F.col("h").isNull(), F.xxhash64("doc_id", "pos"))]
-    dealt = met.repartition(*key).sortWithinPartitions("h", "before", "context", F.col("doc_id").asc_nulls_first(), "pos")
+    met = texts.mapInArrow(lambda b: released(candidates(b)), "h long, before int, context binary, doc_id long, t long, pos int")
+    key = ["h", F.when(F.col("h").isNull(), F.xxhash64("doc_id", "t", "pos"))]
+    dealt = met.repartition(*key).sortWithinPartitions("h", "before", "context", F.col("doc_id").asc_nulls_first(), "t", "pos")
 
     def lpf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by minimizer; a minimizer's contexts are handled together, with others' up to a batch.
@@ -207,7 +208,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             plain = table.filter(pa.compute.is_null(table.column("h")))
             if plain.num_rows:
                 pos = np.asarray(plain.column("pos").combine_chunks())
-                yield result(plain.column("doc_id").combine_chunks(), pos, pos + np.asarray(plain.column("before").combine_chunks()))
+                yield result(plain.column("doc_id").combine_chunks(), plain.column("t").combine_chunks(), pos, pos + np.asarray(plain.column("before").combine_chunks()))
                 table = table.filter(pa.compute.is_valid(table.column("h")))
             if hot is not None:
                 own = pa.compute.equal(table.column("h"), hot)
@@ -232,15 +233,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             if table.num_rows:
                 yield from solve(table)
 
-    def result(ids, a, b, contexts=None) -> pa.RecordBatch:
+    def result(ids, texts, a, b, contexts=None) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([ids, pa.array(a, pa.int32()), pa.array(b, pa.int32()), contexts if contexts is not None else pa.nulls(n, pa.binary())], ["doc_id", "a", "b", "context"])
+        return pa.RecordBatch.from_arrays([ids, texts, pa.array(a, pa.int32()), pa.array(b, pa.int32()), contexts if contexts is not None else pa.nulls(n, pa.binary())], ["doc_id", "t", "a", "b", "context"])
 
     def defer(table: pa.Table) -> Iterator[pa.RecordBatch]:
         for t in table.to_batches():
             if t.num_rows:
                 pos = np.asarray(t.column("pos"))
-                yield result(t.column("doc_id"), pos, pos, t.column("context"))
+                yield result(t.column("doc_id"), t.column("t"), pos, pos, t.column("context"))
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         h = np.asarray(table.column("h").combine_chunks())
@@ -249,13 +250,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
         size = np.array([len(c) for c in contexts])
         pos = np.asarray(table.column("pos").combine_chunks()).astype(np.int64)
         ids = table.column("doc_id").combine_chunks()
-        raw = np.asarray(ids.fill_null(NULL_ID))
+        text = table.column("t").combine_chunks()
+        raw, own_text = np.asarray(ids.fill_null(NULL_ID)), np.asarray(text)
         # equal contexts come in order of place: all but those at the first place are covered whole
         equal = np.r_[False, [contexts[k] == contexts[k - 1] for k in range(1, len(contexts))]] & np.r_[False, (h[1:] == h[:-1]) & (before[1:] == before[:-1])]
         first = np.maximum.accumulate(np.where(equal, 0, np.arange(h.size)))
-        later = np.flatnonzero(equal & ((raw != raw[first]) | (pos != pos[first])) & (size >= length))
+        later = np.flatnonzero(equal & ((raw != raw[first]) | (own_text != own_text[first]) | (pos != pos[first])) & (size >= length))
         if later.size:
-            yield result(ids.take(pa.array(later)), pos[later], pos[later] + size[later])
+            yield result(ids.take(pa.array(later)), text.take(pa.array(later)), pos[later], pos[later] + size[later])
         own = np.flatnonzero(~equal)
         cut = np.r_[True, h[own][1:] != h[own][:-1]]
         own = own[np.bincount(np.cumsum(cut) - 1)[np.cumsum(cut) - 1] > 1]  # minimizers with several contexts
@@ -263,27 +265,28 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             return
         bound = np.r_[0, np.cumsum(size[own])]
         blob = np.frombuffer(b"".join([contexts[k] for k in own.tolist()]), np.uint8)
-        doc = np.unique(raw[own], return_inverse=True)[1]
+        doc = np.unique(np.stack([raw[own], own_text[own]]), axis=1, return_inverse=True)[1].reshape(-1) if own_text.any() else np.unique(raw[own], return_inverse=True)[1]
         start, end = runs(_later_suffixes(blob, bound, h[own], doc, pos[own], length))
         if start.size:
             # no run goes on from one context into the next: a context's last bytes begin no suffix
             k = np.searchsorted(bound, start, "right") - 1
             a = pos[own][k] + start - bound[k]
-            yield result(ids.take(pa.array(own[k])), a, a + (end - start) + length - 1)
+            yield result(ids.take(pa.array(own[k])), text.take(pa.array(own[k])), a, a + (end - start) + length - 1)
 
-    near = work.store(dealt.mapInArrow(lpf, "doc_id long, a int, b int, context binary"), "near")
+    near = work.store(dealt.mapInArrow(lambda b: released(lpf(b)), "doc_id long, t long, a int, b int, context binary"), "near")
     del met, dealt
     one = (
         near.where("context IS NOT NULL")
-        .select("doc_id", F.col("a").alias("pos"), "context")
+        .select("doc_id", "t", F.col("a").alias("pos"), "context")
         .where(F.length("context") >= length)
-        .select("doc_id", "pos", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("i"))
-        .select("doc_id", (F.col("pos") + F.col("i")).alias("a"), F.md5(F.expr(f"substring(context, i + 1, {length})")).alias("w"))
+        .select("doc_id", "t", "pos", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("i"))
+        .select("doc_id", "t", (F.col("pos") + F.col("i")).alias("a"), F.md5(F.expr(f"substring(context, i + 1, {length})")).alias("w"))
     )
-    least = one.groupBy("w").agg(F.min(F.struct("doc_id", "a")).alias("m"))
-    hot = one.join(least, "w").where(~F.struct("doc_id", "a").eqNullSafe(F.col("m"))).select("doc_id", "a", (F.col("a") + length).alias("b"))
-    intervals = near.where("context IS NULL").select("doc_id", "a", "b").unionByName(hot)
-    found = work.store(intervals.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_at")), "found")
+    place = F.struct("doc_id", "t", "a")
+    least = one.groupBy("w").agg(F.min(place).alias("m"))
+    hot = one.join(least, "w").where(~place.eqNullSafe(F.col("m"))).select("doc_id", "t", "a", (F.col("a") + length).alias("b"))
+    intervals = near.where("context IS NULL").select("doc_id", "t", "a", "b").unionByName(hot)
+    found = work.store(intervals.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("at")), "found")
     work.drop("near")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +295,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
                 out = []
                 for r in range(j - i):
                     own = data[bounds[r] : bounds[r + 1]]
-                    at = batch.column("_at")[i + r]
+                    at = batch.column("at")[i + r]
                     gone = np.zeros(own.size, bool)
                     if at.is_valid:
                         v = at.values
@@ -311,9 +314,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
                     ["doc_id", "n_bytes", "n_removed", "removed", "kept"],
                 )
 
-    other = found.withColumnRenamed("doc_id", "_doc")
+    other = found.withColumnRenamed("doc_id", "d")
     return (
-        texts.join(other, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-        .select("doc_id", "text", "_at")
-        .mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, removed array<struct<from:long,to:long>>, kept binary")
+        texts.join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")), "left")
+        .select("doc_id", "text", "at")
+        .mapInArrow(lambda b: released(strip(b)), "doc_id long, n_bytes long, n_removed long, removed array<struct<from:long,to:long>>, kept binary")
     )
