@@ -1,9 +1,9 @@
 """URL filtering by gradient-boosted trees on lexical features, with DataFrame functions only.
 
 Features of a URL: lengths of url, host and path, path depth, host labels,
-digit ratio, character entropy of the host, query parameters, hyphens, the
-number of SUSPICIOUS words in the host, and the smoothed share of blocked
-training URLs among those with its last two host labels (suffix statistics).
+digit ratio, character entropy of the host, longest host label, vowel ratio, query parameters, hyphens, and
+the smoothed share of unwanted training URLs among those with its last two host labels (suffix statistics; a training
+URL takes the share among the other hosts' folds, so that it does not see its own label).
 
 Trees are grown level by level on histograms: each feature is cut at
 quantiles of the training rows, one aggregation a level gives the gradient and
@@ -11,10 +11,13 @@ Hessian sums of every (node, feature, bin), and the best split of each node come
 that bounded table.  The fitted ensemble is one SQL expression, so
 scoring is a projection over all rows.
 
-Training rows are at most SAMPLE of the labelled URLs, those of least hash;
+Labels come from a labelled table, or else from a word list: a host that holds an UNWANTED word is unwanted, any other
+is wanted.  The words are labels alone and no feature, and the rules are policy and no labels; the trees judge hosts by their
+looks.  Training rows are at most SAMPLE of the labelled URLs, those of least hash;
 that bound is for the fit alone.  With no labelled URL, or one class only, the
 model is that class's prior (allow when there is none).  A null url has empty host and path, fits no rule, and
-is scored like the empty url.  Repeated rows give repeated results; other columns are ignored.
+is scored like the empty url.  Repeated rows, and null or repeated page_ids, give a result for each row; other columns are ignored.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ from .workspace import Workspace
 
 SAMPLE, TREES, DEPTH, BINS, RATE, SMOOTH, L2 = 20000, 10, 3, 16, 0.3, 20.0, 1.0
 
-#: Words that mark a host as unwanted when no label says otherwise.
-SUSPICIOUS = ["adult", "bet", "casino", "cheap", "escort", "farm", "loan", "pills", "porn", "sex", "spam", "viagra", "warez", "xxx"]
+#: Words that label a host as unwanted when no labels are given.
+UNWANTED = ["adult", "ads", "bet", "casino", "cheap", "escort", "loan", "pills", "porn", "sex", "spam", "track", "viagra", "warez", "xxx"]
 
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "params", "hyphens", "suspicious", "suffix_rate"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "longest_label", "vowel_ratio", "params", "hyphens", "suffix_rate"]
+FOLDS = 4
 
 
 @dataclass(frozen=True)
@@ -63,10 +67,7 @@ def rule_match(rules: list[Rule]) -> Column:
     out = F.lit(None).cast("struct<pattern:string,verdict:string>")
     for r in sorted(rules, key=lambda r: (len(r.pattern), r.pattern)):
         fits = (F.col("host") == r.host) | F.endswith("host", F.lit("." + r.host))
-        if r.path != "/":
-            fits = fits & F.startswith("path", F.lit(r.path))
-        else:
-            fits = fits & ((F.col("path") == "") | F.startswith("path", F.lit("/")))
+        fits = fits & F.startswith("path", F.lit(r.path))
         out = F.when(fits, F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
     return out
 
@@ -89,7 +90,8 @@ def lexical(urls: DataFrame) -> DataFrame:
             "entropy": entropy,
             "params": F.when(F.instr(url, "?") > 0, count(url, "&") + 1).otherwise(0).cast("double"),
             "hyphens": count(F.col("host"), "-").cast("double"),
-            "suspicious": sum(F.contains("host", F.lit(w)).cast("double") for w in SUSPICIOUS),
+            "longest_label": F.array_max(F.transform(F.split("host", r"\."), lambda x: F.length(x))).cast("double"),
+            "vowel_ratio": count(F.col("host"), "aeiou") / size,
             "suffix": F.substring_index("host", ".", -2),
         }
     )
@@ -115,16 +117,19 @@ class Ensemble:
 
     def with_suffix(self, rows: DataFrame) -> DataFrame:
         """The suffix table has at most `suffix_limit` entries; others take the overall rate."""
-        rate = F.lit(None).cast("double")
-        if self.suffixes:
-            rate = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(self.suffixes.items()) for x in kv]), F.col("suffix"))
-        return rows.withColumn("suffix_rate", F.coalesce(rate, F.lit(self.suffix_prior)))
+        return rows.withColumn("suffix_rate", _looked_up(self.suffixes, F.col("suffix"), self.suffix_prior))
 
     def score(self, rows: DataFrame, name: str = "score") -> DataFrame:
         """rows from lexical() with the probability of being unwanted."""
         return self.with_suffix(rows).withColumn(name, 1 / (1 + F.exp(-F.expr(self.expression()))))
 
 
+def _looked_up(table: dict[str, float], key: Column, default: float) -> Column:
+    if not table:
+        return F.lit(default)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), key), F.lit(default))
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, suffix_limit: int = 256) -> Ensemble:
     """labelled(url, host, path, label: 1 unwanted, 0 wanted) -> trees."""
     work = Workspace(labelled.sparkSession)
@@ -134,13 +139,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: in
     rate = (bad + 1) / (n + 2)
     import math
 
-    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), "suffix").limit(suffix_limit).collect()
-    suffixes = {r.suffix: float((r.bad + SMOOTH * rate) / (r.n + SMOOTH)) for r in stats}
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+    known = rows.groupBy("suffix").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(suffix_limit).select("suffix")
+    stats = rows.join(F.broadcast(known), "suffix").groupBy("suffix", fold.alias("fold")).agg(F.count("*").alias("n"), F.sum("label").alias("bad")).collect()
+    smooth = lambda own: float((sum(r.bad for r in own) + SMOOTH * rate) / (sum(r.n for r in own) + SMOOTH))
+    by: dict[str, list] = {}
+    for r in stats:
+        by.setdefault(r.suffix, []).append(r)
+    suffixes = {x: smooth(own) for x, own in by.items()}
+    without = {f"{k} {x}": smooth([r for r in own if r.fold != k]) for x, own in by.items() for k in range(FOLDS)}
     model = Ensemble(math.log(rate / (1 - rate)), suffixes, rate)
     if not n or not 0 < bad < n:
         model.prior = math.log(rate / (1 - rate)) if n else -1.0
         return model
-    rows = model.with_suffix(rows)
+    rows = rows.withColumn("suffix_rate", _looked_up(without, F.concat_ws(" ", fold.cast("string"), "suffix"), rate))
     cuts_row = rows.select(*[F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 1000) for f in FEATURES]).first()
     cuts = {f: sorted(set(map(float, v))) for f, v in zip(FEATURES, cuts_row)}
     bins = [F.struct(F.lit(k).alias("f"), sum(((F.col(f) > c).cast("int") for c in cuts[f]), F.lit(0)).alias("b")) for k, f in enumerate(FEATURES)]
@@ -200,22 +212,23 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: in
     return model
 
 
+def word_labels(urls: DataFrame) -> DataFrame:
+    """urls(url, host, path, ...) with `label`: 1 for a host with an UNWANTED word, else 0; none where there is no host."""
+    unwanted = F.lit(False)
+    for w in UNWANTED:
+        unwanted = unwanted | F.contains("host", F.lit(w))
+    return urls.withColumn("label", F.when(F.col("host") != "", unwanted.cast("double")))
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """pages(page_id, url, ...) -> (page_id, host, path, rule, verdict, score).
+    """pages(page_id, url, ...) -> (page_id, host, path, rule, verdict, score): the rule's verdict, or else the trees' own.
 
-    Without a labelled table, the labels are the rules' own verdicts, and "unwanted" for hosts with a SUSPICIOUS word.
+    labelled(url, label: 1 unwanted, 0 wanted) trains the trees; without it the labels are word_labels() of the pages.
     """
-    rows = pages.select("page_id", "url")
     host, path = split_url(F.col("url"))
-    rows = rows.withColumn("host", host).withColumn("path", path).withColumn("_rule", rule_match(rules))
-    if labelled is None:
-        doubtful = F.lit(False)
-        for w in SUSPICIOUS:
-            doubtful = doubtful | F.contains("host", F.lit(w))
-        labelled = rows.withColumn("label", F.when(doubtful, 1.0).when(F.col("_rule.verdict") == "block", 1.0).when(F.col("_rule").isNotNull(), 0.0))
-    else:
-        labelled = labelled.select("url", "label").withColumn("host", host).withColumn("path", path)
-    model = fit(labelled)
+    rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path).withColumn("_rule", rule_match(rules))
+    known = word_labels(rows) if labelled is None else labelled.select("url", "label").withColumn("host", host).withColumn("path", path)
+    model = fit(known)
     scored = model.score(lexical(rows))
     own = F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", F.col("_rule.pattern").alias("rule"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"), "score")
