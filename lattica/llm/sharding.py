@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve, with DataFrame functions only.
 
-Metadata dimensions are quantised to BITS bits each: numbers at quantiles of
-their logarithm, strings at quantiles of their leading bytes taken as a
-number, so that neighbouring values stay neighbours.  Rows are sorted by
+Metadata dimensions are quantised to BITS bits each, at quantiles over all rows: numbers by their
+size, strings by the order of the whole values, so that neighbouring values stay neighbours
+and equal ones share a cell.  Rows are sorted by
 their place on the Hilbert curve through that grid, and the sorted run is cut into shards
 of equal row counts (law `rows`: counts at most one apart), so each
 shard covers a compact box of every dimension and files can be pruned by any of them.
@@ -13,7 +13,8 @@ each range, never from one global window.
 
 Null metadata takes the lowest cell; a null text has size 1 and the checksum
 of no bytes.  Rows that repeat a doc_id are ordered by size and checksum and
-each get a place.  An empty table gives no rows.
+each get a place.  Equal texts are rows like any other: their metadata and ids decide, so a group of copies
+may lie in several shards.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +27,25 @@ from .workspace import Workspace
 SHARDS, BITS, RANGES = 8, 5, 64
 
 
-def _number(name: str, kind: str) -> Column:
-    """An order-keeping number for a metadata column."""
-    if kind == "string":
-        return F.conv(F.hex(F.rpad(F.substring(F.encode(F.coalesce(name, F.lit("")), "UTF-8"), 1, 7), 7, F.lit(b"\0"))), 16, 10).cast("double")
-    return F.log2(F.greatest(F.coalesce(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0)) + 1)
+def _cell(rows: DataFrame, name: str, kind: str, bits: int) -> Column:
+    """The cell of a column's values: how many cuts lie at or below.  There are fewer than 2**bits cuts."""
+    parts = 1 << bits
+    if kind != "string":
+        steps = [i / parts for i in range(1, parts)]
+        number = F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
+        at = rows.agg(F.percentile_approx(number, steps, 10000)).first()[0] or []
+        cuts = sorted({float(v) for v in at})
+        return sum(((number > F.lit(v)).cast("int") for v in cuts), F.lit(0))
+    # different values with their counts, dealt out in order: the ranges' first values and counts are all that is collected
+    value = F.coalesce(F.col(name), F.lit(""))
+    ranges = rows.groupBy(value.alias("v")).agg(F.count("*").alias("n")).repartitionByRange(4 * parts, "v")
+    ranges = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min("v").alias("v"), F.sum("n").alias("n")).collect()
+    total, met, cuts = sum(r.n for r in ranges), 0, []
+    for r in sorted(ranges, key=lambda r: r.p):
+        if met * parts >= (len(cuts) + 1) * total and len(cuts) < parts - 1:
+            cuts.append(r.v)
+        met += r.n
+    return sum(((value >= F.lit(v)).cast("int") for v in cuts), F.lit(0))
 
 
 def hilbert_index(cells: list[Column], bits: int) -> Column:
@@ -76,31 +91,22 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.transform(one, interleave)[0]
 
 
-def hilbert_shards(docs: DataFrame, dimensions: tuple[str, ...] = ("lang", "source", "n_chars"), shards: int = SHARDS, bits: int = BITS, ranges: int | None = None) -> DataFrame:
-    """docs(doc_id, text, dimensions...) -> (doc_id, size, text_crc32, cell indices, hilbert, shard, slot)."""
+def hilbert_shards(docs: DataFrame, dimensions: tuple[str, ...] = ("lang", "source", "n_chars"), shards: int = SHARDS, bits: int = BITS, ranges: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text, dimensions...) -> (doc_id, size, text_crc32, cell0, .., hilbert, [row,] shard, slot); row is a struct of the columns to carry."""
     spark = docs.sparkSession
     work = Workspace(spark)
     kinds = dict(docs.dtypes)
-    rows = docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32"),
-        *[_number(c, kinds[c]).alias(f"_x{k}") for k, c in enumerate(dimensions)],
-    )
-    rows = work.store(rows, "rows")
-    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = rows.select(*[F.percentile_approx(f"_x{k}", steps, 10000) for k in range(len(dimensions))]).first()
-    for k, at in enumerate(cuts):
-        at = sorted(set(at or []))
-        # cells by how many cuts lie below: equal values share a cell
-        cell = sum((F.col(f"_x{k}") > F.lit(float(v))).cast("int") for v in at) if at else F.lit(0)
-        rows = rows.withColumn(f"cell{k}", cell)
     cells = [f"cell{k}" for k in range(len(dimensions))]
-    rows = rows.select("doc_id", "size", "text_crc32", *cells, hilbert_index([F.col(c) for c in cells], bits).alias("hilbert"))
+    cell = [_cell(docs, c, kinds[c], bits).alias(cells[k]) for k, c in enumerate(dimensions)]
+    measured = [(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32")]
+    rows = docs.select("doc_id", *measured, *cell, *([F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []))
+    rows = rows.select("doc_id", "size", "text_crc32", *cells, hilbert_index([F.col(c) for c in cells], bits).alias("hilbert"), *(["row"] if carry else []))
+    rows = work.store(rows, "rows")  # the index is computed once, not again for the sample of the sort
     order = ["hilbert", "doc_id", "size", "text_crc32"]
     parts = ranges or max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
     dealt = work.store(dealt, "sorted")
+    work.drop("rows")
     counts = dict(sorted((r[0], r[1]) for r in dealt.groupBy("_range").count().collect()))  # as many as ranges
     total, before, at = sum(counts.values()), {}, 0
     for key, n in counts.items():
@@ -117,7 +123,11 @@ def hilbert_shards(docs: DataFrame, dimensions: tuple[str, ...] = ("lang", "sour
 
 
 def write_shards(docs: DataFrame, path: str, dimensions: tuple[str, ...] = ("lang", "source", "n_chars"), shards: int = SHARDS, bits: int = BITS) -> None:
-    """Write the documents, all columns, as one directory a shard, in curve order within each file."""
-    placed = hilbert_shards(docs, dimensions, shards, bits).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    joined = docs.join(placed, docs["doc_id"].eqNullSafe(placed["_id"])).drop("_id")
-    joined.repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Write the documents, all columns, as one directory a shard, in curve order within each file.
+
+    The rows themselves go through the sort, so null and repeated ids need no join.  A column named shard gives way to
+    the directories' name.
+    """
+    placed = hilbert_shards(docs, dimensions, shards, bits, carry=tuple(c for c in docs.columns if c != "shard")).select("row", "shard", "slot")
+    dealt = placed.repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot")
+    dealt.select("row.*", "shard").write.partitionBy("shard").parquet(path)
