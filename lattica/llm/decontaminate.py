@@ -14,9 +14,9 @@ t between two multisets of m shingles needs 2tm/(1+t) in common, which is
 checked first by a running count of the shingles that any item has.
 
 Items shorter than SHINGLE words are one shingle of all their words.  Null or
-wordless items match nothing; null texts hold nothing.  Items are taken in
-slices of SLICE, so what is broadcast has a bound.  Other columns are
-ignored; repeated rows give repeated results; an empty table on either side gives no rows.
+wordless items match nothing; null texts hold nothing, and a row with a null or repeated doc_id is judged like any other.  Items are taken in
+slices of SLICE items or SLICE_BYTES bytes, SLICES_IN_A_SCAN slices to a scan, so what is broadcast has a bound.  Other columns are
+ignored, or pass through decontaminate(); repeated rows give repeated results; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASCII_SPACE, U, WORD_BASE, blocks, rolling, runs, text_bytes, word_hashes, words
+from .blocks import ASCII_SPACE, U, WORD_BASE, blocks, released, rolling, runs, text_bytes, word_hashes, words
 
-SHINGLE, THRESHOLD, RADIUS, SLICE = 5, 0.8, 20, 4096
+SHINGLE, THRESHOLD, RADIUS, SLICE, SLICE_BYTES, SLICES_IN_A_SCAN = 5, 0.8, 20, 4096, 4 << 20, 8
 GAP = ASCII_SPACE.copy()
 GAP[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 FOLD = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -145,34 +146,58 @@ def _search(index: Index, data: np.ndarray, bounds: np.ndarray, threshold: float
     return [(r, item, s, n, -q, bits) for (r, item), (q, s, n, bits) in best.items()]
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, shingle: int, radius: int, slice_size: int) -> list[list[Broadcast]]:
+    """The benchmark's slices, a few to each scan of the documents.
+
+    A slice has about slice_size items and SLICE_BYTES bytes at most, by a hash of the item; both are counted before anything is collected.
+    """
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, -(-count // slice_size), -(-size // SLICE_BYTES))
+    out: list[list[Broadcast]] = []
+    for k in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        if k % SLICES_IN_A_SCAN == 0:
+            out.append([])
+        out[-1].append(spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], shingle, radius)))
+    return out
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS, slice_size: int = SLICE) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity, bits): for each document and item its best window."""
-    spark = docs.sparkSession
     schema = "doc_id long, item_id long, start_word int, n_words int, similarity double, bits int"
     names = [x.split()[0] for x in schema.split(", ")]
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    n_slices = max(1, -(-items.count() // slice_size))
     texts, found = docs.select("doc_id", "text"), []
-    for k in range(n_slices):
-        part = items if n_slices == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_slices)) == k)
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], shingle, radius))
+    for indexes in _indexes(docs, benchmark, shingle, radius, slice_size):
 
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column("doc_id").cast(pa.int64())
                 for i, _, data, bounds in blocks(batch):
-                    out = _search(index.value, data, bounds, threshold)
+                    out = [x for index in indexes for x in _search(index.value, data, bounds, threshold)]
                     if out:
                         row, item, s, n, q, b = zip(*out)
                         yield pa.RecordBatch.from_arrays(
                             [ids.take(pa.array(np.array(row) + i)), pa.array(item, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(q, pa.float64()), pa.array(b, pa.int32())], names
                         )
 
-        found.append(texts.mapInArrow(search, schema))
+        found.append(texts.mapInArrow(lambda b, search=search: released(search(b)), schema))
     return reduce(DataFrame.unionByName, found)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, with all their columns, that hold no benchmark passage."""
-    bad = find_contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS, slice_size: int = SLICE) -> DataFrame:
+    """The documents, with all their columns, that hold no benchmark passage; each row is judged by its own text, in one scan."""
+    schema = docs.schema
+    for indexes in _indexes(docs, benchmark, shingle, radius, slice_size):
+
+        def clean(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for i, _, data, bounds in blocks(batch):
+                    for index in indexes:
+                        keep[[i + x[0] for x in _search(index.value, data, bounds, threshold)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(lambda b, clean=clean: released(clean(b)), schema)
+    return docs

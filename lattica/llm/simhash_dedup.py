@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, words
+from .blocks import blocks, released, words
 from .components import connected_components
 from .workspace import Workspace
 
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     out[i + r] = fingerprint(np.array(hs, np.uint64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lambda b: released(run(b)), "doc_id long, fp long")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,6 +150,8 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
             rest = segment[s].bitwiseAND(F.lit(mask ^ (1 << b)))
             side = F.shiftrightunsigned(segment[s], b).bitwiseAND(F.lit(1)).cast("byte")
             keys.append(F.struct(F.lit(s * 33 + 1 + b).cast("byte").alias("kind"), rest.alias("rest"), side.alias("side")))
+    # each row becomes 66: dealt out first, or a few tasks of a small table would do it all
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     variants = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.kind", "k.rest", "k.side")
     met = variants.groupBy("kind", "rest").agg(F.count("*").alias("n"), F.min("side").alias("_lo"), F.max("side").alias("_hi"))
     met = met.where("n > 1 and (_lo = 2 or _lo < _hi)").drop("_lo", "_hi")
@@ -190,7 +192,7 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
         if waiting:
             yield solve(pa.Table.from_batches(waiting))
 
-    return held.repartition(*group).sortWithinPartitions(*group).select("fp", "side", *group).mapInArrow(compare, "u long, v long")
+    return held.repartition(*group).sortWithinPartitions(*group).select("fp", "side", *group).mapInArrow(lambda b: released(compare(b)), "u long, v long")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
