@@ -40,7 +40,7 @@ from .workspace import Workspace
 
 CAPACITY, END, GROUP, NODES, TESTS = 2048, 0, 200_000, 6000, 64
 #: A worker's words, and what each of them takes besides its own characters.
-CACHE_BYTES, WORD_BYTES = 64 << 20, 220
+CACHE_BYTES, WORD_BYTES = 128 << 20, 220
 
 
 class _Words(dict):
