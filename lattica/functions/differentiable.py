@@ -61,7 +61,8 @@ def optimization_step(edges: DataFrame, loss: DataFrame, step: int, total: int,
 def optimize(edges: DataFrame, loss_of, steps: int, rate: float = 0.01, **terms) -> tuple[DataFrame, dict]:
     """Gradient steps on learnable edges -> the edges that are left, and a report.
 
-    loss_of(edges) -> (loss, gradients(src, dst, g)): the loss and its derivative by each edge's probability.  After the steps edges are discretised, and those that do not exist are pruned.
+    loss_of(edges) -> (loss, gradients(src, dst, g)): the loss and its derivative by each edge's probability.  The steps follow this derivative alone: the
+    straight-through correction hard - soft is no derivative of the loss, and pulls every edge towards a half.  After the steps edges are discretised, and those that do not exist are pruned.
     """
     from ..iterate import cut
 
@@ -69,7 +70,8 @@ def optimize(edges: DataFrame, loss_of, steps: int, rate: float = 0.01, **terms)
     for step in range(steps):
         loss, g = loss_of(edges)
         losses.append(float(loss))
-        edges = cut(optimization_step(edges, g, step, steps, rate, **terms).select(*edges.columns))
+        t = annealed(step, steps)
+        edges = cut(update(structure_gradients(discretize(edges, t).drop("ste"), g, t, **terms), rate).select(*edges.columns))
     losses.append(float(loss_of(edges)[0]))
     edges = cut(discretize(edges, annealed(steps, steps)))
     kept = edges.where("exists")

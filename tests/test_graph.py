@@ -322,3 +322,15 @@ def test_structure_learning(spark):
     assert kept.count() == 2 and differentiable.linear_loss(kept, x, y)[0] < before
     with pytest.raises(TooLarge):
         matrix.dense_adjacency(build(spark, 3, []), 2)
+
+
+def test_structure_optimization_descends(spark):
+    e = differentiable.learnable(build(spark, 3, [(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0)]).edges, 0.2 + 0.3 * (F.col("src") + F.col("dst") - 1))
+
+    def loss_of(edges):  # least where every probability is 0 or 1
+        p = F.col("prob")
+        return edges.agg(F.sum(p * (1 - p))).first()[0], edges.select("src", "dst", (1 - 2 * p).alias("g"))
+
+    kept, report = differentiable.optimize(e, loss_of, 3, 0.05)
+    assert all(a > b for a, b in zip(report["losses"], report["losses"][1:])) and len(report["losses"]) == 4
+    assert ids(kept, "src", "dst") == {1: 2} and report["pruned_edges"] == 2
