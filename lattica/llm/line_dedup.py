@@ -10,11 +10,17 @@ with a probability of 0.993, at 0.9 with 0.9997.
 In a bucket of at most SMALL classes every pair is a candidate.  A larger bucket is
 the root of a trie: it is split by the next minimum, and again, DEEPER times.  In such a
 bucket each class meets the LEADERS classes of least hash, in its larger nodes the one of least hash, and
-the pairs of a node of at most SMALL are candidates.  So a group of any size costs rows in
-proportion to its size, and its classes meet leaders that are ever more like
+the pairs of a node of at most SMALL are candidates.  So most of a large group is joined by rows in
+proportion to its size, as its classes meet leaders that are ever more like
 themselves.  All candidates are verified by the exact Jaccard similarity of their
-whole shingle sets; one distributed union-find joins the links, and one line
-of each component stays: the first by (doc_id, text's hash, line number).
+whole shingle sets, and a distributed union-find joins the links.
+
+Then comes the rest of the larger buckets: every two classes of one that are not yet joined are compared, those outside the
+bucket's largest part with all others, in cells of at most CELL by CELL.  (In a first round each of them meets only one cell of about SAMPLE; this
+joins what has many partners, so that the second, whole round is left with little.)  A bound that never refuses a pair above
+the threshold (what the parities of their sets differ in) spares most of them the verification.  So no pair that shares a bucket stays apart
+for the bucket's size; that costs, for each bucket, its size times the number outside its largest part.
+One line of each component stays: the first by (doc_id, text's hash, line number).
 
 Blank lines are never removed.  Null texts have no lines and stay null; a null doc_id
 sorts first.  Rows that repeat a doc_id with another text are documents of their own; rows that
@@ -25,6 +31,8 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +41,7 @@ from .workspace import Workspace
 
 K, CHUNK, THRESHOLD = 8, 8, 0.8
 SMALL, DEEPER, LEADERS = 32, 9, 2
+CELL, SAMPLE, WORDS = 1024, 64, 8
 MINIMA = [f"m{k}" for k in range(12)]
 BANDS = [[MINIMA[(b + i) % len(MINIMA)] for i in (0, 1, 4)] for b in range(len(MINIMA))]
 LOW31 = (1 << 31) - 1
@@ -98,11 +107,13 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
 
 
-def candidate_pairs(classes: DataFrame, work: Workspace) -> DataFrame:
-    """classes(key, m0, .., bands) -> (u, v): different keys that may be alike, each pair once."""
+def candidate_pairs(classes: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """classes(key, m0, .., bands) -> pairs(u, v), different keys that may be alike, each pair once: all of the small buckets, some
+    of the larger ones; and large(band, key), the larger buckets, for joined_classes() to complete."""
     members = classes.select("key", F.posexplode("bands").alias("b", "band"))
     crowded = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = work.store(members.join(crowded, "band").select("key", "b", "band", "n"), "members")
+    large = work.store(members.where(F.col("n") > SMALL).select("band", "key"), "large")
 
     # a node for each bucket, and for a larger one the nodes below it: one row for each class and depth
     order = [F.array(*[m for m in MINIMA[b:] + MINIMA[:b] if m not in own][:DEEPER]) for b, own in enumerate(BANDS)]
@@ -125,7 +136,63 @@ def candidate_pairs(classes: DataFrame, work: Workspace) -> DataFrame:
     found = rows.join(partners, "node").where((F.col("key") < F.col("partner")) | ((F.col("n") > SMALL) & (F.col("key") != F.col("partner"))))
     found = work.store(found.select(*_pair("key", "partner")).distinct(), "pairs")
     work.drop("members", "nodes", "stats", "trie", "partners")
-    return found
+    return found, large
+
+
+def _parities(sets: DataFrame) -> DataFrame:
+    """sets(key, value), each an array of different hashes -> (key, size, p0, ..): bit b of word w is the parity of the hashes that fall there."""
+    each = sets.select("key", F.explode("value").alias("x"))
+    each = each.select("key", F.expr(f"shiftrightunsigned(x, 6) & {WORDS - 1}").alias("w"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
+    return each.groupBy("key").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("w") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{w}") for w in range(WORDS)])
+
+
+def rest_pairs(large: DataFrame, roots: DataFrame, sets: DataFrame, work: Workspace, threshold: float, sample: int | None = None) -> DataFrame | None:
+    """large(band, key), roots(node, root), sets(key, value) -> (u, v): the keys of one bucket and of two components that may reach
+    the threshold, each pair once; None where no bucket holds two components.  With a sample those outside a bucket's largest part
+    meet about so many others."""
+    own = large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    own = work.store(own, "parts")
+    parts = own.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
+    parts = parts.agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    few = F.lit(1) if sample else F.ceil((F.col("n") - F.col("top.n")) / CELL).cast("int")
+    parts = parts.select("band", F.col("top.root").alias("major"), few.alias("few"), F.ceil(F.col("n") / (sample or CELL)).cast("int").alias("all"))
+    parts = work.store(parts, "open")
+    if parts.isEmpty():
+        return None
+    own = work.store(own.join(parts, "band"), "apart")
+    traits = work.store(_parities(sets.join(own.select("key").distinct(), "key")), "traits")
+    own = own.join(traits, "key")
+
+    def cell(many: str) -> Column:
+        return F.pmod(F.xxhash64("key"), F.col(many)).cast("int")
+
+    words = [f"p{w}" for w in range(WORDS)]
+    a = own.where("root <> major").withColumn("i", cell("few"))
+    a = a.withColumn("j", cell("all") if sample else F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    a = a.select("band", "i", "j", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), *[F.col(w).alias(f"x{w}") for w in words])
+    b = own.withColumn("j", cell("all")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
+    b = b.select("band", "i", "j", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), "major", *words)
+    # sets at the threshold t differ in at most (1 - t) / (1 + t) of the sum of their sizes, and each difference turns one parity
+    differ = F.greatest(sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(w))) for w in words[1:]), F.bit_count(F.col("xp0").bitwiseXOR(F.col("p0")))), F.abs(F.col("sx") - F.col("sy")))
+    may = differ * F.lit(1 + threshold) <= (F.col("sx") + F.col("sy")) * F.lit(1 - threshold) + F.lit(1e-6)
+    met = a.hint("merge").join(b, ["band", "i", "j"]).where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y"))) & may)
+    return work.store(met.select(*_pair("x", "y")).distinct(), "rest")
+
+
+def joined_classes(links: DataFrame, large: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace, threshold: float) -> DataFrame:
+    """links(u, v), large(band, key), sets(key, value) -> (node, root): the components of the links and of all others within the larger
+    buckets.  verify(pairs) gives those that reach the threshold."""
+    roots = work.store(connected_components(links, work), "linked")
+    for k, sample in enumerate((SAMPLE, None)):
+        rest = rest_pairs(large, roots, sets, work, threshold, sample)
+        if rest is None:
+            break
+        more = work.store(verify(rest), "more")
+        if not more.isEmpty():
+            edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+            roots = work.store(connected_components(edges, work), f"joined{k}")
+    work.drop("parts", "open", "apart", "traits", "rest", "more")
+    return roots
 
 
 def with_values(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -135,26 +202,40 @@ def with_values(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v")
 
 
-def line_links(lines: DataFrame, work: Workspace, threshold: float = THRESHOLD) -> DataFrame:
-    """-> links(u, v) between classes of equal lines."""
+def _first_links(lines: DataFrame, work: Workspace, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """-> links(u, v) between classes of equal lines, large(band, key) and the texts(key, value) of all classes in either."""
     # the occurrence of least hash lends its text to the class; fixed-width buffers keep this a hash aggregate
     place = F.xxhash64("doc_id", "h", "line_no").alias("place")
     classes = work.store(signatures(lines.select("key", place, "line"), ["key", "place"]), "classes")
-    pairs = candidate_pairs(classes.withColumn("bands", band_hashes()), work)
+    pairs, large = candidate_pairs(classes.withColumn("bands", band_hashes()), work)
     where = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "place"), "key")
     text = lines.select("key", place, F.col("line").alias("value")).join(where, ["key", "place"]).select("key", "value").dropDuplicates(["key"])
     text = work.store(text, "texts")
     work.drop("classes")
     links = work.store(alike(with_values(pairs, text), shingles("a"), shingles("b"), threshold), "links")
-    work.drop("texts", "pairs")
-    return links
+    work.drop("pairs")
+    return links, large, text
+
+
+def line_links(lines: DataFrame, work: Workspace, threshold: float = THRESHOLD) -> DataFrame:
+    """-> links(u, v) between classes of equal lines: all of the small buckets, those of the larger ones that were met first."""
+    return _first_links(lines, work, threshold)[0]
+
+
+def line_components(lines: DataFrame, work: Workspace, threshold: float = THRESHOLD) -> DataFrame:
+    """-> (key, root) of the classes of equal lines that have a link."""
+    links, large, text = _first_links(lines, work, threshold)
+    sets = text.select("key", F.array_distinct(shingles("value")).alias("value"))
+    out = joined_classes(links, large, sets, lambda pairs: alike(with_values(pairs, text), shingles("a"), shingles("b"), threshold), work, threshold)
+    work.drop("texts", "large", "links")
+    return out.withColumnRenamed("node", "key")
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, work: Workspace | None = None) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, h, line_no) of all lines but the first of each component."""
     work = work or Workspace(docs.sparkSession)
     lines = split_lines(docs)
-    roots = work.store(connected_components(line_links(lines, work, threshold), work).withColumnRenamed("node", "key"), "roots")
+    roots = line_components(lines, work, threshold)
     place = F.struct("doc_id", "h", "line_no")
     places = work.store(lines.select("key", "doc_id", "h", "line_no"), "places")
     firsts = places.groupBy("key").agg(F.min(place).alias("at"), F.count("*").alias("n"))
@@ -170,7 +251,7 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     work = Workspace(docs.sparkSession)
     losers = repeated_lines(docs.select("doc_id", "text"), threshold, work)
     gone = work.store(losers.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("t")).agg(F.collect_set("line_no").alias("gone")), "gone")
-    work.drop("places", "firsts", "roots")
+    work.drop("places", "firsts", "linked", "joined0", "joined1")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), F.xxhash64("text").alias("h"))
     rows = rows.join(gone, rows["r"]["doc_id"].eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")), "left")
     text = F.col("r")["text"]

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import U, WORD_BASE, blocks, mix, prefix, released, spans, word_hashes, words
-from .components import connected_components
-from .line_dedup import MINIMA, alike, band_hashes, candidate_pairs, with_values
+from .line_dedup import MINIMA, alike, band_hashes, candidate_pairs, joined_classes, with_values
 from .workspace import Workspace
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -83,14 +82,19 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRES
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     same = prints.groupBy("key").agg(F.min(place).alias("at"), *[F.min(m).alias(m) for m in MINIMA], F.max("some").alias("some"))
     same = work.store(same, "different")
-    pairs = candidate_pairs(same.where("some").withColumn("bands", band_hashes()), work)
+    pairs, large = candidate_pairs(same.where("some").withColumn("bands", band_hashes()), work)
     # the set of one occurrence of each class
     where = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(same.select("key", F.col("at.h").alias("h")), "key")
     values = prints.select("key", "h", F.col("grams").alias("value")).join(where, ["key", "h"]).select("key", "value").dropDuplicates(["key"])
     values = work.store(values, "values")
-    links = work.store(alike(with_values(pairs, values), F.col("a"), F.col("b"), threshold), "links")
-    work.drop("values", "pairs")
-    roots = connected_components(links, work).withColumnRenamed("node", "key")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return alike(with_values(pairs, values), F.col("a"), F.col("b"), threshold)
+
+    links = work.store(verify(pairs), "links")
+    work.drop("pairs")
+    roots = joined_classes(links, large, values, verify, work, threshold).withColumnRenamed("node", "key")
+    work.drop("values", "large")
     joined = same.select("key", "at").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = joined.groupBy("root").agg(F.min("at").alias("first"))
     names = joined.join(names, "root").select("key", "first")

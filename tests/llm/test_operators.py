@@ -502,6 +502,38 @@ def test_line_dedup_in_a_large_group(spark):
         assert least * len(want) <= got <= len(want)
 
 
+def test_line_dedup_leaves_no_link_of_a_large_group(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(300)]
+    own, rows = rng.choice(words, 60).tolist(), []
+    for i in range(1200):  # but one pair in ninety reaches the threshold
+        w = list(own)
+        for k in rng.choice(60, int(rng.integers(2, 7)), False):
+            w[k] = words[int(rng.integers(300))]
+        rows.append((i, " ".join(w)))
+    want, links = brute_lines(rows)
+    got = {r.doc_id for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    print("lines removed", len(got), "of", len(want), "by brute force with", len(links), "links")
+    assert got <= {d for d, _ in want} and len(got) >= 0.985 * len(want)
+
+
+def test_rest_of_a_bucket_is_every_pair_at_the_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = []
+    for i in range(240):  # subsets of one set, of similarities about 0.8
+        keep = rng.random(200) < 0.9
+        sets.append((bytes([i]), [int(x) for x in np.flatnonzero(keep) * 0x9E3779B97F4A7C1 + 77]))
+    values = spark.createDataFrame(sets, "key binary, value array<long>")
+    large = values.select(F.lit(1).cast("long").alias("band"), "key")
+    roots = spark.createDataFrame([(bytes([i]), bytes([0])) for i in range(60)], "node binary, root binary")
+    monkeypatch.setattr(line_dedup, "CELL", 64)
+    found = line_dedup.rest_pairs(large, roots, values, Workspace(spark), 0.8).collect()
+    got = {frozenset((bytes(r.u), bytes(r.v))) for r in found}
+    alike = {frozenset((a, b)) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) and (int(a[0]) >= 60 or int(b[0]) >= 60)}
+    print("pairs", len(alike), "met", len(got), "of", 240 * 239 // 2)
+    assert len(alike) > 100 and alike <= got and len(got) == len(found)
+
+
 def removed_of_pairs(spark, pairs):
     """How many of the pairs of near lines, each pair one document, the operator finds."""
     rows = [(i, f"{a}\n{b}", "en", "s", 1, "x", 1, 1) for i, (a, b) in enumerate(pairs)]
