@@ -23,7 +23,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def document_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the first document stays."""
+    """Of each group of near copies (found by SimHash and MinHash, five-word shingles of a similarity of 0.8 or more) the first document stays."""
     return near_dedup.keep_first(docs)
 
 

@@ -52,32 +52,38 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > hashes.size, bitorder="little").tobytes(), "little")
 
 
+def batch_fingerprints(batch: pa.RecordBatch, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each row's text."""
+    digest = xxhash.xxh64_intdigest
+    out = np.zeros(batch.num_rows, np.uint64)
+    for i, j, data, bounds in blocks(batch):
+        start, end, doc = words(data, bounds)
+        cut = np.searchsorted(doc, np.arange(j - i + 1))
+        raw = data.tobytes().translate(LOWER)
+        for r in range(j - i):
+            a, b = int(cut[r]), int(cut[r + 1])
+            if a == b:
+                continue
+            s, e = start[a:b], end[a:b]
+            if (s[1:] - e[:-1] == 1).all() and b"\n" not in (own := raw[s[0] : e[-1]]) and b"\t" not in own and b"\r" not in own and b"\x0b" not in own and b"\x0c" not in own:
+                s, e = s - s[0], e - s[0]
+            else:
+                own = b" ".join([raw[x:y] for x, y in zip(s.tolist(), e.tolist())])
+                size = e - s
+                e = np.cumsum(size + 1) - 1
+                s = e - size
+            k = min(shingle, b - a)
+            hs = [digest(own[x:y], SEED) for x, y in zip(s[: b - a - k + 1].tolist(), e[k - 1 :].tolist())]
+            out[i + r] = fingerprint(np.array(hs, np.uint64))
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, fp): 64-bit fingerprints as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            out = np.zeros(batch.num_rows, np.uint64)
-            for i, j, data, bounds in blocks(batch):
-                start, end, doc = words(data, bounds)
-                cut = np.searchsorted(doc, np.arange(j - i + 1))
-                raw = data.tobytes().translate(LOWER)
-                for r in range(j - i):
-                    a, b = int(cut[r]), int(cut[r + 1])
-                    if a == b:
-                        continue
-                    s, e = start[a:b], end[a:b]
-                    if (s[1:] - e[:-1] == 1).all() and b"\n" not in (own := raw[s[0] : e[-1]]) and b"\t" not in own and b"\r" not in own and b"\x0b" not in own and b"\x0c" not in own:
-                        s, e = s - s[0], e - s[0]
-                    else:
-                        own = b" ".join([raw[x:y] for x, y in zip(s.tolist(), e.tolist())])
-                        size = e - s
-                        e = np.cumsum(size + 1) - 1
-                        s = e - size
-                    k = min(shingle, b - a)
-                    hs = [digest(own[x:y], SEED) for x, y in zip(s[: b - a - k + 1].tolist(), e[k - 1 :].tolist())]
-                    out[i + r] = fingerprint(np.array(hs, np.uint64))
+            out = batch_fingerprints(batch, shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(lambda b: released(run(b)), "doc_id long, fp long")

@@ -758,6 +758,25 @@ def test_document_stage_against_brute_force(spark, docs, table):
     assert lost > 100 and not want - kept and len(kept - want) <= 0.01 * lost
 
 
+def test_document_stage_finds_near_copies_by_simhash(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    none = spark.createDataFrame([], "u binary, v binary"), spark.createDataFrame([], "band long, key binary")
+    monkeypatch.setattr(near_dedup, "candidate_pairs", lambda classes, work: none)  # the other kind of candidates
+    rng = np.random.default_rng(6)
+    words, rows = [f"w{i}" for i in range(5000)], []
+    while len(rows) < 8:  # one word is another, and two bits of the fingerprint at most
+        own = [str(w) for w in rng.choice(words, 400)]
+        texts = " ".join(own), " ".join([*own[:200], "edited", *own[201:]])
+        if (brute_fingerprint(texts[0]) ^ brute_fingerprint(texts[1])).bit_count() <= 2:
+            rows += [(len(rows) + k, t, "en", "s", 1, "x", 1, 1) for k, t in enumerate(texts)]
+    repeated = " ".join(words[:7] * 80)  # near by its fingerprint, as repeats count, not by its set of shingles
+    rows += [(8, repeated, "en", "s", 1, "x", 1, 1), (9, repeated + " " + " ".join(words[100:106]), "en", "s", 1, "x", 1, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert (brute_fingerprint(rows[8][1]) ^ brute_fingerprint(rows[9][1])).bit_count() <= 2
+    assert {r.doc_id for r in p.document_stage(spark, docs, "").collect()} == {0, 2, 4, 6, 8, 9}
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as p
 
