@@ -160,7 +160,8 @@ def rest_pairs(large: DataFrame, roots: DataFrame, sets: DataFrame, work: Worksp
     if parts.isEmpty():
         return None
     own = work.store(own.join(parts, "band"), "apart")
-    traits = work.store(_parities(sets.join(own.select("key").distinct(), "key")), "traits")
+    buckets = own.groupBy("key").agg(F.collect_set("band").alias("bands"))
+    traits = work.store(_parities(sets.join(buckets.select("key"), "key")).join(buckets, "key"), "traits")
     own = own.join(traits, "key")
 
     def cell(many: str) -> Column:
@@ -169,13 +170,15 @@ def rest_pairs(large: DataFrame, roots: DataFrame, sets: DataFrame, work: Worksp
     words = [f"p{w}" for w in range(WORDS)]
     a = own.where("root <> major").withColumn("i", cell("few"))
     a = a.withColumn("j", cell("all") if sample else F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
-    a = a.select("band", "i", "j", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), *[F.col(w).alias(f"x{w}") for w in words])
+    a = a.select("band", "i", "j", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), F.col("bands").alias("bx"), *[F.col(w).alias(f"x{w}") for w in words])
     b = own.withColumn("j", cell("all")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
-    b = b.select("band", "i", "j", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), "major", *words)
+    b = b.select("band", "i", "j", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), F.col("bands").alias("by"), "major", *words)
     # sets at the threshold t differ in at most (1 - t) / (1 + t) of the sum of their sizes, and each difference turns one parity
     differ = F.greatest(sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(w))) for w in words[1:]), F.bit_count(F.col("xp0").bitwiseXOR(F.col("p0")))), F.abs(F.col("sx") - F.col("sy")))
     may = differ * F.lit(1 + threshold) <= (F.col("sx") + F.col("sy")) * F.lit(1 - threshold) + F.lit(1e-6)
-    met = a.hint("merge").join(b, ["band", "i", "j"]).where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y"))) & may)
+    # two keys of different roots meet in every bucket they share, so the least of these may stand for all
+    once = F.lit(True) if sample else F.array_min(F.array_intersect("bx", "by")) == F.col("band")
+    met = a.hint("merge").join(b, ["band", "i", "j"]).where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y"))) & may & once)
     return work.store(met.select(*_pair("x", "y")).distinct(), "rest")
 
 

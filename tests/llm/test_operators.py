@@ -524,7 +524,7 @@ def test_rest_of_a_bucket_is_every_pair_at_the_threshold(spark, monkeypatch):
         keep = rng.random(200) < 0.9
         sets.append((bytes([i]), [int(x) for x in np.flatnonzero(keep) * 0x9E3779B97F4A7C1 + 77]))
     values = spark.createDataFrame(sets, "key binary, value array<long>")
-    large = values.select(F.lit(1).cast("long").alias("band"), "key")
+    large = values.select(F.explode(F.array(F.lit(-1), F.lit(1)).cast("array<long>")).alias("band"), "key")  # two buckets, which share every pair
     roots = spark.createDataFrame([(bytes([i]), bytes([0])) for i in range(60)], "node binary, root binary")
     monkeypatch.setattr(line_dedup, "CELL", 64)
     found = line_dedup.rest_pairs(large, roots, values, Workspace(spark), 0.8).collect()
