@@ -18,7 +18,7 @@ whole shingle sets, and a distributed union-find joins the links.
 Then comes the rest of the larger buckets: every two classes of one that are not yet joined are compared, those outside the
 bucket's largest part with all others, in cells of at most CELL by CELL.  (In a first round each of them meets only one cell of about SAMPLE; this
 joins what has many partners, so that the second, whole round is left with little.)  A bound that never refuses a pair above
-the threshold (what the parities of their sets differ in) spares most of them the verification.  So no pair that shares a bucket stays apart
+the threshold (what the parities of their sets differ in) spares most of these, and of all other candidates, the verification.  So no pair that shares a bucket stays apart
 for the bucket's size; that costs, for each bucket, its size times the number outside its largest part.
 One line of each component stays: the first by (doc_id, text's hash, line number).
 
@@ -43,6 +43,7 @@ K, CHUNK, THRESHOLD = 8, 8, 0.8
 SMALL, DEEPER, LEADERS = 32, 9, 2
 CELL, SAMPLE, WORDS = 1024, 64, 8
 MINIMA = [f"m{k}" for k in range(12)]
+PARITIES = [f"p{w}" for w in range(WORDS)]
 BANDS = [[MINIMA[(b + i) % len(MINIMA)] for i in (0, 1, 4)] for b in range(len(MINIMA))]
 LOW31 = (1 << 31) - 1
 
@@ -97,10 +98,10 @@ def signatures(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def alike(pairs: DataFrame, a: Column, b: Column, threshold: float) -> DataFrame:
-    """The pairs whose arrays, as sets, have a Jaccard similarity of `threshold` or more; u and v are kept."""
+    """The pairs whose arrays, as sets of nu and nv, have a Jaccard similarity of `threshold` or more; u and v are kept."""
     # a generator in between, so that each array is computed once and the filter is not pushed below it
-    rows = pairs.select("u", "v", F.explode(F.array(F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    return rows.where(F.size(F.array_intersect("p.a", "p.b")) >= F.lit(threshold) * F.size(F.array_union("p.a", "p.b"))).select("u", "v")
+    rows = pairs.select("u", "v", "nu", "nv", F.explode(F.array(F.size(F.array_intersect(a, b)))).alias("both"))
+    return rows.where(F.col("both") >= F.lit(threshold) * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v")
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -139,17 +140,31 @@ def candidate_pairs(classes: DataFrame, work: Workspace) -> tuple[DataFrame, Dat
     return found, large
 
 
-def _parities(sets: DataFrame) -> DataFrame:
+def parities(sets: DataFrame) -> DataFrame:
     """sets(key, value), each an array of different hashes -> (key, size, p0, ..): bit b of word w is the parity of the hashes that fall there."""
     each = sets.select("key", F.explode("value").alias("x"))
     each = each.select("key", F.expr(f"shiftrightunsigned(x, 6) & {WORDS - 1}").alias("w"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
-    return each.groupBy("key").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("w") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{w}") for w in range(WORDS)])
+    return each.groupBy("key").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("w") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(p) for w, p in enumerate(PARITIES)])
+
+
+def _may(sx: str, sy: str, x: list[str], y: list[str], threshold: float) -> Column:
+    """False only for sizes and parities of sets below the threshold t: others differ in at most (1 - t) / (1 + t) of the sum of
+    their sizes, and each difference turns one parity."""
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in zip(x[1:], y[1:])), F.bit_count(F.col(x[0]).bitwiseXOR(F.col(y[0]))))
+    return F.greatest(differ, F.abs(F.col(sx) - F.col(sy))) * F.lit(1 + threshold) <= (F.col(sx) + F.col(sy)) * F.lit(1 - threshold) + F.lit(1e-6)
+
+
+def plausible(pairs: DataFrame, traits: DataFrame, threshold: float) -> DataFrame:
+    """pairs(u, v), traits as parities() makes them -> (u, v, nu, nv): the pairs that may reach the threshold, with both sizes."""
+    left, right = ([F.col("key").alias(k), F.col("size").alias(f"n{k}"), *[F.col(p).alias(f"{k}{p}") for p in PARITIES]] for k in "uv")
+    met = pairs.select("u", "v").join(traits.select(*left), "u").join(traits.select(*right), "v")
+    return met.where(_may("nu", "nv", [f"u{p}" for p in PARITIES], [f"v{p}" for p in PARITIES], threshold)).select("u", "v", "nu", "nv")
 
 
 def rest_pairs(large: DataFrame, roots: DataFrame, sets: DataFrame, work: Workspace, threshold: float, sample: int | None = None) -> DataFrame | None:
-    """large(band, key), roots(node, root), sets(key, value) -> (u, v): the keys of one bucket and of two components that may reach
-    the threshold, each pair once; None where no bucket holds two components.  With a sample those outside a bucket's largest part
-    meet about so many others."""
+    """large(band, key), roots(node, root), sets(key, value) or what parities() made of them -> (u, v): the keys of one bucket and of
+    two components that may reach the threshold, each pair once; None where no bucket holds two components.  With a sample those
+    outside a bucket's largest part meet about so many others."""
     own = large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     own = work.store(own, "parts")
     parts = own.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
@@ -161,52 +176,57 @@ def rest_pairs(large: DataFrame, roots: DataFrame, sets: DataFrame, work: Worksp
         return None
     own = work.store(own.join(parts, "band"), "apart")
     buckets = own.groupBy("key").agg(F.collect_set("band").alias("bands"))
-    traits = work.store(_parities(sets.join(buckets.select("key"), "key")).join(buckets, "key"), "traits")
-    own = own.join(traits, "key")
+    traits = sets if "size" in sets.columns else parities(sets)
+    own = own.join(work.store(traits.join(buckets, "key"), "meeting"), "key")
 
     def cell(many: str) -> Column:
         return F.pmod(F.xxhash64("key"), F.col(many)).cast("int")
 
-    words = [f"p{w}" for w in range(WORDS)]
     a = own.where("root <> major").withColumn("i", cell("few"))
     a = a.withColumn("j", cell("all") if sample else F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
-    a = a.select("band", "i", "j", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), F.col("bands").alias("bx"), *[F.col(w).alias(f"x{w}") for w in words])
+    a = a.select("band", "i", "j", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), F.col("bands").alias("bx"), *[F.col(p).alias(f"x{p}") for p in PARITIES])
     b = own.withColumn("j", cell("all")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
-    b = b.select("band", "i", "j", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), F.col("bands").alias("by"), "major", *words)
-    # sets at the threshold t differ in at most (1 - t) / (1 + t) of the sum of their sizes, and each difference turns one parity
-    differ = F.greatest(sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(w))) for w in words[1:]), F.bit_count(F.col("xp0").bitwiseXOR(F.col("p0")))), F.abs(F.col("sx") - F.col("sy")))
-    may = differ * F.lit(1 + threshold) <= (F.col("sx") + F.col("sy")) * F.lit(1 - threshold) + F.lit(1e-6)
+    b = b.select("band", "i", "j", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"), F.col("bands").alias("by"), "major", *PARITIES)
+    may = _may("sx", "sy", [f"x{p}" for p in PARITIES], PARITIES, threshold)
     # two keys of different roots meet in every bucket they share, so the least of these may stand for all
     once = F.lit(True) if sample else F.array_min(F.array_intersect("bx", "by")) == F.col("band")
     met = a.hint("merge").join(b, ["band", "i", "j"]).where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("major")) | (F.col("x") < F.col("y"))) & may & once)
     return work.store(met.select(*_pair("x", "y")).distinct(), "rest")
 
 
-def joined_classes(links: DataFrame, large: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace, threshold: float) -> DataFrame:
-    """links(u, v), large(band, key), sets(key, value) -> (node, root): the components of the links and of all others within the larger
-    buckets.  verify(pairs) gives those that reach the threshold."""
+def merged_roots(roots: DataFrame, more: DataFrame, work: Workspace) -> DataFrame:
+    """roots(node, root) and further links more(u, v) -> (node, root) of both: only the components that `more` touches are joined anew."""
+    ends = [roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "uv"]
+    edges = more.join(ends[0], "u", "left").join(ends[1], "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    moved = work.store(connected_components(edges, work).select(F.col("node").alias("root"), F.col("root").alias("least")), "moved")
+    alone = moved.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("least").alias("root"))
+    return roots.join(moved, "root", "left").select("node", F.coalesce("least", "root").alias("root")).unionByName(alone)
+
+
+def joined_classes(links: DataFrame, large: DataFrame, traits: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace, threshold: float) -> DataFrame:
+    """links(u, v), large(band, key), traits as parities() makes them -> (node, root): the components of the links and of all others
+    within the larger buckets.  verify(pairs) gives those that reach the threshold."""
     roots = work.store(connected_components(links, work), "linked")
     for k, sample in enumerate((SAMPLE, None)):
-        rest = rest_pairs(large, roots, sets, work, threshold, sample)
+        rest = rest_pairs(large, roots, traits, work, threshold, sample)
         if rest is None:
             break
         more = work.store(verify(rest), "more")
         if not more.isEmpty():
-            edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
-            roots = work.store(connected_components(edges, work), f"joined{k}")
-    work.drop("parts", "open", "apart", "traits", "rest", "more")
+            roots = work.store(merged_roots(roots, more, work), f"joined{k}")
+    work.drop("parts", "open", "apart", "meeting", "rest", "more", "moved")
     return roots
 
 
 def with_values(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """pairs(u, v), values(key, value) -> (u, v, a, b) with the values of both."""
+    """pairs(u, v, ..), values(key, value) -> pairs with the values of both as a and b."""
     left = values.select(F.col("key").alias("u"), F.col("value").alias("a"))
     right = values.select(F.col("key").alias("v"), F.col("value").alias("b"))
     return pairs.join(left, "u").join(right, "v")
 
 
-def _first_links(lines: DataFrame, work: Workspace, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """-> links(u, v) between classes of equal lines, large(band, key) and the texts(key, value) of all classes in either."""
+def _first_links(lines: DataFrame, work: Workspace, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """-> links(u, v) between classes of equal lines, large(band, key), the traits of all classes in either, and what verifies pairs of these."""
     # the occurrence of least hash lends its text to the class; fixed-width buffers keep this a hash aggregate
     place = F.xxhash64("doc_id", "h", "line_no").alias("place")
     classes = work.store(signatures(lines.select("key", place, "line"), ["key", "place"]), "classes")
@@ -215,9 +235,14 @@ def _first_links(lines: DataFrame, work: Workspace, threshold: float) -> tuple[D
     text = lines.select("key", place, F.col("line").alias("value")).join(where, ["key", "place"]).select("key", "value").dropDuplicates(["key"])
     text = work.store(text, "texts")
     work.drop("classes")
-    links = work.store(alike(with_values(pairs, text), shingles("a"), shingles("b"), threshold), "links")
+    traits = work.store(parities(text.select("key", F.array_distinct(shingles("value")).alias("value"))), "traits")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return alike(with_values(plausible(pairs, traits, threshold), text), shingles("a"), shingles("b"), threshold)
+
+    links = work.store(verify(pairs), "links")
     work.drop("pairs")
-    return links, large, text
+    return links, large, traits, verify
 
 
 def line_links(lines: DataFrame, work: Workspace, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,20 +252,19 @@ def line_links(lines: DataFrame, work: Workspace, threshold: float = THRESHOLD)
 
 def line_components(lines: DataFrame, work: Workspace, threshold: float = THRESHOLD) -> DataFrame:
     """-> (key, root) of the classes of equal lines that have a link."""
-    links, large, text = _first_links(lines, work, threshold)
-    sets = text.select("key", F.array_distinct(shingles("value")).alias("value"))
-    out = joined_classes(links, large, sets, lambda pairs: alike(with_values(pairs, text), shingles("a"), shingles("b"), threshold), work, threshold)
-    work.drop("texts", "large", "links")
+    links, large, traits, verify = _first_links(lines, work, threshold)
+    out = joined_classes(links, large, traits, verify, work, threshold)
+    work.drop("texts", "traits", "large", "links")
     return out.withColumnRenamed("node", "key")
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, work: Workspace | None = None) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, h, line_no) of all lines but the first of each component."""
     work = work or Workspace(docs.sparkSession)
-    lines = split_lines(docs)
+    lines = work.store(split_lines(docs), "lines")
     roots = line_components(lines, work, threshold)
     place = F.struct("doc_id", "h", "line_no")
-    places = work.store(lines.select("key", "doc_id", "h", "line_no"), "places")
+    places = lines.select("key", "doc_id", "h", "line_no")
     firsts = places.groupBy("key").agg(F.min(place).alias("at"), F.count("*").alias("n"))
     firsts = firsts.join(roots, "key", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "key"))
     firsts = work.store(firsts, "firsts")
@@ -254,7 +278,7 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     work = Workspace(docs.sparkSession)
     losers = repeated_lines(docs.select("doc_id", "text"), threshold, work)
     gone = work.store(losers.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("t")).agg(F.collect_set("line_no").alias("gone")), "gone")
-    work.drop("places", "firsts", "linked", "joined0", "joined1")
+    work.drop("lines", "firsts", "linked", "joined0", "joined1")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), F.xxhash64("text").alias("h"))
     rows = rows.join(gone, rows["r"]["doc_id"].eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")), "left")
     text = F.col("r")["text"]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import U, WORD_BASE, blocks, mix, prefix, released, spans, word_hashes, words
-from .line_dedup import MINIMA, alike, band_hashes, candidate_pairs, joined_classes, with_values
+from .line_dedup import MINIMA, alike, band_hashes, candidate_pairs, joined_classes, parities, plausible, with_values
 from .simhash_dedup import batch_fingerprints, hamming_links
 from .workspace import Workspace
 
@@ -103,14 +103,15 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRES
     where = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(same.select("key", F.col("at.h").alias("h")), "key")
     values = prints.select("key", "h", F.col("grams").alias("value")).join(where, ["key", "h"]).select("key", "value").dropDuplicates(["key"])
     values = work.store(values, "values")
+    traits = work.store(parities(values), "traits")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return alike(with_values(pairs, values), F.col("a"), F.col("b"), threshold)
+        return alike(with_values(plausible(pairs, traits, threshold), values), F.col("a"), F.col("b"), threshold)
 
     links = work.store(verify(pairs), "links")
     work.drop("pairs", "both", "fingerprints", "near")
-    roots = joined_classes(links, large, values, verify, work, threshold).withColumnRenamed("node", "key")
-    work.drop("values", "large")
+    roots = joined_classes(links, large, traits, verify, work, threshold).withColumnRenamed("node", "key")
+    work.drop("values", "traits", "large")
     joined = same.select("key", "at").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = joined.groupBy("root").agg(F.min("at").alias("first"))
     names = joined.join(names, "root").select("key", "first")

@@ -534,6 +534,36 @@ def test_rest_of_a_bucket_is_every_pair_at_the_threshold(spark, monkeypatch):
     assert len(alike) > 100 and alike <= got and len(got) == len(found)
 
 
+def test_only_pairs_that_may_reach_the_threshold_are_compared(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(300)]
+    own, rows, met, compared, made = rng.choice(words, 60).tolist(), [], [], [], []
+    for i in range(300):  # but few pairs reach the threshold
+        w = list(own)
+        for k in rng.choice(60, int(rng.integers(2, 7)), False):
+            w[k] = words[int(rng.integers(300))]
+        rows.append((i, " ".join(w)))
+    find, compare, explode = line_dedup.candidate_pairs, line_dedup.alike, line_dedup.shingles
+    monkeypatch.setattr(line_dedup, "candidate_pairs", lambda *a: (met.append((found := find(*a))[0].count()), found)[1])
+    monkeypatch.setattr(line_dedup, "alike", lambda pairs, *a: (compared.append(pairs.count()), compare(pairs, *a))[1])
+    monkeypatch.setattr(line_dedup, "shingles", lambda line: (made.append(line), explode(line))[1])
+    want, links = brute_lines(rows)
+    got = {r.doc_id for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    print("candidates", met, "compared", compared, "links", len(links), "removed", len(got), "of", len(want))
+    assert len(compared) == 3 and compared[0] < met[0] / 2  # the first round and the rest's two
+    assert made.count("value") == 1  # the rest takes the parities that the first round has made of the sets
+    assert got <= {d for d, _ in want} and len(got) >= 0.95 * len(want)
+
+
+def test_further_links_join_components_anew(spark):
+    rng = np.random.default_rng(4)
+    work, pairs = Workspace(spark), [tuple(map(int, rng.integers(0, 400, 2))) for _ in range(260)]
+    edges = lambda own: spark.createDataFrame(own, "u long, v long")
+    want = sorted(line_dedup.connected_components(edges(pairs), work).collect())
+    roots = work.store(line_dedup.connected_components(edges(pairs[:200]), work), "roots")
+    assert sorted(line_dedup.merged_roots(roots, edges(pairs[200:]), work).collect()) == want
+
+
 def removed_of_pairs(spark, pairs):
     """How many of the pairs of near lines, each pair one document, the operator finds."""
     rows = [(i, f"{a}\n{b}", "en", "s", 1, "x", 1, 1) for i, (a, b) in enumerate(pairs)]
