@@ -111,9 +111,12 @@ def _pair(x: str, y: str) -> list[Column]:
 def candidate_pairs(classes: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """classes(key, m0, .., bands) -> pairs(u, v), different keys that may be alike, each pair once: all of the small buckets, some
     of the larger ones; and large(band, key), the larger buckets, for joined_classes() to complete."""
-    members = classes.select("key", F.posexplode("bands").alias("b", "band"))
-    crowded = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = work.store(members.join(crowded, "band").select("key", "b", "band", "n"), "members")
+    half, parts = len(BANDS) // 2, []
+    for k in (0, half):  # one half of the bands after the other, so that half of the rows lie on the disks at a time
+        own = classes.select("key", F.posexplode(F.slice("bands", k + 1, half)).alias("b", "band")).withColumn("b", F.col("b") + k)
+        crowded = own.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        parts.append(work.store(own.join(crowded, "band").select("key", "b", "band", "n"), f"members{k}"))
+    members = parts[0].unionByName(parts[1])
     large = work.store(members.where(F.col("n") > SMALL).select("band", "key"), "large")
 
     # a node for each bucket, and for a larger one the nodes below it: one row for each class and depth
@@ -136,7 +139,7 @@ def candidate_pairs(classes: DataFrame, work: Workspace) -> tuple[DataFrame, Dat
     partners = work.store(partners.unionByName(stats.where(F.col("n") > SMALL).select("node", F.explode(leaders).alias("partner"))), "partners")
     found = rows.join(partners, "node").where((F.col("key") < F.col("partner")) | ((F.col("n") > SMALL) & (F.col("key") != F.col("partner"))))
     found = work.store(found.select(*_pair("key", "partner")).distinct(), "pairs")
-    work.drop("members", "nodes", "stats", "trie", "partners")
+    work.drop("members0", f"members{half}", "nodes", "stats", "trie", "partners")
     return found, large
 
 
