@@ -41,7 +41,7 @@ from .rows import identified
 from .workspace import Workspace
 
 LENGTH, GRAM, GROUP = 100, 50, 8192
-BATCH_CONTEXTS, FLUSH = 8192, 1 << 16
+BATCH_CONTEXTS, SOLVED_CONTEXTS, FLUSH = 8192, 2048, 1 << 16
 NULL_ID = -(1 << 63)
 
 
@@ -155,8 +155,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
         held: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
         copies: list[tuple[int, int, int, int]] = []
 
-        def flush() -> pa.RecordBatch:
-            keys, places = list(held), [*held.values(), *(c[:3] for c in copies)]
+        def flush(whole: bool = True) -> pa.RecordBatch:
+            """All that is held, or the copies alone."""
+            keys, places = list(held) if whole else [], [*(held.values() if whole else ()), *(c[:3] for c in copies)]
             n = len(copies)
             out = pa.RecordBatch.from_arrays(
                 [
@@ -169,7 +170,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
                 ],
                 ["h", "before", "context", "doc_id", "t", "pos"],
             )
-            held.clear(), copies.clear()
+            if whole:
+                held.clear()
+            copies.clear()
             return out
 
         for batch in batches:
@@ -187,8 +190,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
                         if place < have:
                             held[key], place = place, have
                         copies.append((*place, place[2] + y - x))
-                if len(held) >= FLUSH:
-                    yield flush()
+                if len(held) >= FLUSH or len(copies) >= FLUSH:
+                    yield flush(len(held) >= FLUSH)
         if held or copies:
             yield flush()
 
@@ -223,7 +226,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             h = np.asarray(table.column("h").combine_chunks())
             cut = int(np.searchsorted(h, h[-1], "left"))  # the last group may go on
             if cut:
-                yield from solve(table.slice(0, cut))
+                yield from parts(table.slice(0, cut))
             waiting = [table.slice(cut)]
             if h.size - cut > group:
                 hot = int(h[-1])
@@ -231,7 +234,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
         if waiting:
             table = pa.concat_tables(waiting).combine_chunks()
             if table.num_rows:
-                yield from solve(table)
+                yield from parts(table)
 
     def result(ids, texts, a, b, contexts=None) -> pa.RecordBatch:
         n = len(a)
@@ -243,6 +246,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
                 pos = np.asarray(t.column("pos"))
                 yield result(t.column("doc_id"), t.column("t"), pos, pos, t.column("context"))
 
+    def parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole minimizers together, up to SOLVED_CONTEXTS or one of more: a worker's memory follows these."""
+        h = np.asarray(table.column("h").combine_chunks())
+        ends = np.flatnonzero(np.r_[h[1:] != h[:-1], True]) + 1
+        a = 0
+        while a < h.size:
+            b = int(ends[max(np.searchsorted(ends, a + SOLVED_CONTEXTS, "right") - 1, np.searchsorted(ends, a, "right"))])
+            yield from solve(table.slice(a, b - a))
+            a = b
+
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         h = np.asarray(table.column("h").combine_chunks())
         before = np.asarray(table.column("before").combine_chunks())
@@ -274,6 +287,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             yield result(ids.take(pa.array(own[k])), text.take(pa.array(own[k])), a, a + (end - start) + length - 1)
 
     near = work.store(dealt.mapInArrow(lambda b: released(lpf(b)), "doc_id long, t long, a int, b int, context binary"), "near")
+    merged.destroy()
     del met, dealt
     one = (
         near.where("context IS NOT NULL")

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -61,6 +62,47 @@ def test_suffix_dedup(docs, table):
         assert got == want
 
 
+def test_suffix_dedup_of_a_task_full_of_copies(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 1500))
+    docs = spark.createDataFrame([(i, text) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 128)
+    sizes, frame = [], type(docs)
+    own = frame.mapInArrow
+
+    def counted(self, f, schema, *a, **b):
+        if "before" in str(schema):
+            rows = own(self, lambda batches: (pa.RecordBatch.from_pydict({"n": [x.num_rows]}) for x in f(batches)), "n long")
+            sizes.extend(r.n for r in rows.collect())
+        return own(self, f, schema, *a, **b)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()}
+    print("rows in a flush, at most", max(sizes), "of", sum(sizes))
+    assert got == {i: 1500 if i else 0 for i in range(2000)}
+    assert max(sizes) < sum(sizes) / 4  # a task hands copies on as it goes
+
+
+def test_suffix_dedup_solves_few_contexts_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    rows = []
+    for i in range(3000):  # pairs that share 200 bytes, with others around them
+        a, b, c, d = ("".join(rng.choice(letters, 60)) for _ in range(4))
+        own = "".join(rng.choice(letters, 200))
+        rows += [(2 * i, a + own + b), (2 * i + 1, c + own + d)]
+    solve = suffix_dedup._later_suffixes
+
+    def bounded(blob, bound, group, *rest):
+        assert bound.size - 1 <= 2048 or np.unique(group).size == 1, f"{bound.size - 1} contexts at once"
+        return solve(blob, bound, group, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_later_suffixes", bounded)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [d for d, n in got.items() if n < 200 * (d % 2) or n > 204 * (d % 2)]  # a letter or two may be alike beside them
+    assert len(got) == 6000 and not wrong
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(0)
     for data in (b"abracadabra abracadabra banana", b"a" * 40, bytes(rng.integers(97, 99, 300).tolist()), b"", b"x", bytes(range(200)) + bytes(range(199, 0, -1))):
