@@ -32,6 +32,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,13 +40,14 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .workspace import Workspace
 
-K, CHUNK, THRESHOLD = 8, 8, 0.8
+K, CHUNK, STEP, THRESHOLD = 8, 8, 8, 0.8
 SMALL, DEEPER, LEADERS = 32, 9, 2
 CELL, SAMPLE, WORDS = 1024, 64, 8
 MINIMA = [f"m{k}" for k in range(12)]
 PARITIES = [f"p{w}" for w in range(WORDS)]
 BANDS = [[MINIMA[(b + i) % len(MINIMA)] for i in (0, 1, 4)] for b in range(len(MINIMA))]
 LOW31 = (1 << 31) - 1
+BLANKS = " \t\r\x0b\x0c"
 
 
 def band_hashes() -> Column:
@@ -73,7 +75,9 @@ def shingles(line: str) -> Column:
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, line_no, line, key) of the lines that are not blank: h is the text's hash, key the MD5 of the trimmed line."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).where("line <> ''")
+    # trimming at the end walks the whole line, so only lines that need it are
+    blank = reduce(Column.__or__, [F.endswith("line", F.lit(c)) for c in BLANKS])
+    lines = lines.withColumn("line", F.when(blank, F.btrim("line", F.lit(BLANKS))).otherwise(F.ltrim("line", F.lit(BLANKS)))).where("line <> ''")
     return lines.withColumn("key", F.unhex(F.md5("line")))
 
 
@@ -99,8 +103,10 @@ def signatures(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def alike(pairs: DataFrame, a: Column, b: Column, threshold: float) -> DataFrame:
     """The pairs whose arrays, as sets of nu and nv, have a Jaccard similarity of `threshold` or more; u and v are kept."""
-    # a generator in between, so that each array is computed once and the filter is not pushed below it
-    rows = pairs.select("u", "v", "nu", "nv", F.explode(F.array(F.size(F.array_intersect(a, b)))).alias("both"))
+    # a generator in between, so that each array is computed once and the filter is not pushed below it; the arrays meet in a
+    # projection of their own, as a generator of higher-order functions is interpreted as a whole
+    rows = pairs.select("u", "v", "nu", "nv", F.size(F.array_intersect(a, b)).alias("n"))
+    rows = rows.select("u", "v", "nu", "nv", F.explode(F.array("n")).alias("both"))
     return rows.where(F.col("both") >= F.lit(threshold) * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v")
 
 
@@ -114,8 +120,8 @@ def candidate_pairs(classes: DataFrame, work: Workspace) -> tuple[DataFrame, Dat
     half, parts = len(BANDS) // 2, []
     for k in (0, half):  # one half of the bands after the other, so that half of the rows lie on the disks at a time
         own = classes.select("key", F.posexplode(F.slice("bands", k + 1, half)).alias("b", "band")).withColumn("b", F.col("b") + k)
-        crowded = own.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-        parts.append(work.store(own.join(crowded, "band").select("key", "b", "band", "n"), f"members{k}"))
+        own = own.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
+        parts.append(work.store(own.select("key", "b", "band", "n"), f"members{k}"))
     members = parts[0].unionByName(parts[1])
     large = work.store(members.where(F.col("n") > SMALL).select("band", "key"), "large")
 
@@ -145,9 +151,18 @@ def candidate_pairs(classes: DataFrame, work: Workspace) -> tuple[DataFrame, Dat
 
 def parities(sets: DataFrame) -> DataFrame:
     """sets(key, value), each an array of different hashes -> (key, size, p0, ..): bit b of word w is the parity of the hashes that fall there."""
-    each = sets.select("key", F.explode("value").alias("x"))
-    each = each.select("key", F.expr(f"shiftrightunsigned(x, 6) & {WORDS - 1}").alias("w"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
-    return each.groupBy("key").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("w") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(p) for w, p in enumerate(PARITIES)])
+    sets = sets.select("key", F.explode(F.array("value")).alias("value"))  # a generator in between, so that no filter computes the arrays again
+    at = F.sequence(F.lit(0), F.size("value") - 1, F.lit(STEP))
+    rows = sets.where(F.size("value") > 0).select("key", "value", F.size("value").alias("all"), F.explode(at).alias("i"))
+    # a row stands for STEP hashes, null beyond the end
+    rows = rows.select("key", F.least(F.lit(STEP), F.col("all") - F.col("i")).alias("n"), *[F.get("value", F.col("i") + j).alias(f"x{j}") for j in range(STEP)])
+    words = [F.expr(f"shiftrightunsigned(x{j}, 6) & {WORDS - 1}").alias(f"w{j}") for j in range(STEP)]
+    rows = rows.select("key", "n", *words, *[F.expr(f"shiftleft(1L, cast(x{j} & 63 as int))").alias(f"b{j}") for j in range(STEP)])
+
+    def parity(w: int) -> Column:
+        return F.bit_xor(reduce(Column.bitwiseXOR, [F.when(F.col(f"w{j}") == w, F.col(f"b{j}")).otherwise(F.lit(0).cast("long")) for j in range(STEP)]))
+
+    return rows.groupBy("key").agg(F.sum("n").alias("size"), *[parity(w).alias(p) for w, p in enumerate(PARITIES)])
 
 
 def _may(sx: str, sy: str, x: list[str], y: list[str], threshold: float) -> Column:
@@ -235,16 +250,20 @@ def _first_links(lines: DataFrame, work: Workspace, threshold: float) -> tuple[D
     classes = work.store(signatures(lines.select("key", place, "line"), ["key", "place"]), "classes")
     pairs, large = candidate_pairs(classes.withColumn("bands", band_hashes()), work)
     where = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "place"), "key")
-    text = lines.select("key", place, F.col("line").alias("value")).join(where, ["key", "place"]).select("key", "value").dropDuplicates(["key"])
-    text = work.store(text, "texts")
+    where, parts = work.store(where, "wanted"), []
     work.drop("classes")
+    for k in (0, 1):  # one half of the classes after the other, so that half of the lines lie on the disks at a time
+        half = F.xxhash64("key").bitwiseAND(1) == k
+        own = lines.where(half).select("key", place, F.col("line").alias("value")).join(where.where(half), ["key", "place"])
+        parts.append(work.store(own.select("key", "value").dropDuplicates(["key"]), f"texts{k}"))
+    text = parts[0].unionByName(parts[1])
     traits = work.store(parities(text.select("key", F.array_distinct(shingles("value")).alias("value"))), "traits")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return alike(with_values(plausible(pairs, traits, threshold), text), shingles("a"), shingles("b"), threshold)
 
     links = work.store(verify(pairs), "links")
-    work.drop("pairs")
+    work.drop("pairs", "wanted")
     return links, large, traits, verify
 
 
@@ -257,7 +276,7 @@ def line_components(lines: DataFrame, work: Workspace, threshold: float = THRESH
     """-> (key, root) of the classes of equal lines that have a link."""
     links, large, traits, verify = _first_links(lines, work, threshold)
     out = joined_classes(links, large, traits, verify, work, threshold)
-    work.drop("texts", "traits", "large", "links")
+    work.drop("texts0", "texts1", "traits", "large", "links")
     return out.withColumnRenamed("node", "key")
 
 

@@ -861,3 +861,32 @@ def test_pipeline(spark, sf, docs):
     packed = p.STAGES[-1][1](spark, now, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in now.select("doc_id").collect()}
     assert sorted(map(tuple, p.run(spark, sf).select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def test_line_texts_are_shuffled_in_halves_and_parities_made_in_steps(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    texts = ["\n".join("".join(rng.choice(letters, 2000)) for _ in range(10)) for _ in range(60)]
+    texts += [t[:-1] + "!" for t in texts[:20]] + [" \t\n x\x0b\n\x0cx \r\n\r\x0b\nx"]
+    work = Workspace(spark)
+    lines = work.store(line_dedup.split_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "lines")
+    assert [r.line for r in lines.where("doc_id = 80").orderBy("line_no").collect()] == ["x"] * 3
+    store = spark.sparkContext._jsc.sc().statusStore()
+    seen = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (lambda all: [all.apply(i) for i in range(all.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        before = seen()
+        assert line_dedup.line_links(lines, work).count() == 20
+        most = max(v for k, v in seen().items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    size = sum(map(len, texts))
+    assert 0.2 * size < most < 0.6 * size
+
+    sets = [(k, [int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)]) for k, n in enumerate((1, 7, 8, 9, 16, 100))]
+    for r in line_dedup.parities(spark.createDataFrame([*sets, (9, [])], "key long, value array<long>")).collect():
+        words = [0] * line_dedup.WORDS
+        for x in sets[r.key][1]:
+            words[(x >> 6) % line_dedup.WORDS] ^= 1 << (x & 63)
+        assert r.size == len(sets[r.key][1]) and [r[p] % 2**64 for p in line_dedup.PARITIES] == words
