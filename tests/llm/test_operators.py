@@ -597,6 +597,30 @@ def test_only_pairs_that_may_reach_the_threshold_are_compared(spark, monkeypatch
     assert got <= {d for d, _ in want} and len(got) >= 0.95 * len(want)
 
 
+def test_components_of_stars_take_one_round(spark, monkeypatch):
+    stored = []
+    write = Workspace.store
+
+    def store(self, df, name):
+        stored.append(name)
+        return write(self, df, name)
+
+    def components(pairs):
+        stored.clear()
+        out = line_dedup.connected_components(spark.createDataFrame(pairs, "u long, v long"), Workspace(spark))
+        return sorted(tuple(r) for r in out.collect()), list(stored)
+
+    monkeypatch.setattr(Workspace, "store", store)
+    stars = [(10 * (i % 7), 10 * (i % 7) + i // 7 + 1) for i in range(63)]
+    got, names = components([*stars, *stars[:9], (3, 3), (None, 5), (5, None)])
+    assert got == sorted({(v, u) for u, v in stars} | {(u, u) for u, _ in stars})
+    assert names == ["cc0", "cc1"]
+    assert components([])[0] == []
+    # a path, whose rounds are many: each node ends at the first, with repeated and turned edges
+    got, names = components([(i + 1, i) if i % 3 else (i, i + 1) for i in range(40)] * 2)
+    assert got == [(i, 0) for i in range(41)] and len(names) > 3
+
+
 def test_further_links_join_components_anew(spark):
     rng = np.random.default_rng(4)
     work, pairs = Workspace(spark), [tuple(map(int, rng.integers(0, 400, 2))) for _ in range(260)]
