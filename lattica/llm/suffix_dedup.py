@@ -266,7 +266,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
         text = table.column("t").combine_chunks()
         raw, own_text = np.asarray(ids.fill_null(NULL_ID)), np.asarray(text)
         # equal contexts come in order of place: all but those at the first place are covered whole
-        equal = np.r_[False, [contexts[k] == contexts[k - 1] for k in range(1, len(contexts))]] & np.r_[False, (h[1:] == h[:-1]) & (before[1:] == before[:-1])]
+        equal = np.array([False, *(contexts[k] == contexts[k - 1] for k in range(1, len(contexts)))]) & np.r_[False, (h[1:] == h[:-1]) & (before[1:] == before[:-1])]
         first = np.maximum.accumulate(np.where(equal, 0, np.arange(h.size)))
         later = np.flatnonzero(equal & ((raw != raw[first]) | (own_text != own_text[first]) | (pos != pos[first])) & (size >= length))
         if later.size:

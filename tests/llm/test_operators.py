@@ -103,6 +103,12 @@ def test_suffix_dedup_solves_few_contexts_at_a_time(spark, monkeypatch):
     assert len(got) == 6000 and not wrong
 
 
+def test_suffix_dedup_of_a_task_with_one_context(spark):
+    text = "".join(np.random.default_rng(17).choice(list("abcdefghijklmnopqrstuvwxyz "), 100))
+    docs = spark.createDataFrame([(0, text), (1, text), (2, "other")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()} == {0: 0, 1: 100, 2: 0}
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(0)
     for data in (b"abracadabra abracadabra banana", b"a" * 40, bytes(rng.integers(97, 99, 300).tolist()), b"", b"x", bytes(range(200)) + bytes(range(199, 0, -1))):
