@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 from ..errors import TooLarge
 from ..graph import Graph
 from ..iterate import Levels, cut, cut_with
-from .traversal import DRIVER_EDGES, bfs
+from .traversal import DRIVER_EDGES, bfs, some
 
 EPSILON = 1e-9
 
 
+def _capacities(graph: Graph) -> DataFrame:
+    """Capacities, summed over parallel edges."""
+    return graph.arcs().where((F.col("weight") > EPSILON) & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.sum("weight").alias("capacity"))
+
+
 def _between(graph: Graph, source: int, sink: int) -> DataFrame:
-    """Capacities, summed over parallel edges, of the edges on some path from source to sink."""
+    """Capacities of the edges on some path from source to sink."""
     ahead, behind = bfs(graph, [source]).select("id"), bfs(graph.reversed(), [sink]).select("id")
     on = cut(ahead.join(behind, "id", "left_semi"))
-    e = graph.arcs().where((F.col("weight") > EPSILON) & (F.col("src") != F.col("dst")))
-    e = e.join(on, e["src"] == on["id"], "left_semi").join(on, F.col("dst") == on["id"], "left_semi")
-    return e.groupBy("src", "dst").agg(F.sum("weight").alias("capacity"))
+    e = _capacities(graph)
+    return e.join(on, e["src"] == on["id"], "left_semi").join(on, F.col("dst") == on["id"], "left_semi")
 
 
 def max_flow(graph: Graph, source: int, sink: int, method: str = "push_relabel", limit: int = DRIVER_EDGES) -> float:
@@ -32,10 +36,11 @@ def max_flow(graph: Graph, source: int, sink: int, method: str = "push_relabel",
     """
     if source == sink:
         return 0.0
-    edges = _between(graph, source, sink)
     if method == "push_relabel":
-        return _push_relabel(edges, source, sink)
-    rows = edges.limit(limit + 1).collect()
+        return _push_relabel(_capacities(graph), source, sink)
+    rows = _capacities(graph).limit(limit + 1).collect()
+    if len(rows) > limit:  # paths are looked for only where the whole graph is too large
+        rows = _between(graph, source, sink).limit(limit + 1).collect()
     if len(rows) > limit:
         raise TooLarge("use push_relabel")
     residual: dict[int, dict[int, float]] = {}
@@ -105,35 +110,53 @@ def _dinic(residual, source, sink) -> float:
     return total
 
 
+def _heights(res: DataFrame, sink: int) -> DataFrame:
+    """(id, h): the distance to the sink along edges that are open, where there is one."""
+    open_ = res.where(F.col("r") > EPSILON)
+    front, found = cut_with(res.sparkSession.createDataFrame([(sink, 0)], "id long, h int"), some())
+    seen, h = Levels(front), 0
+    while found["rows"]:
+        h += 1
+        met = open_.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
+        front, found = cut_with(met.join(seen.all().select("id"), "id", "left_anti").withColumn("h", F.lit(h)), some())
+        if found["rows"]:
+            seen.add(front)
+    return seen.all()
+
+
 def _push_relabel(edges: DataFrame, source: int, sink: int) -> float:
-    """Synchronous rounds until no vertex is active: each pushes along all admissible edges in order of dst, or is relabelled."""
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("capacity")))
-    res = cut(both.groupBy("src", "dst").agg(F.sum("capacity").alias("r")))
-    nodes = res.select(F.col("src").alias("id")).distinct()
-    n = nodes.count()
-    if n == 0:
-        return 0.0
-    first = F.col("src") == source
-    pushed = res.where(first & (F.col("r") > EPSILON)).select("src", "dst", F.col("r").alias("f"))
-    height = cut(nodes.select("id", F.when(F.col("id") == source, n).otherwise(0).alias("h"), F.lit(0.0).alias("x")))
+    """Phases until no vertex that has an excess reaches the sink.
+
+    In each, all vertices are relabelled by their distance to the sink, and push level by level, the highest first, along
+    all admissible edges in order of dst.  What is left at a vertex then has to take a longer way.  For the value alone nothing need go back
+    to the source, so edges at the source, once full, and edges out of the sink are left out.
+    """
+    one = cut(edges)
+    both = one.select("src", "dst", F.col("capacity").alias("r")).union(one.select("dst", "src", F.lit(0.0)))
+    res = cut(both.where((F.col("src") != source) & (F.col("dst") != source) & (F.col("src") != sink)).groupBy("src", "dst").agg(F.sum("r").alias("r")))
+    excess = cut(one.where(F.col("src") == source).select(F.col("dst").alias("id"), F.col("capacity").alias("x")))
     while True:
-        pushed = cut(pushed)
-        moved = pushed.union(pushed.select("dst", "src", -F.col("f")))
-        res = cut(res.join(moved.groupBy("src", "dst").agg(F.sum("f").alias("f")), ["src", "dst"], "left").select("src", "dst", (F.col("r") - F.coalesce("f", F.lit(0.0))).alias("r")))
-        gain = pushed.select(F.col("dst").alias("id"), "f").union(pushed.select("src", -F.col("f"))).groupBy("id").agg(F.sum("f").alias("f"))
-        height = cut(height.join(gain, "id", "left").select("id", "h", (F.col("x") + F.coalesce("f", F.lit(0.0))).alias("x")))
-        active = height.where((F.col("x") > EPSILON) & ~F.col("id").isin(source, sink))
-        if active.isEmpty():
-            break
+        height = _heights(res, sink)
+        active = excess.where((F.col("x") > EPSILON) & (F.col("id") != sink)).join(height, "id")
+        top = active.agg(F.max("h")).first()[0]
+        if top is None:
+            return excess.where(F.col("id") == sink).agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
         low = height.select(F.col("id").alias("dst"), F.col("h").alias("hd"))
-        open_ = res.where(F.col("r") > EPSILON).join(active.withColumnRenamed("id", "src"), "src").join(low, "dst")
-        ok = open_.where("h = hd + 1")
-        before = F.coalesce(F.sum("r").over(Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        pushed = ok.withColumn("f", F.greatest(F.lit(0.0), F.least(F.col("r"), F.col("x") - before))).where(F.col("f") > EPSILON).select("src", "dst", "f")
-        pushed = cut(pushed)
-        lift = open_.groupBy(F.col("src").alias("id")).agg((F.min("hd") + 1).alias("up"), F.max((F.col("h") == F.col("hd") + 1).cast("int")).alias("can"))
-        height = cut(height.join(lift, "id", "left").select("id", F.when(F.col("can") == 0, F.col("up")).otherwise(F.col("h")).alias("h"), "x"))
-    return height.where(F.col("id") == sink).first()["x"]
+        steps = cut(res.where(F.col("r") > EPSILON).join(height.where(F.col("h") <= top).withColumnRenamed("id", "src"), "src").join(low, "dst").where("h = hd + 1").select("src", "dst", "r", "h"))
+        active = cut(active.select("id", "x", "h"))
+        pushed = Levels(steps.select("src", "dst", F.col("r").alias("f")).limit(0))
+        come = active.select("id", "x").limit(0)
+        for h in range(top, 0, -1):
+            own = active.where(F.col("h") == h).select("id", "x").union(come).groupBy(F.col("id").alias("src")).agg(F.sum("x").alias("x"))
+            before = F.coalesce(F.sum("r").over(Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+            f = steps.where(F.col("h") == h).join(own, "src").withColumn("f", F.least(F.col("r"), F.col("x") - before)).where(F.col("f") > EPSILON).select("src", "dst", "f")
+            f = cut(f)
+            pushed.add(f)
+            come = f.select(F.col("dst").alias("id"), F.col("f").alias("x"))
+        moved = pushed.all()
+        less = moved.select("src", "dst", -F.col("f")).union(moved.where(F.col("dst") != sink).select("dst", "src", "f"))
+        res = cut(res.union(less).groupBy("src", "dst").agg(F.sum("r").alias("r")))
+        excess = cut(excess.union(moved.select("dst", "f")).union(moved.select("src", -F.col("f"))).groupBy("id").agg(F.sum("x").alias("x")))
 
 
 def bipartite_matching(edges: DataFrame) -> DataFrame:

@@ -147,6 +147,27 @@ def test_flows_of_small_networks(spark):
         assert [flow.max_flow(g, 0, sink, m) for m in ("push_relabel", "dinic", "edmonds_karp")] == [value] * 3
 
 
+def test_push_relabel_writes_few_tables(spark, monkeypatch):
+    count = []
+    for name in ("cut", "cut_with"):
+        own = getattr(flow, name)
+        monkeypatch.setattr(flow, name, lambda *a, own=own: count.append(1) or own(*a))
+    full = build(spark, 5, [(i, j, float(20 + (7 * i + 3 * j) % 5)) for i in range(5) for j in range(5) if i != j])
+    neck = build(spark, 8, [(i, i + 1, 1.0 if i == 6 else 9.0) for i in range(7)])  # what is pushed too far has to come back
+    for g, sink in ((full, 4), (neck, 7)):
+        count.clear()
+        assert flow.max_flow(g, 0, sink) == flow.max_flow(g, 0, sink, "dinic")
+        print("tables written", len(count))
+        assert len(count) <= 40
+
+
+def test_push_relabel_on_random_graphs(spark):
+    rng = np.random.default_rng(18)
+    for n in (6, 10):
+        g = build(spark, n, [(int(a), int(b), float(c)) for a, b, c in zip(rng.integers(0, n, 3 * n), rng.integers(0, n, 3 * n), rng.integers(1, 9, 3 * n))])
+        assert flow.max_flow(g, 0, n - 1) == flow.max_flow(g, 0, n - 1, "edmonds_karp")
+
+
 def test_maximum_matching_against_all_subsets(spark):
     from functools import lru_cache
 
