@@ -7,7 +7,7 @@ document further ahead) goes.
 1. Every window is represented by its minimizer, the least-hashed run of GRAM
    words in it: equal windows have equal minimizers, and neighbouring windows
    share theirs.  Partition sketches of the minimizers are merged into a
-   count-min sketch, so a window's estimate is never below its count.
+   sketch of those that occur twice, which never leaves one out.
 2. Windows estimated repeated are grouped by 128 bits: two hashes of the word
    sequence, each over word hashes of its own.  A task first keeps only the earliest of the equal
    windows that it has, so a passage that a third of all documents hold

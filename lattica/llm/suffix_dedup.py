@@ -10,7 +10,7 @@ bytes in them): suffixes that share LENGTH bytes share it and meet.  What is
 dealt is not each suffix but each minimizer with the bytes around it, its
 context, from which all suffixes that begin near it can be read.
 
-1. A count-min sketch of minimizers tells which may occur twice.
+1. A sketch of minimizers tells which may occur twice.
 2. Of equal contexts, all but the first are covered whole.  A task does this
    for what it holds before the shuffle, so a passage that a third of all documents
    hold is dealt out once for each flush.

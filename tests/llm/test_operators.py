@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lattica.llm.workspace import Workspace
-from lattica.llm import blocks, decontaminate, fingerprints, line_dedup, near_dedup, packing, quality, queries, sharding, simhash_dedup, substring_dedup, suffix_dedup, url_filter
+from lattica.llm import blocks, decontaminate, fingerprints, line_dedup, near_dedup, packing, quality, queries, sharding, simhash_dedup, sketch, substring_dedup, suffix_dedup, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, nth int, _at int"
 PHRASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twenty-one twenty-two"
@@ -109,6 +109,17 @@ def test_suffix_dedup_of_a_task_with_one_context(spark):
     assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()} == {0: 0, 1: 100, 2: 0}
 
 
+def test_sketch_lets_few_through_that_occur_once(spark):
+    values = np.random.default_rng(19).integers(0, 1 << 63, 400_000).astype(np.uint64)
+    values = np.r_[values, values[:1000]]
+    rows = spark.createDataFrame([(v.tobytes(),) for v in np.array_split(values, 7)], "v binary")
+    for bits in (18, 22):  # more values than cells; several shards
+        merged = sketch.build(rows, lambda batch: (np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("v")), bits)
+        yes = sketch.repeated(values, merged, bits)
+        print(bits, "let through that occur once:", yes[1000:400_000].mean())
+        assert yes[:1000].all() and yes[400_000:].all() and yes[1000:400_000].mean() < 0.01
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(0)
     for data in (b"abracadabra abracadabra banana", b"a" * 40, bytes(rng.integers(97, 99, 300).tolist()), b"", b"x", bytes(range(200)) + bytes(range(199, 0, -1))):
